@@ -1,0 +1,32 @@
+"""Connected components of a link table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links`` (a, b: long) to (node, root): the smallest node that each linked node reaches.
+
+    Every step is a pre-aggregated minimum and an equi-join, so a node with very many links is no bottleneck; the
+    number of steps grows with the logarithm of the longest path. Each step's table is written to the shared folder.
+    """
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = written(small, "links")
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    tree = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
