@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, encoding, exact_dedup, packing, simhash
+from . import decontaminate, encoding, exact_dedup, packing, quality, simhash, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = quality.fold("doc_id", 4) == 2
+    model = toxicity.fit(docs, labels, train=~held_out)
+    return toxicity.classify(docs, model, held_out, threshold=0.3)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(documents(spark, sf_dir))
 
@@ -47,6 +54,13 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_packed(manifest)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = quality.fold("doc_id", 5) == 0
+    model = quality.fit(docs, labels, train=~held_out)
+    return quality.classify(docs, model, held_out, threshold=0.3)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
