@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,11 @@ from pyspark.sql import DataFrame
 from .common import id_text
 
 #: Entries in each of the two generations of a worker's memo, so that memory stays bounded whatever the vocabulary.
-MEMO = 300_000
+MEMO = 120_000
 #: Characters after which a long text is encoded in parts.
 LONG = 1 << 15
-#: The White_Space property, spelt out: Python's own \s has four control characters more than the tokenizers' has.
-WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A blank after white space and before more of it, or at the end: no place to cut before.
-_TIGHT = re.compile(rf"[{WS}] (?:[{WS}]|$)")
+#: The White_Space property, spelt out: Python's own isspace has four control characters more than the tokenizers' has.
+_SPACES = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
 def tiktoken_encoding(rank_file: str, pattern: str):
@@ -45,6 +45,18 @@ def tiktoken_encoding(rank_file: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def encoding_of(rank_file: str, pattern: str):
+    """A worker's encoding, kept from task to task."""
+    return tiktoken_encoding(rank_file, pattern)
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> "SentencePieceCounter | TokenizersEncoder":
+    """A worker's encoder of a vocabulary file with its memo, kept from task to task."""
+    return SentencePieceCounter(path) if path.endswith(".model") else TokenizersEncoder(path)
+
+
 def byte_slices(sizes: list[int], limit: int) -> Iterator[slice]:
     """Slices of a batch with at most ``limit`` bytes each, or one row."""
     start = total = 0
@@ -82,26 +94,23 @@ class Memo:
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new = []
-        for k in {*keys}.difference(young):
-            if k in old:
-                young[k] = old[k]
-            else:
-                new.append(k)
-        for s in byte_slices([len(k) for k in new], 1 << 20):
-            young.update(zip(new[s], self.make(new[s]), strict=True))
-        return [young[k] for k in keys]
-
-
-def _words(texts: pa.Array) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """Texts cut before every blank: first words; distinct other words; for each other word which it is and its row."""
+        lost = [k for k in keys if k not in young]
+        if lost:
+            young.update([(k, old[k]) for k in lost if k in old])
+            new = list(dict.fromkeys([k for k in lost if k not in old]))
+            for s in byte_slices([len(k) for k in new], 1 << 20):
+                young.update(zip(new[s], self.make(new[s]), strict=True))
+        return list(map(young.__getitem__, keys))
+
+
+def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut before every blank: distinct words; for each word which it is, its row, and if it is its text's first."""
     parts = pa.compute.split_pattern(texts, " ")
     rows = pa.compute.list_parent_indices(parts).to_numpy(zero_copy_only=False)
-    flat = parts.flatten()
+    coded = parts.flatten().dictionary_encode()
     first = np.ones(len(rows), bool)
     first[1:] = rows[1:] != rows[:-1]
-    coded = flat.filter(pa.array(~first)).dictionary_encode()
-    return flat.filter(pa.array(first)).to_pylist(), coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), rows[~first]
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), rows, first
 
 
 class SentencePieceCounter:
@@ -130,19 +139,29 @@ class SentencePieceCounter:
         for i in np.flatnonzero(odd):
             out[i] = self.whole([texts[int(i)].as_py()])[0]
         if len(at := np.flatnonzero(~odd)):
-            first, words, which, rows = _words(texts.take(pa.array(at)))
-            n = np.array(self.memo.get(first), np.int64)
-            if len(words):
-                n += np.bincount(rows, np.array(self.memo.get(words), np.int64)[which], len(at)).astype(np.int64)
-            out[at] = n
+            words, which, rows, _ = _words(texts.take(pa.array(at)))
+            out[at] = np.bincount(rows, np.array(self.memo.get(words), np.int64)[which], len(at))
         return out
 
 
+#: A word of Latin letters, then ASCII punctuation: two matches of a byte-level pre-tokenizer.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies have for the bytes of UTF-8, by character up to U+00FF."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    letter = {b: chr(b if b in plain else next(rest)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class TokenizersEncoder:
     """Ids of a tokenizers file; special strings inside a text as by the library's default.
 
-    With a byte-level pre-tokenizer a match ends before any blank, but for one in the midst of white space; texts with
-    such a blank or with an added token's string go to the library whole, as all do with another pre-tokenizer.
+    With a byte-level pre-tokenizer a match ends before any blank, but for one in the midst of white space; texts that
+    may have such a blank or an added token's string go to the library whole, as all do with another pre-tokenizer.
+    Plain words go straight to the library's model, other words to its whole chain.
     """
 
     def __init__(self, path: str):
@@ -150,39 +169,59 @@ class TokenizersEncoder:
 
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.safe = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
-        self.added = re.compile("|".join([_TIGHT.pattern, *(re.escape(x["content"]) for x in spec.get("added_tokens") or [])]))
-        self.memo = Memo(self.whole)
+        added = [x["content"] for x in spec.get("added_tokens") or []]
+        # an added token may hold blanks: of such, any word of theirs counts
+        self.added = re.compile("|".join(re.escape(w) for a in added for w in a.split(" ") if w)) if added else None
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        self.memo, self.marks = Memo(self.words), Memo(lambda xs: [self.plain(x) for x in xs])
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def plain(self, match: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(match.translate(self.letters))]).tobytes()
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids, 4 bytes each, of words as they stand after a blank."""
+        found = [_PLAIN.fullmatch(w) for w in words]
+        others = iter(self.whole([" " + w for w, m in zip(words, found, strict=True) if m is None]))
+        marks = iter(self.marks.get([m[2] for m in found if m]))
+        return [self.plain(" " + m[1]) + next(marks) if m else next(others) for m in found]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
-        strings = texts.to_pylist()
-        odd = np.array([not self.safe or self.added.search(t) is not None for t in strings], bool)
-        own = {int(i): self.whole([strings[i]])[0] for i in np.flatnonzero(odd)}
-        at = np.flatnonzero(~odd)
-        first, words, which, rows = _words(texts.take(pa.array(at)))
-        words = self.memo.get([" " + w for w in words])
-        pieces = [*self.memo.get(first), *words, *own.values()]  # every piece once
-        sizes = np.array([len(x) for x in pieces], np.int64)
+        words, which, rows, first = _words(texts)
+        # a word that begins with white space, or is none, follows a blank that is no safe place to cut; so does what
+        # may hold an added token: such texts go whole
+        odd = np.fromiter((not w or w[0] in _SPACES for w in words), bool, len(words))[which] & ~first
+        if self.added:
+            odd |= np.fromiter((self.added.search(w) is not None for w in words), bool, len(words))[which]
+        whole = np.full(len(texts), not self.safe)
+        whole[rows[odd]] = True
+        keep = ~whole[rows]
+        which, rows, first = which[keep], rows[keep], first[keep]
+        used, place = np.unique(which[~first], return_inverse=True)
+        starters = self.whole([words[i] for i in which[first]])
+        own = np.flatnonzero(whole)
+        pieces = [*starters, *self.memo.get([words[i] for i in used]), *self.whole([texts[int(i)].as_py() for i in own])]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         starts = np.cumsum(sizes) - sizes
         # the pieces of the texts in order: a first word (or the whole text), then the other words
-        row = np.concatenate([at, at[rows], np.fromiter(own, np.int64, len(own))]).astype(np.int64)
-        piece = np.concatenate([np.arange(len(first)), which + len(first), np.arange(len(own)) + len(first) + len(words)]).astype(np.int64)
+        row = np.concatenate([rows[first], rows[~first], own]).astype(np.int64)
+        piece = np.concatenate([np.arange(len(starters)), place + len(starters), np.arange(len(own)) + len(starters) + len(used)]).astype(np.int64)
         order = np.argsort(row, kind="stable")
         row, piece = row[order], piece[order]
         n = sizes[piece]
         take = np.repeat(starts[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        flat = np.concatenate([np.zeros(0, np.uint32), *pieces])[take]
-        return flat, np.bincount(row, n, len(strings)).astype(np.int64)
+        flat = np.frombuffer(b"".join(pieces), np.uint32)[take]
+        return flat, np.bincount(row, n, len(texts)).astype(np.int64)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         return self.encode(texts)[1]
@@ -196,7 +235,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = SentencePieceCounter(vocabulary) if vocabulary.endswith(".model") else TokenizersEncoder(vocabulary)
+        counter = tokenizer_of(vocabulary)
         for batch in batches:
             texts = batch.column(1)
             sizes = pa.compute.binary_length(texts).to_pylist()
@@ -214,7 +253,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tiktoken_encoding(rank_file, pattern)
+        enc = encoding_of(rank_file, pattern)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():

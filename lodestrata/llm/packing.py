@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, scratch, written
-from .encoding import TokenizersEncoder, byte_slices
+from .encoding import byte_slices, tokenizer_of
 
 MAGIC, HEAD, FOOT = b"LDPK", struct.Struct("<4sBBI"), struct.Struct("<QQQQ4s")
 #: Ids in a block.
@@ -155,8 +155,8 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TokenizersEncoder(vocabulary)
-        bits = min_bits(max(encoder.model.get_vocab_size(), (end_id or 0) + 1))
+        encoder = tokenizer_of(vocabulary)
+        bits = min_bits(max(encoder.tokenizer.get_vocab_size(), (end_id or 0) + 1))
         out = writer = None
         name, low = f"{path}/part-{uuid.uuid4().hex}.ldpk", _NULL
         for batch in batches:
