@@ -131,8 +131,19 @@ def with_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def induce(sample: DataFrame, entries: int = 300, support: int = 6, candidates: int = 20_000) -> Lexicon:
-    """A lexicon from rows (text, label): entries that toxic documents have far more often than others."""
+def _surprise(a: int, some: int, b: int, others: int) -> float:
+    """Log-likelihood ratio of a of ``some`` and b of ``others`` documents against one common share."""
+    share = (a + b) / (some + others)
+    cells = [(a, some * share), (some - a, some * (1 - share)), (b, others * share), (others - b, others * (1 - share))]
+    return 2 * sum(seen * math.log(seen / due) for seen, due in cells if seen > 0)
+
+
+def induce(sample: DataFrame, entries: int = 300, support: int = 5, candidates: int = 20_000, surprise: float = 25.0) -> Lexicon:
+    """A lexicon from rows (text, label): entries that toxic documents have far more often than others.
+
+    ``surprise`` is the least log-likelihood ratio; unlike a test of the odds it also tells apart entries that no other
+    document has, from few documents on.
+    """
 
     def count(toxic: bool, among: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +165,9 @@ def induce(sample: DataFrame, entries: int = 300, support: int = 6, candidates:
     for e, a in toxic.items():
         b = other.get(e, 0)
         odds = math.log((a + 0.5) / (some + 1)) - math.log((b + 0.5) / (others + 1))
-        z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if odds > 1.2 and z > 5:
-            scored.append((z, e, odds))
+        g = _surprise(a, some, b, others)
+        if odds > 1.2 and g >= surprise:
+            scored.append((g, e, odds))
     scored.sort(key=lambda x: (-x[0], x[1]))
     return Lexicon({e: odds for _, e, odds in scored[:entries]})
 
