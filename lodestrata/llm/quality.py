@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import FMClassificationModel, FMClassifier
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +85,8 @@ def with_features(docs: DataFrame, text_col: str = "text", dimensions: int = 409
     out = named.withColumn("lodestrata_w", F.split(F.lower(text), SPACE_CLASS)).withColumn("lodestrata_b", array_to_vector(F.array(*bits)))
     out = HashingTF(inputCol="lodestrata_w", outputCol="lodestrata_h", numFeatures=dimensions).transform(out)
     out = Normalizer(inputCol="lodestrata_h", outputCol="lodestrata_n").transform(out)
+    for name, size in (("lodestrata_n", dimensions), ("lodestrata_b", len(bits))):  # else sizes are taken from a first row
+        out = VectorSizeHint(inputCol=name, size=size, handleInvalid="optimistic").transform(out)
     out = VectorAssembler(inputCols=["lodestrata_n", "lodestrata_b"], outputCol="lodestrata_features").transform(out)
     return out.drop("lodestrata_w", "lodestrata_b", "lodestrata_h", "lodestrata_n", *(f"lodestrata_s_{k}" for k in BINS))
 
