@@ -119,9 +119,10 @@ def fold(c: Column, synonyms: dict[str, str] = C.SYNONYMS) -> Column:
     marks = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
     plain = "aaaaaaceeeeiiiinooooouuuuyy"
     s = F.translate(squeeze(F.lower(F.coalesce(c.cast("string"), F.lit("")))), marks, plain)
-    for a, b in synonyms.items():
-        s = F.when(s == a, b).otherwise(s)
-    return s
+    if not synonyms:
+        return s
+    table = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
+    return F.transform(F.array(s), lambda x: F.coalesce(F.try_element_at(table, x), x))[0]  # computes s once
 
 
 def is_empty(c: Column) -> Column:

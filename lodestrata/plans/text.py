@@ -117,13 +117,13 @@ def chunk_name_batches(spark, sf_dir):
     return T.name_batches(p, ["site"], "page_id", "name").withColumn("batch", F.col("batch").cast("long"))
 
 
-@query(r"""WITH o AS (SELECT o_orderkey, 'Order ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ' placed since ' WHEN o_orderkey % 3 = 1 THEN ' dated ' ELSE ' founded long ago, see ' END || year(o_orderdate) || '.' AS src,
+@query(r"""WITH o AS (SELECT o_orderkey, 'Order ' || (o_orderkey + 10000000) || CASE WHEN o_orderkey % 3 = 0 THEN ' placed since ' WHEN o_orderkey % 3 = 1 THEN ' dated ' ELSE ' founded long ago, see ' END || year(o_orderdate) || '.' AS src,
     CASE WHEN o_orderkey % 5 = 0 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END AS y FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 1 AND o_orderkey % 5 <> 0 THEN y END AS grounded FROM o""")
 def grounding_year_context(spark, sf_dir):
     k, y = F.col("o_orderkey"), F.year("o_orderdate")
     lead = F.when(k % 3 == 0, " placed since ").when(k % 3 == 1, " dated ").otherwise(" founded long ago, see ")
-    o = table(spark, sf_dir, "orders").select(k, F.concat(F.lit("Order "), k, lead, y, F.lit(".")).alias("src"), F.when(k % 5 == 0, y + 1).otherwise(y).cast("long").alias("y"))
+    o = table(spark, sf_dir, "orders").select(k, F.concat(F.lit("Order "), k + 10_000_000, lead, y, F.lit(".")).alias("src"), F.when(k % 5 == 0, y + 1).otherwise(y).cast("long").alias("y"))
     return o.select("o_orderkey", T.grounded_year(F.col("src"), F.col("y")).alias("grounded"))
 
 
