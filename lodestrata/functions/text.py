@@ -56,16 +56,18 @@ def sliding_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
     chunks end, so they are exploded, not folded.
     """
     step = max(1, size - overlap)
-    body = strip(F.col(text))
-    rows = df.withColumn("lode_body", body).filter(F.length("lode_body") > 0)
-    rows = rows.withColumn("chunk_start", F.explode(F.sequence(F.lit(0), F.length("lode_body") - 1, F.lit(step))))
-    full = F.length("lode_body")
-    end = F.least(F.col("chunk_start") + size, full)
-    back = F.greatest(F.col("chunk_start") + step, end - 300)
-    window = F.substring(F.col("lode_body"), back + 1, end - back)
-    snapped = F.when(end < full, back + F.coalesce(*[_last(window, s) for s in ("\n\n", "\n", ". ")]))
-    chunk = strip(F.substring(F.col("lode_body"), F.col("chunk_start") + 1, F.coalesce(snapped, end) - F.col("chunk_start")))
-    return rows.withColumn("chunk", chunk).filter(F.length("chunk") >= least).drop("lode_body")
+    rows = df.withColumn("lode_body", strip(F.col(text))).filter(F.length("lode_body") > 0)
+    # a text is walked once, for its pieces; all else looks at a chunk's own characters
+    rows = rows.select(*df.columns, F.length("lode_body").alias("lode_full"), F.regexp_extract_all("lode_body", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("lode_pieces"))
+    more = range(1, -(-overlap // step) + 1)
+    spans = F.transform("lode_pieces", lambda p, i: F.substring(F.concat(p, *[F.coalesce(F.get("lode_pieces", i + k), F.lit("")) for k in more]), 1, size))
+    rows = rows.select(*df.columns, "lode_full", F.posexplode(spans).alias("lode_i", "lode_span"))
+    start, span, end = F.col("lode_i") * step, F.col("lode_span"), F.length("lode_span")
+    back = F.greatest(F.lit(step), end - 300)
+    window = F.substring(span, back + 1, end - back)
+    snapped = F.when(start + end < F.col("lode_full"), back + F.coalesce(*[_last(window, s) for s in ("\n\n", "\n", ". ")]))
+    rows = rows.select(*df.columns, start.alias("chunk_start"), strip(F.substring(span, F.lit(1), F.coalesce(snapped, end))).alias("chunk"))
+    return rows.filter(F.length("chunk") >= least)
 
 
 def blurbs(text: Column, least: int = C.BLURB_MIN) -> Column:
