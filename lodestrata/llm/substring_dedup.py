@@ -39,10 +39,11 @@ from .common import id_text, written
 GRAM, SEGMENT, HOT = 20, 64, 4096
 #: Segments that a shard has on average.
 SHARD = 4000
+#: Words whose grams are hashed at once.
+_PIECE = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_PIECE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -52,16 +53,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Grams:
     """Hashes of runs of words by a rolling polynomial over their bytes."""
 
-    def __init__(self, gram: int):
-        self.gram = gram
+    def __init__(self, gram: int, piece: int = _PIECE):
+        self.gram, self.piece = gram, max(piece, gram)
         self.up, self.down = _powers(_BASE, 1 << 12), _powers(_INVERSE, 1 << 12)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         n = len(words) - self.gram + 1
         if n <= 0:
             return np.zeros(0, np.int64)
-        if len(words) > _PIECE:  # of very long texts piece by piece
-            return np.concatenate([self(words[i : i + _PIECE + self.gram - 1]) for i in range(0, n, _PIECE)])
+        if len(words) > self.piece:  # of very long texts piece by piece, which share gram - 1 words
+            return np.concatenate([self(words[i : i + self.piece]) for i in range(0, n, self.piece - self.gram + 1)])
         raw = np.frombuffer(b" ".join(words), np.uint8)
         if len(raw) >= len(self.up):
             self.up, self.down = _powers(_BASE, 2 * len(raw)), _powers(_INVERSE, 2 * len(raw))
@@ -99,9 +100,9 @@ def segments(words: list[bytes], grams: Grams, window: int) -> tuple[np.ndarray,
     return least[starts], starts, np.minimum(starts + SEGMENT, np.repeat(ends, parts))
 
 
-def _anchors(window: int, gram: int):
+def _anchors(window: int, gram: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(gram)
+        grams = Grams(gram, piece)
         for batch in batches:
             n, sha, s1, s2, found = [], [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -317,12 +318,12 @@ def _cut(window: int):
     return run, "doc long, tk long, n_removed long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, piece: int = _PIECE) -> DataFrame:
     """One row per row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one blank); ``with_text`` adds the
     kept words as ``kept_text``, null where nothing was removed."""
     gram = min(gram, window)
     rows = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("tk"), "text")
-    run, schema = _anchors(window, gram)
+    run, schema = _anchors(window, gram, piece)
     places = written(rows.mapInArrow(run, schema), "anchors")
 
     slim = places.select("doc", "tk", "n_words", "sha", "s1", "s2")

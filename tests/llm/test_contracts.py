@@ -136,6 +136,26 @@ def test_hot_anchors_lose_nothing(edges, edge_rows):
     assert rows(substring_dedup.remove_repeats(edges, hot=1, shard=2), columns) == sorted(brute.substring(edge_rows), key=str)
 
 
+@pytest.mark.parametrize("piece", [20, 21, 64, 300])
+def test_pieces_of_long_texts_have_the_hashes_of_the_whole(piece):
+    words = [str(k * k % 997).encode() for k in range(1000)]
+    whole = substring_dedup.Grams(20)(words)
+    assert len(whole) == 981 and (substring_dedup.Grams(20, piece)(words) == whole).all()
+
+
+def test_texts_beyond_a_piece():
+    """More words than are hashed at once, at the size that queries use."""
+    words = [b"%d" % (k * 7919 % 104729) for k in range(substring_dedup._PIECE + 100)]
+    grams = substring_dedup.Grams(20)
+    found = grams(words)
+    assert len(found) == len(words) - 19 and (found[-200:] == grams(words[-219:])).all()
+
+
+def test_pieces_lose_no_removals(edges, edge_rows):
+    columns = CONTRACTS["op3_substring_dedup"][1]
+    assert rows(substring_dedup.remove_repeats(edges, piece=64), columns) == sorted(brute.substring(edge_rows), key=str)
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17])
 def test_packing_round_trip(bits):
     import io
