@@ -1,11 +1,14 @@
 """Personal data: base patterns, then bootstrapped contextual extraction, in DataFrame operations only.
 
 Seeds are the base patterns' spans. The two words before a seed are a lexical pattern. Patterns and instances
-(identifier-like strings and the spans found so far) form a graph that is scored round by round: a pattern's confidence
+(identifier-like strings of one or several tokens and the spans found so far) form a graph that is scored round by round: a pattern's confidence
 in a kind is the share of all its occurrences in the corpus that introduce a known instance of that kind, given enough
 different ones; an unseen instance's score is the noisy-or of its patterns' confidences. Instances that score high
-enough and look like the seeds of the kind become known; the rounds end when none is found. All their occurrences are
-spans, too.
+enough and have the form of the kind (its characters and number of digits, whatever the separators, or the shape of some
+seeds) become known; the rounds end when none is found. All their occurrences are spans, too, but for those within others.
+
+Candidates are single tokens of 6 to 64 characters with '@' or 4 digits, runs of digit groups with blanks (7 to 19 digits,
+as long as they go on) and addresses in words ('name at host', 6 to 64 characters). Identifiers of other makes aren't found.
 
 The regular expressions are possessive, so long runs cost no backtracking and no deep recursion; they match what the
 plain ones match, leftmost and without overlap. One pass over the texts finds base spans and candidate instances, a
@@ -45,10 +48,23 @@ _VALID = {
 _SPAN = "struct<s: int, k: int, e: int, m: string, l: string>"
 #: Tokens that may be identifiers, with what surrounds their core.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-_CORE = r"[\p{L}0-9](?:.*[\p{L}0-9])?"
+_CORE = r"(?:\+|\+?\((?=[0-9]++\)[0-9./-]))?[\p{L}0-9](?:.*[\p{L}0-9])?"
+#: Groups of digits in several tokens, such as cards and phones with blanks, as long as they go on.
+_RUN = r"""(?<![\p{L}0-9+./-])(?:\+?+\((?=[0-9]++\))|\+)?+[0-9][0-9()./-]*+(?:[ \t]++(?:[-/][ \t]++)?+\(?+[0-9][0-9()./-]*+(?=[\s,;!?"'>\]]|\z))++"""
+_RUN_CORE = ".*[0-9]"
+#: Addresses in words: name at host, name(at)host, with dots as such or in words.
+_AT = r"(?i)(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++(?:[ \t]++at[ \t]++|[ \t]*+(?:\(at\)|\[at\]|\{at\})[ \t]*+)(?=[0-9-]*+\p{L})[\p{L}0-9-]++(?:(?:\.|[ \t]++dot[ \t]++|[ \t]*+(?:\(dot\)|\[dot\]|\{dot\})[ \t]*+)[\p{L}0-9-]++)*+(?![ \t]++at[ \t])"
 _CONTEXT = 80
 #: SQL for an instance with runs of digits and of letters as one character each.
 _SHAPE = "regexp_replace(regexp_replace(instance, '[0-9]+', '0'), '\\\\p{L}+', 'a')"
+_QUAD = "^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$"
+#: SQL for the kinds that an instance may be of by its characters and number of digits, whatever its separators.
+_FORMS = f"""filter(array(
+    IF(instance RLIKE '[^ @]@[^ @]|[(\\[{{]at[)\\]}}]| at ' AND instance RLIKE '\\\\p{{L}}', 0, -1), IF(instance RLIKE '{_QUAD}', 1, -1),
+    IF(instance RLIKE '^[0-9+()./ -]+$' AND NOT instance RLIKE '{_QUAD}' AND length(regexp_replace(instance, '[^0-9]', '')) BETWEEN 12 AND 19, 2, -1),
+    IF(instance RLIKE '^[0-9+()./ -]+$' AND NOT instance RLIKE '{_QUAD}' AND length(regexp_replace(instance, '[^0-9]', '')) BETWEEN 7 AND 15, 3, -1)), x -> x >= 0)"""
+#: SQL for the instance that a string is.
+_INSTANCE = "regexp_replace(lower({}), '\\\\s+', ' ')"
 
 
 def _sql(text: str) -> str:
@@ -56,12 +72,12 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(regex: str, kind: int, valid: str, core: bool = False) -> str:
+def _matches(regex: str, kind: int, valid: str, core: str | None = None) -> str:
     """SQL for the spans of ``regex`` in ``text``: start, kind, end, string and the words before, in one fold over the
     matches and what lies between them."""
     rx = _sql(regex)
-    at = f"regexp_instr(x.m, {_sql(_CORE)}) - 1" if core else "0"
-    m = f"regexp_extract(x.m, {_sql(_CORE)}, 0)" if core else "x.m"
+    at = f"regexp_instr(x.m, {_sql(core)}) - 1" if core else "0"
+    m = f"regexp_extract(x.m, {_sql(core)}, 0)" if core else "x.m"
     span = f"""transform(array({m}), m -> struct(a.pos + length(x.g) + {at} AS s, {kind} AS k, a.pos + length(x.g) + {at} + length(m) AS e, m, right(x.g, {_CONTEXT}) AS l))"""
     fold = f"""aggregate(
         zip_with(split(text, {rx}, -1), regexp_extract_all(text, {rx}, 0), (g, m) -> struct(g, m)),
@@ -76,8 +92,12 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = id_text(docs, id_col, text_col)
     base = "concat(" + ", ".join(_matches(_REGEX[k], i, _VALID[k]) for i, k in enumerate(KINDS)) + ")"
     like = "length(m) BETWEEN 6 AND 64 AND (m LIKE '%@%' OR length(regexp_replace(m, '[^0-9]', '')) >= 4)"
-    found = rows.withColumn("base", F.expr(base)).withColumn("tokens", F.expr(_matches(_TOKEN, -1, like, core=True)))
-    apart = F.expr("filter(tokens, t -> NOT exists(base, b -> b.s < t.e AND t.s < b.e))")
+    digits = f"length({_DIGITS}) BETWEEN 7 AND 19 AND NOT m RLIKE '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+ '"
+    several = f"concat({_matches(_RUN, -1, digits, core=_RUN_CORE)}, {_matches(_AT, -1, 'length(m) BETWEEN 6 AND 64')})"
+    found = rows.withColumn("base", F.expr(base)).withColumn("several", F.expr(several)).withColumn("tokens", F.expr(_matches(_TOKEN, -1, like, core=_CORE)))
+    # of candidates with one start only the longer, so that no occurrence of a pattern counts twice
+    one = "concat(filter(tokens, t -> NOT exists(several, x -> x.s = t.s)), several)"
+    apart = F.expr(f"filter({one}, t -> NOT exists(base, b -> b.s < t.e AND t.s < b.e))")
     return found.select("doc_id", F.xxhash64("text").alias("tk"), "base", apart.alias("loose"))
 
 
@@ -110,24 +130,29 @@ def discover(docs: DataFrame, spans: DataFrame, support: int = 3, confidence: fl
     """Instances that the graph makes known beyond the seeds: (instance, kind); None if there is none."""
     squeeze = "regexp_replace(l, '\\\\s+', ' ')"
     every = spans.select("tk", F.explode(F.concat("base", "loose")).alias("x")).select("tk", "x.*")
-    every = every.select("k", F.lower("m").alias("instance"), F.expr(_before("l")).alias("l")).withColumn("pattern", F.expr(squeeze)).drop("l").filter("pattern <> ''")
+    every = every.select("k", F.expr(_INSTANCE.format("m")).alias("instance"), F.expr(_before("l")).alias("l")).withColumn("pattern", F.expr(squeeze)).drop("l").filter("pattern <> ''")
     edges = written(every.groupBy("pattern", "instance", "k").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     seeds = edges.filter("k >= 0").withColumn("shape", F.expr(_SHAPE))
     shapes = written(seeds.groupBy("k", "shape").agg(F.countDistinct("instance").alias("d")).filter(F.col("d") >= support).select(F.col("k").alias("kind"), "shape"), "pii-shapes")
-    # only patterns that stand before an unseen instance of a seed's shape can make one known: no other is counted
-    hopeful = edges.filter("k < 0").withColumn("shape", F.expr(_SHAPE)).join(shapes.select("shape").distinct(), "shape", "left_semi").select("pattern").distinct()
+    kinds = seeds.groupBy(F.col("k").alias("kind")).agg(F.countDistinct("instance").alias("d")).filter(F.col("d") >= support).select("kind")
+    unseen = edges.filter("k < 0").select("instance").distinct()
+    formed = unseen.select("instance", F.explode(F.expr(_FORMS)).alias("kind")).join(F.broadcast(kinds), "kind").select("instance", "kind")
+    shaped = unseen.withColumn("shape", F.expr(_SHAPE)).join(shapes, "shape").select("instance", "kind")
+    may = written(formed.unionByName(shaped).distinct(), "pii-may")
+    # only patterns that stand before an unseen instance of a seed's form can make one known: no other is counted
+    hopeful = edges.filter("k < 0").join(may.select("instance").distinct(), "instance", "left_semi").select("pattern").distinct()
     shared = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("d")).filter(F.col("d") >= support).select("pattern")
     patterns = written(shared.join(hopeful, "pattern", "left_semi"), "pii-patterns")
     if patterns.isEmpty():
         return None
     totals = written(_pattern_counts(docs, patterns, filter_bits, id_col, text_col), "pii-totals")
-    edges = written(edges.join(totals, "pattern").withColumn("shape", F.expr(_SHAPE)), "pii-graph")
+    edges = written(edges.join(totals, "pattern"), "pii-graph")
     known = written(edges.filter("k >= 0").select("instance", F.col("k").alias("kind")).distinct(), "pii-known")
     found = None
     for _ in range(rounds):
         scored = edges.join(known, "instance").groupBy("pattern", "kind", "total").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("d"))
         scored = scored.filter(F.col("d") >= support).select("pattern", "kind", F.least(F.lit(0.999), F.col("n") / F.col("total")).alias("c"))
-        new = edges.filter("k < 0").join(known, "instance", "left_anti").join(scored, "pattern").join(shapes, ["kind", "shape"])
+        new = edges.filter("k < 0").join(known, "instance", "left_anti").join(scored, "pattern").join(may, ["instance", "kind"])
         new = new.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("score")).filter(F.col("score") >= confidence)
         new = new.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
         new = written(new, "pii-new")
@@ -151,9 +176,10 @@ def find_personal_data(docs: DataFrame, support: int = 3, confidence: float = 0.
     if found is None:
         full = spans.withColumn("all", F.col("base"))
     else:
-        loose = spans.filter("size(loose) > 0").select("doc_id", "tk", F.explode("loose").alias("x")).select("doc_id", "tk", "x.s", "x.e", F.lower("x.m").alias("instance"), "x.m", "x.l")
+        loose = spans.filter("size(loose) > 0").select("doc_id", "tk", F.explode("loose").alias("x")).select("doc_id", "tk", "x.s", "x.e", F.expr(_INSTANCE.format("x.m")).alias("instance"), "x.m", "x.l")
         more = loose.join(found, "instance").select(F.col("doc_id").alias("d2"), F.col("tk").alias("t2"), F.struct("s", F.col("kind").alias("k"), "e", "m", "l").alias("x"))
         more = more.groupBy("d2", "t2").agg(F.collect_set("x").alias("more"))
+        more = more.withColumn("more", F.expr("filter(more, x -> NOT exists(more, y -> y.s <= x.s AND x.e <= y.e AND y.e - y.s > x.e - x.s))"))
         full = spans.join(more, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tk") == F.col("t2")), "left").withColumn("all", F.expr("concat(base, coalesce(more, array()))"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return full.select("doc_id", *counts, F.sha2(F.expr(_listed("base")), 256).alias("base_sha256"), F.expr(_listed("all")).alias("spans"))

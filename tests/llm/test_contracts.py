@@ -181,3 +181,28 @@ def test_contexts_discover_unseen_identifiers(spark):
     docs = spark.createDataFrame([*seeds, (100, "login from host 999.1.2.3 was seen"), (101, "see the section 999.4.5.6 of it")], "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
     assert found[0] == "ip:16:24" and found[100] == "ip:16:25" and found[101] == ""
+
+
+LURES = [
+    ("call office at", "+49 30 12345{:02d}0", "030 1234567", "phone"),
+    ("call office at", "+49 30 12345{:02d}0", "(030) 765-4321", "phone"),
+    ("call office at", "+49 30 12345{:02d}0", "0301234567", "phone"),
+    ("charged to card", None, "4111 1111 1111 1112", "card"),
+    ("please write to", "user{}@example.org", "anna at example dot org", "email"),
+    ("please write to", "user{}@example.org", "anna(at)example.org", "email"),
+    ("please write to", "user{}@example.org", "anna7@localhost", "email"),
+]
+
+
+def _valid_card(i):
+    head = f"41111111111{i:04d}"
+    return next(head + str(d) for d in range(10) if sum(int(c) if (15 - k) % 2 == 0 else (2 * int(c) - 9 * (c > "4")) for k, c in enumerate(head + str(d))) % 10 == 0)
+
+
+@pytest.mark.parametrize("words, seed, unseen, kind", LURES)
+def test_discovery_adds_every_kind(spark, words, seed, unseen, kind):
+    """Identifiers of other separators than the seeds', in one token or several."""
+    seeds = [(i, f"{words} {seed.format(i) if seed else _valid_card(i)} today") for i in range(40)]
+    docs = spark.createDataFrame([*seeds, (100, f"{words} {unseen}, today"), (101, f"nothing leads to {unseen[:5]} here")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert found[0].startswith(kind) and found[100] == f"{kind}:{len(words) + 1}:{len(words) + 1 + len(unseen)}" and found[101] == ""
