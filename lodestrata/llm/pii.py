@@ -5,14 +5,15 @@ Seeds are the base patterns' spans. The two words before a seed are a lexical pa
 in a kind is the share of all its occurrences in the corpus that introduce a known instance of that kind, given enough
 different ones; an unseen instance's score is the noisy-or of its patterns' confidences. Instances that score high
 enough and have the form of the kind (its characters and number of digits, whatever the separators, or the shape of some
-seeds) become known; the rounds end when none is found. All their occurrences are spans, too, but for those within others.
+seeds) become known; every round takes the patterns from all instances known by then, and the rounds end when no instance
+is new. All their occurrences are spans, too, but for those within others.
 
 Candidates are single tokens of 6 to 64 characters with '@' or 4 digits, runs of digit groups with blanks (7 to 19 digits,
 as long as they go on) and addresses in words ('name at host', 6 to 64 characters). Identifiers of other makes aren't found.
 
 The regular expressions are possessive, so long runs cost no backtracking and no deep recursion; they match what the
 plain ones match, leftmost and without overlap. One pass over the texts finds base spans and candidate instances, a
-second counts the patterns that some seeds share (a bitmap of fixed size, broadcast, singles them out before the
+pass a round counts the patterns that have found support in it (a bitmap of fixed size, broadcast, singles them out before the
 shuffle, and sums are made before it). All else works on spans.
 
 Defined cases: null text is empty and has no spans; n_email to n_phone count base spans; rows with equal ids are judged
@@ -126,7 +127,7 @@ def _pattern_counts(docs: DataFrame, patterns: DataFrame, bits: int, id_col: str
     return counts.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
-def discover(docs: DataFrame, spans: DataFrame, support: int = 3, confidence: float = 0.9, rounds: int = 5, filter_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+def discover(docs: DataFrame, spans: DataFrame, support: int = 3, confidence: float = 0.9, filter_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
     """Instances that the graph makes known beyond the seeds: (instance, kind); None if there is none."""
     squeeze = "regexp_replace(l, '\\\\s+', ' ')"
     every = spans.select("tk", F.explode(F.concat("base", "loose")).alias("x")).select("tk", "x.*")
@@ -139,28 +140,28 @@ def discover(docs: DataFrame, spans: DataFrame, support: int = 3, confidence: fl
     formed = unseen.select("instance", F.explode(F.expr(_FORMS)).alias("kind")).join(F.broadcast(kinds), "kind").select("instance", "kind")
     shaped = unseen.withColumn("shape", F.expr(_SHAPE)).join(shapes, "shape").select("instance", "kind")
     may = written(formed.unionByName(shaped).distinct(), "pii-may")
-    # only patterns that stand before an unseen instance of a seed's form can make one known: no other is counted
-    hopeful = edges.filter("k < 0").join(may.select("instance").distinct(), "instance", "left_semi").select("pattern").distinct()
-    shared = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("d")).filter(F.col("d") >= support).select("pattern")
-    patterns = written(shared.join(hopeful, "pattern", "left_semi"), "pii-patterns")
-    if patterns.isEmpty():
-        return None
-    totals = written(_pattern_counts(docs, patterns, filter_bits, id_col, text_col), "pii-totals")
-    edges = written(edges.join(totals, "pattern"), "pii-graph")
-    known = written(edges.filter("k >= 0").select("instance", F.col("k").alias("kind")).distinct(), "pii-known")
-    found = None
-    for _ in range(rounds):
-        scored = edges.join(known, "instance").groupBy("pattern", "kind", "total").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("d"))
-        scored = scored.filter(F.col("d") >= support).select("pattern", "kind", F.least(F.lit(0.999), F.col("n") / F.col("total")).alias("c"))
+    known = written(seeds.select("instance", F.col("k").alias("kind")).distinct(), "pii-known")
+    found = totals = None
+    while True:
+        met = written(edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("d")).filter(F.col("d") >= support).drop("d"), "pii-met")
+        # only patterns that stand before an unseen instance of a kind's form can make one known: no other is counted
+        hopeful = edges.filter("k < 0").join(may, "instance").join(known.select("instance"), "instance", "left_anti").select("pattern", "kind")
+        fresh = met.join(hopeful, ["pattern", "kind"], "left_semi").select("pattern").distinct()
+        fresh = written(fresh if totals is None else fresh.join(totals, "pattern", "left_anti"), "pii-patterns")
+        if not fresh.isEmpty():
+            counts = written(_pattern_counts(docs, fresh, filter_bits, id_col, text_col), "pii-totals")
+            totals = counts if totals is None else totals.unionByName(counts)
+        if totals is None:
+            return None
+        scored = met.join(totals, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("n") / F.col("total")).alias("c"))
         new = edges.filter("k < 0").join(known, "instance", "left_anti").join(scored, "pattern").join(may, ["instance", "kind"])
         new = new.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("score")).filter(F.col("score") >= confidence)
         new = new.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
         new = written(new, "pii-new")
         if new.isEmpty():
-            break
+            return found
         known = known.unionByName(new)
         found = new if found is None else found.unionByName(new)
-    return found
 
 
 def _listed(spans: str) -> str:
@@ -169,10 +170,10 @@ def _listed(spans: str) -> str:
     return f"array_join(transform(array_sort(transform({spans}, x -> struct(x.s, x.k, x.e))), x -> concat_ws(':', element_at({names}, x.k + 1), x.s, x.e)), ',')"
 
 
-def find_personal_data(docs: DataFrame, support: int = 3, confidence: float = 0.9, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, support: int = 3, confidence: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all spans, listed)."""
     spans = written(base_spans(docs, id_col, text_col), "pii-spans")
-    found = discover(docs, spans, support, confidence, rounds, id_col=id_col, text_col=text_col)
+    found = discover(docs, spans, support, confidence, id_col=id_col, text_col=text_col)
     if found is None:
         full = spans.withColumn("all", F.col("base"))
     else:

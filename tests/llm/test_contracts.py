@@ -206,3 +206,17 @@ def test_discovery_adds_every_kind(spark, words, seed, unseen, kind):
     docs = spark.createDataFrame([*seeds, (100, f"{words} {unseen}, today"), (101, f"nothing leads to {unseen[:5]} here")], "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
     assert found[0].startswith(kind) and found[100] == f"{kind}:{len(words) + 1}:{len(words) + 1 + len(unseen)}" and found[101] == ""
+
+
+def test_discovery_goes_on_from_what_it_found(spark):
+    """A chain of seven patterns: each shares instances only with the one before it, the first with the seeds."""
+    texts = [f"address stepz 10.0.0.{i} end" for i in range(60)]
+    for k in range(7):
+        texts += [f"address step{'abcdefgh'[k]} 999.{k}.{k}.{i} end" for i in range(4)]
+        before = "stepz" if k == 0 else f"step{'abcdefgh'[k - 1]}"
+        texts += [f"address {before} 999.{k}.{k}.{i} end" for i in range(3)] if k == 0 else []
+        texts += [f"address step{'abcdefgh'[k]} 999.{k + 1}.{k + 1}.{i} end" for i in range(3)] if k < 6 else []
+        texts += [f"address step{'abcdefgh'[k]} 999.{k}.{k}.{i} end" for i in range(3) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = pii.find_personal_data(docs).collect()
+    assert len(spans) == len(texts) and all(r["spans"].startswith("ip:") for r in spans), [r for r in spans if not r["spans"]][:3]
