@@ -1,6 +1,6 @@
 """Personal data: base patterns, then bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are the base patterns' spans. The two words before a seed are a lexical pattern. Patterns and instances
+Seeds are the base patterns' spans. The two whole words before a seed's token are a lexical pattern. Patterns and instances
 (identifier-like strings of one or several tokens and the spans found so far) form a graph that is scored round by round: a pattern's confidence
 in a kind is the share of all its occurrences in the corpus that introduce a known instance of that kind, given enough
 different ones; an unseen instance's score is the noisy-or of its patterns' confidences. Instances that score high
@@ -55,7 +55,8 @@ _RUN = r"""(?<![\p{L}0-9+./-])(?:\+?+\((?=[0-9]++\))|\+)?+[0-9][0-9()./-]*+(?:[
 _RUN_CORE = ".*[0-9]"
 #: Addresses in words: name at host, name(at)host, with dots as such or in words.
 _AT = r"(?i)(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++(?:[ \t]++at[ \t]++|[ \t]*+(?:\(at\)|\[at\]|\{at\})[ \t]*+)(?=[0-9-]*+\p{L})[\p{L}0-9-]++(?:(?:\.|[ \t]++dot[ \t]++|[ \t]*+(?:\(dot\)|\[dot\]|\{dot\})[ \t]*+)[\p{L}0-9-]++)*+(?![ \t]++at[ \t])"
-_CONTEXT = 80
+#: The last two whole words of what precedes a place, and what of a third touches it.
+_LAST = r"(?<!\S)(?:\S++\s++){0,2}+\S*+\z"
 #: SQL for an instance with runs of digits and of letters as one character each.
 _SHAPE = "regexp_replace(regexp_replace(instance, '[0-9]+', '0'), '\\\\p{L}+', 'a')"
 _QUAD = "^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$"
@@ -73,17 +74,29 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _flat(text: str) -> str:
+    """SQL for a text in lower case with all digits alike."""
+    return f"translate(lower({text}), '123456789', '000000000')"
+
+
+def _before(context: str) -> str:
+    """SQL for the two whole words before the token that follows or ends a context; empty if there are fewer."""
+    words = f"regexp_extract({_flat(context)}, {_sql(r'(?<!\S)(\S++\s++\S++)\s++\S*+\z')}, 1)"
+    return f"regexp_replace({words}, {_sql(r'\s+')}, ' ')"
+
+
 def _matches(regex: str, kind: int, valid: str, core: str | None = None) -> str:
-    """SQL for the spans of ``regex`` in ``text``: start, kind, end, string and the words before, in one fold over the
-    matches and what lies between them."""
-    rx = _sql(regex)
+    """SQL for the spans of ``regex`` in ``text``: start, kind, end, string and the two words before its token, in one
+    fold over the matches and what lies between them, which carries the last words along."""
+    rx, last = _sql(regex), _sql(_LAST)
     at = f"regexp_instr(x.m, {_sql(core)}) - 1" if core else "0"
     m = f"regexp_extract(x.m, {_sql(core)}, 0)" if core else "x.m"
-    span = f"""transform(array({m}), m -> struct(a.pos + length(x.g) + {at} AS s, {kind} AS k, a.pos + length(x.g) + {at} + length(m) AS e, m, right(x.g, {_CONTEXT}) AS l))"""
+    span = f"""transform(filter(array({m}), m -> {valid}), m -> struct(a.pos + length(x.g) + {at} AS s, {kind} AS k, a.pos + length(x.g) + {at} + length(m) AS e, m, {_before("c")} AS l))"""
+    step = f"""struct(a.pos + length(x.g) + length(x.m) AS pos, regexp_extract(concat(c, x.m), {last}, 0) AS tail, concat(a.out, {span}) AS out)"""
     fold = f"""aggregate(
         zip_with(split(text, {rx}, -1), regexp_extract_all(text, {rx}, 0), (g, m) -> struct(g, m)),
-        struct(0 AS pos, cast(array() AS array<{_SPAN}>) AS out),
-        (a, x) -> IF(x.m IS NULL, a, struct(a.pos + length(x.g) + length(x.m) AS pos, concat(a.out, filter({span}, y -> exists(array(y.m), m -> {valid}))) AS out)),
+        struct(0 AS pos, '' AS tail, cast(array() AS array<{_SPAN}>) AS out),
+        (a, x) -> IF(x.m IS NULL, a, element_at(transform(array(regexp_extract(concat(a.tail, x.g), {last}, 0)), c -> {step}), 1)),
         a -> a.out)"""
     return f"CASE WHEN text RLIKE {rx} THEN {fold} ELSE cast(array() AS array<{_SPAN}>) END"
 
@@ -102,16 +115,6 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", F.xxhash64("text").alias("tk"), "base", apart.alias("loose"))
 
 
-def _flat(text: str) -> str:
-    """SQL for a text in lower case with all digits alike."""
-    return f"translate(lower({text}), '123456789', '000000000')"
-
-
-def _before(context: str) -> str:
-    """SQL for the last two words of a context."""
-    return f"regexp_extract({_flat(context)}, '(\\\\S+\\\\s+\\\\S+)\\\\s*$', 1)"
-
-
 def _pattern_counts(docs: DataFrame, patterns: DataFrame, bits: int, id_col: str, text_col: str) -> DataFrame:
     """How often each of ``patterns`` occurs in the corpus, followed by whatever."""
     place = lambda h: F.pmod(h, F.lit(1 << bits))
@@ -129,9 +132,8 @@ def _pattern_counts(docs: DataFrame, patterns: DataFrame, bits: int, id_col: str
 
 def discover(docs: DataFrame, spans: DataFrame, support: int = 3, confidence: float = 0.9, filter_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
     """Instances that the graph makes known beyond the seeds: (instance, kind); None if there is none."""
-    squeeze = "regexp_replace(l, '\\\\s+', ' ')"
     every = spans.select("tk", F.explode(F.concat("base", "loose")).alias("x")).select("tk", "x.*")
-    every = every.select("k", F.expr(_INSTANCE.format("m")).alias("instance"), F.expr(_before("l")).alias("l")).withColumn("pattern", F.expr(squeeze)).drop("l").filter("pattern <> ''")
+    every = every.select("k", F.expr(_INSTANCE.format("m")).alias("instance"), F.col("l").alias("pattern")).filter("pattern <> ''")
     edges = written(every.groupBy("pattern", "instance", "k").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     seeds = edges.filter("k >= 0").withColumn("shape", F.expr(_SHAPE))
     shapes = written(seeds.groupBy("k", "shape").agg(F.countDistinct("instance").alias("d")).filter(F.col("d") >= support).select(F.col("k").alias("kind"), "shape"), "pii-shapes")

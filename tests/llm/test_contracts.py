@@ -220,3 +220,18 @@ def test_discovery_goes_on_from_what_it_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     spans = pii.find_personal_data(docs).collect()
     assert len(spans) == len(texts) and all(r["spans"].startswith("ip:") for r in spans), [r for r in spans if not r["spans"]][:3]
+
+
+def test_patterns_are_the_two_whole_words_before_a_token(spark):
+    """Other matches in between, matches within a token and long words don't change them."""
+    long = "w" * 100
+    texts = ["user 42 login 10.0.0.1", "user 43 login 999.1.2.3", "to a@x.de, b@y.de", "see now <a@b.c>", "or say tel:+49 30 1234567", f"by {long} 10.0.0.2", "one\n two\t10.0.0.3", "two 10.0.0.4"]
+    want = [{"00 login"}, {"00 login"}, {"to a@x.de,", ""}, {"see now"}, {"or say"}, {f"by {long}"}, {"one two"}, {""}]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: {x["l"] for x in [*r["base"], *r["loose"]] if len(x["m"]) > 5 or "@" in x["m"]} for r in pii.base_spans(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
+def test_numbers_in_a_context_hide_no_instance(spark):
+    docs = spark.createDataFrame([*((i, f"user 4{i} login 10.0.0.{i} ok") for i in range(40)), (100, "user 42 login 999.1.2.3 ok")], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}[100] == "ip:14:23"
