@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.identity import core_name, indel_ratio, normalize_name, sorted_tokens
+from ..functions.identity import core_name, identity_domain, indel_ratio, normalize_name, sorted_tokens
 from ..functions.numeric import haversine_km
+from .ranking import nearest
 
 
 def tokens(df: DataFrame, key: str, name: Column) -> DataFrame:
@@ -39,6 +40,25 @@ def best_match(pairs: DataFrame, key: str, other: str, score: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.max_by(other, F.struct(F.col(score), -F.col(other))).alias(other), F.max(score).alias(score))
 
 
+def candidates(records: DataFrame, incoming: DataFrame, k: int = C.BLOCK_TOP_N, least: float = 50.0) -> DataFrame:
+    """(query_id, id, similarity): the records that each incoming row is to be held against.
+
+    Both sides have id, name, website and embedding (any but the id NULL). A row's candidates are its ``k`` nearest
+    records and those of its identity domain, with similarity 0 unless they are near, too; where there are none, all
+    records whose names are at least ``least`` similar, with similarity 0.
+    """
+    near = nearest(records.filter("embedding IS NOT NULL"), incoming.filter("embedding IS NOT NULL"), k, "id", "embedding", without_self=False).select("query_id", "id", "similarity")
+    site = lambda d, key: d.select(F.col("id").alias(key), identity_domain(F.col("website")).alias("site")).filter("site IS NOT NULL")
+    same = site(incoming, "query_id").join(site(records, "id"), "site").select("query_id", "id", F.lit(None).cast("double").alias("similarity"))
+    found = near.unionByName(same).groupBy("query_id", "id").agg(F.coalesce(F.max("similarity"), F.lit(0.0)).alias("similarity"))
+    rest = incoming.join(found.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti")
+    a = rest.select(F.col("id").alias("query_id"), normalize_name(F.col("name")).alias("na")).filter("na <> ''")
+    b = records.select("id", normalize_name(F.col("name")).alias("nb")).filter("nb <> ''")
+    gap = F.least(F.length("na"), F.length("nb")) * 200.0 / (F.length("na") + F.length("nb"))
+    alike = b.select("nb").distinct().crossJoin(a.select("na").distinct()).filter(gap >= least).filter(indel_ratio(sorted_tokens(F.col("na")), sorted_tokens(F.col("nb"))) >= least)
+    return found.unionByName(a.join(alike, "na").join(b, "nb").select("query_id", "id", F.lit(0.0).alias("similarity")))
+
+
 def connected(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
     """(node, component) by least label with pointer jumping; each round is checkpointed where a folder is set."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
