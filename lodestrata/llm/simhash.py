@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import id_text, written
-from .components import components
 
 #: Fingerprints of a bucket that are compared as one block.
 BLOCK = 4096

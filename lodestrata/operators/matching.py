@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.identity import core_name, identity_domain, indel_ratio, normalize_name, sorted_tokens
 from ..functions.numeric import haversine_km
+from .components import components
 from .ranking import nearest
 
 
@@ -59,24 +60,12 @@ def candidates(records: DataFrame, incoming: DataFrame, k: int = C.BLOCK_TOP_N,
     return found.unionByName(a.join(alike, "na").join(b, "nb").select("query_id", "id", F.lit(0.0).alias("similarity")))
 
 
-def connected(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
-    """(node, component) by least label with pointer jumping; each round is checkpointed where a folder is set."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c"))
-    spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    labels = cut(labels)
-    for _ in range(most):
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("n"))
-        step = labels.join(near, "u").select("u", F.least("c", "n").alias("c"))
-        up = labels.select(F.col("u").alias("c"), F.col("c").alias("root"))
-        new = cut(step.join(up, "c", "left").select("u", F.least("c", F.coalesce("root", "c")).alias("c")))
-        changed = new.join(labels.withColumnRenamed("c", "old"), "u").filter("c <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the smallest node that each node reaches, by star steps until nothing changes; a node that is
+    linked with itself only is its own."""
+    tree = components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    alone = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct().join(tree, "node", "left_anti")
+    return tree.select("node", F.col("root").alias("component")).unionByName(alone.select("node", F.col("node").alias("component")))
 
 
 def same_place(city_a: Column, city_b: Column, lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, km: float = C.SAME_PLACE_KM) -> Column:

@@ -135,6 +135,14 @@ def headline_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", Q.headline_like(F.left("text", F.lit(60))).alias("headline"))
 
 
+@query(r"""WITH n AS (SELECT 'part' AS kind, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer)
+SELECT kind, id, length(name) > 45 OR len(list_filter(string_split_regex(name, '\s+'), lambda w: w <> '')) > 6 OR regexp_matches(name, '[?!:;–—]|\.\s') OR (contains(name, ' ') AND ends_with(name, '.')) AS headline FROM n""")
+def headline_whole_names(spark, sf_dir):
+    names = lambda t, c: table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(f"{c}key").alias("id"), F.col(f"{c[0]}_name").alias("name"))
+    n = names("part", "p_part").unionByName(names("supplier", "s_supp")).unionByName(names("customer", "c_cust"))
+    return n.select("kind", "id", Q.headline_like(F.col("name")).alias("headline"))
+
+
 @query(r"""WITH n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Site ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'Only' || chr(CAST(65 + s_suppkey % 26 AS INT)) || s_suppkey % 100 ELSE 'plain' END AS name, s_nationkey FROM supplier),
 h AS (SELECT *, nullif(lower(trim(regexp_extract(name, '^(.*?)[\s_-]*0*([0-9]+)$', 1))), '') AS head FROM n)
 SELECT s_suppkey, name FROM h WHERE head IS NULL OR (SELECT count(*) FROM h g WHERE g.head = h.head AND g.s_nationkey = h.s_nationkey) < 2""")

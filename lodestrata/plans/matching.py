@@ -51,6 +51,14 @@ def duplicate_components(spark, sf_dir):
     return M.connected(links, "id", "first")
 
 
+@query(_LCS + """, u AS (SELECT a, b FROM e WHERE ratio >= 80 UNION ALL SELECT b, a FROM e WHERE ratio >= 80), r(n, c) AS (SELECT id, id FROM n UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.n),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n) SELECT p.p_partkey AS node, m.c AS component FROM part p JOIN n ON n.name = p.p_name JOIN m ON m.n = n.id""")
+def name_components(spark, sf_dir):
+    """All parts, linked by equal names and by pairs of similar ones."""
+    same = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")).join(_names(spark, sf_dir), "name").select(F.col("p_partkey").alias("a"), F.col("id").alias("b"))
+    return M.connected(same.unionByName(_edges(spark, sf_dir, 80.0).select("a", "b")), "a", "b")
+
+
 def _evidence(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("pair"), (F.col("l_quantity") / 50).alias("name"), (F.col("l_discount") * 10).alias("emb"), F.when(F.col("l_tax") > 0.06, 0.9).otherwise(0.0).alias("founders"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_tax")).alias("overlap"), (F.col("l_returnflag") == "A").alias("domain"))
     score = F.round(0.353 * F.col("name") + 0.353 * F.col("emb") + 0.176 * F.col("founders"), 3)

@@ -31,3 +31,17 @@ def test_candidates_of_all_customers(spark, sf_dir):
     found = {(r["query_id"], r["id"]) for r in plans.QUERIES["match_candidates"](spark, sf_dir).collect()}
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").collect()
     assert {(r["c_nationkey"], r["c_custkey"]) for r in customers if r["c_nationkey"] % 5} <= found
+
+
+@pytest.mark.parametrize("order", ["down", "random"])
+def test_long_chains_are_one_component(spark, order):
+    chain = [1, *range(200, 1, -1)] if order == "down" else random.Random(4).sample(range(1, 201), 200)
+    links = spark.createDataFrame([*zip(chain, chain[1:]), (300, 301), (400, 400)], "a long, b long")
+    found = {r["node"]: r["component"] for r in matching.connected(links, "a", "b").collect()}
+    assert found == {i: 1 for i in range(1, 201)} | {300: 300, 301: 300, 400: 400}
+
+
+def test_headlines_are_judged_by_the_whole_name(spark):
+    names = ["Acme", "a " * 7, "x" * 46, "Acme Works.", "x" * 70 + "!"]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    assert [r[0] for r in rows.orderBy("i").select(Q.headline_like(F.col("name"))).collect()] == [False, True, True, True, True]
