@@ -131,45 +131,45 @@ def with_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _surprise(a: int, some: int, b: int, others: int) -> float:
-    """Log-likelihood ratio of a of ``some`` and b of ``others`` documents against one common share."""
-    share = (a + b) / (some + others)
-    cells = [(a, some * share), (some - a, some * (1 - share)), (b, others * share), (others - b, others * (1 - share))]
-    return 2 * sum(seen * math.log(seen / due) for seen, due in cells if seen > 0)
+#: Entries that a task holds before it hands on their counts.
+_HELD = 200_000
 
 
-def induce(sample: DataFrame, entries: int = 300, support: int = 5, candidates: int = 20_000, surprise: float = 25.0) -> Lexicon:
-    """A lexicon from rows (text, label): entries that toxic documents have far more often than others.
+def _counts(rows: DataFrame) -> DataFrame:
+    """(entry, n): how many of the texts have each entry."""
 
-    ``surprise`` is the least log-likelihood ratio; unlike a test of the odds it also tells apart entries that no other
-    document has, from few documents on.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["entry", "n"])
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                n.update(_entries(t or ""))
+                if len(n) >= _HELD:
+                    yield pack()
+                    n.clear()
+        yield pack()
 
-    def count(toxic: bool, among: frozenset[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n: Counter[str] = Counter()
-                for t in batch.column(0).to_pylist():
-                    own = _entries(t or "")
-                    n.update(own if among is None else own & among)
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["entry", "n"])
+    return rows.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
-        rows = sample.filter(F.col("label") == (1.0 if toxic else 0.0)).select("text")
-        return rows.mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
+def induce(sample: DataFrame, entries: int = 300, support: int = 5, surprise: float = 25.0) -> Lexicon:
+    """A lexicon from rows (text, label): entries that toxic documents have far more often than others.
+
+    All entries that ``support`` toxic documents have are compared. ``surprise`` is the least log-likelihood ratio (of
+    both shares against one common share); unlike a test of the odds it also tells apart entries that no other document
+    has, from few documents on.
+    """
     of = dict(sample.groupBy("label").count().collect())
     some, others = of.get(1.0, 0), of.get(0.0, 0)
-    toxic = dict(count(True, None).filter(F.col("n") >= support).orderBy(F.desc("n"), "entry").limit(candidates).collect())
-    other = dict(count(False, frozenset(toxic)).collect())  # no more than the candidates
-    scored = []
-    for e, a in toxic.items():
-        b = other.get(e, 0)
-        odds = math.log((a + 0.5) / (some + 1)) - math.log((b + 0.5) / (others + 1))
-        g = _surprise(a, some, b, others)
-        if odds > 1.2 and g >= surprise:
-            scored.append((g, e, odds))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    return Lexicon({e: odds for _, e, odds in scored[:entries]})
+    toxic = _counts(sample.filter("label = 1.0")).filter(F.col("n") >= support).withColumnRenamed("n", "a")
+    both = toxic.join(_counts(sample.filter("label = 0.0")).withColumnRenamed("n", "b"), "entry", "left").withColumn("b", F.coalesce("b", F.lit(0)))
+    a, b = F.col("a"), F.col("b")
+    share = (a + b) / (some + others)
+    cell = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
+    g = 2 * (cell(a, some * share) + cell(some - a, some * (1 - share)) + cell(b, others * share) + cell(others - b, others * (1 - share)))
+    odds = F.log((a + 0.5) / (some + 1)) - F.log((b + 0.5) / (others + 1))
+    scored = both.select("entry", odds.alias("odds"), g.alias("g")).filter((F.col("odds") > 1.2) & (F.col("g") >= surprise))
+    return Lexicon({r["entry"]: r["odds"] for r in scored.orderBy(F.desc("g"), "entry").limit(entries).collect()})
 
 
 @dataclass

@@ -54,3 +54,11 @@ def test_null_and_repeated_ids(spark, nulls, label):
     m = MODELS[label]
     model = m.fit(nulls, labels_of(spark, True))
     assert len(m.classify(nulls, model, quality.fold("doc_id", 5) == 0).collect()) == 6
+
+
+def test_rare_entries_are_compared_too(spark):
+    """A rare word that tells is found behind more frequent words than a driver would list."""
+    common = " ".join("q" + "".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(12_000))
+    rows = [(f"{common} {'grobian' if i < 12 else ''}", 1.0) for i in range(20)] + [(common, 0.0)] * 40
+    entries = toxicity.induce(spark.createDataFrame(rows, "text string, label double")).weights
+    assert list(entries) == ["grob"]
