@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -99,13 +99,14 @@ def same_company(a: Column, b: Column, place: Column, generic: list[str]) -> Col
     return (a != "") & (b != "") & F.when(a == b, True).when(begins, True).when(place, here).when(~place, ratio >= C.OTHER_CITY_THRESHOLD).otherwise(ratio >= C.FUZZY_THRESHOLD)
 
 
-def greedy_keepers(df: DataFrame, block: str, key: str, edges: DataFrame, a: str, b: str, order: list[Column]) -> DataFrame:
+def greedy_keepers(df: DataFrame, key: str, edges: DataFrame, a: str, b: str, order: list[Column]) -> DataFrame:
     """(key, keeper): rows in order; each joins the first kept row it matches, else is kept itself.
 
     Not transitive, so not components: the lexicographically first independent set, found in rounds. In each round the
-    rows whose earlier neighbours are all decided are decided.
+    rows whose earlier neighbours are all decided are decided. ``order`` is ascending, NULL first; of equals the lesser key
+    is earlier. Rows are compared by these values along the edges, so none is numbered among all.
     """
-    place = df.withColumn("lode_at", F.row_number().over(Window.partitionBy(block).orderBy(*order))).select(key, "lode_at")
+    place = df.withColumn("lode_at", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("key"))).select(key, "lode_at")
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     pos = place.withColumnRenamed(key, "x").withColumnRenamed("lode_at", "px")

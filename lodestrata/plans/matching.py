@@ -103,8 +103,7 @@ def suppression_antijoin(spark, sf_dir):
 @query()
 def greedy_dedupe(spark, sf_dir):
     """Rows that each join the first kept one they match: order decides, so there is no SQL; tested on small cases."""
-    n = _names(spark, sf_dir).withColumn("block", F.lit(0))
-    return M.greedy_keepers(n, "block", "id", _edges(spark, sf_dir, 80.0), "a", "b", [F.col("id")])
+    return M.greedy_keepers(_names(spark, sf_dir), "id", _edges(spark, sf_dir, 80.0), "a", "b", [F.col("id")])
 
 
 @query("""WITH b AS (SELECT c_nationkey AS block, c_mktsegment AS seg, c_custkey AS id FROM customer), s AS (SELECT n_nationkey AS block, CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS seg, n_nationkey AS q FROM nation)

@@ -45,3 +45,18 @@ def test_headlines_are_judged_by_the_whole_name(spark):
     names = ["Acme", "a " * 7, "x" * 46, "Acme Works.", "x" * 70 + "!"]
     rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     assert [r[0] for r in rows.orderBy("i").select(Q.headline_like(F.col("name"))).collect()] == [False, True, True, True, True]
+
+
+def test_greedy_keepers(spark, capsys):
+    """As one goes through the rows in order, with ties and NULL; no window over all rows."""
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([None, 1, 2, 3])) for i in range(40)]
+    links = [tuple(rnd.sample(range(40), 2)) for _ in range(60)]
+    keepers = {}
+    for i, _ in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[0])):
+        near = [k for k in keepers if keepers[k] == k and ((i, k) in links or (k, i) in links)]
+        keepers[i] = near[0] if near else i
+    found = matching.greedy_keepers(spark.createDataFrame(rows, "id long, v int"), "id", spark.createDataFrame(links, "a long, b long"), "a", "b", [F.col("v")])
+    assert {r["id"]: r["keeper"] for r in found.collect()} == keepers
+    found.explain()
+    assert "Window" not in capsys.readouterr().out
