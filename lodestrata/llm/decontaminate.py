@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text
-from .encoding import byte_slices
+from .common import byte_slices, id_text
 
 #: Words of a benchmark chunk, the bound of what is broadcast.
 CHUNK_WORDS = 200_000

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, scratch, written
-from .encoding import byte_slices, tokenizer_of
+from .common import byte_slices, id_text, scratch, written
+from .encoding import tokenizer_of
 
 MAGIC, HEAD, FOOT = b"LDPK", struct.Struct("<4sBBI"), struct.Struct("<QQQQ4s")
 #: Ids in a block.

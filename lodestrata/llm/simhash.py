@@ -24,37 +24,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import id_text, written
+from .common import SLICE, id_text, sliced, word_pieces, written
 
 #: Fingerprints of a bucket that are compared as one block.
 BLOCK = 4096
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles, unsigned."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: only ASCII letters and white space
-    if not words:
-        return 0
-    line = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, seed)
+def _add(words: list[bytes], width: int, seed: int, ones: np.ndarray) -> int:
+    """Adds the bits of the words' shingles to ``ones``; how many shingles there are."""
+    n = len(words) - width + 1
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(size) - 1
-    starts = (ends - size + 1)[: len(words) - width + 1]
-    ends = ends[width - 1 :]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for i in range(0, len(starts), 1 << 16):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[i : i + (1 << 16)].tolist(), ends[i : i + (1 << 16)].tolist(), strict=True)], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    starts, ends = (ends - size + 1)[:n], ends[width - 1 :]
+    for i in range(0, n, 1 << 14):
+        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[i : i + (1 << 14)].tolist(), ends[i : i + (1 << 14)].tolist(), strict=True)], "<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return n
+
+
+def fingerprint(text: str, width: int = 3, seed: int = 42, piece: int = SLICE) -> int:
+    """The SimHash of a text's word shingles, unsigned. A long text is taken piece by piece, so that memory beyond the
+    text itself doesn't grow with it."""
+    ones, n, carry = np.zeros(64, np.int64), 0, []
+    for words in word_pieces(text.encode("utf-8", "surrogatepass").lower(), piece):  # of bytes: only ASCII letters
+        words = carry + words
+        if len(words) >= width:
+            n += _add(words, width, seed, ones)
+            words = words[len(words) - width + 1 :]
+        carry = words
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(carry), seed) if carry else 0
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp: the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             fps = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 

@@ -28,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 from .quality import labelled_sample
 
 # Second-person words of the languages that the texts are in.
@@ -124,7 +124,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     schema = ", ".join([*(f"{c} {t}" for c, t in docs.dtypes if c != "text"), "dense array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             dense = [features(t or "", lexicon) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(dense, pa.list_(pa.float64()))], names=[*rest, "dense"])
 
@@ -141,7 +141,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["entry", "n"])
-        for batch in batches:
+        for batch in sliced(batches, 0):
             for t in batch.column(0).to_pylist():
                 n.update(_entries(t or ""))
                 if len(n) >= _HELD:
