@@ -24,9 +24,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import byte_slices, id_text, sliced
 
 #: Entries in each of the two generations of a worker's memo, so that memory stays bounded whatever the vocabulary.
 MEMO = 120_000
@@ -57,31 +58,21 @@ def tokenizer_of(path: str) -> "SentencePieceCounter | TokenizersEncoder":
     return SentencePieceCounter(path) if path.endswith(".model") else TokenizersEncoder(path)
 
 
-def byte_slices(sizes: list[int], limit: int) -> Iterator[slice]:
-    """Slices of a batch with at most ``limit`` bytes each, or one row."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > limit:
-            yield slice(start, i)
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield slice(start, len(sizes))
+def long_parts(text: str, pattern: str, limit: int = LONG) -> Iterator[str]:
+    """``text`` in parts of about ``limit`` characters, cut between matches of ``pattern``.
 
-
-def long_parts(text: str, limit: int = LONG) -> list[str]:
-    """``text`` in parts of about ``limit`` characters, cut before a blank with an ASCII letter on either side.
-
-    A GPT-2-like pattern ends a match there: no alternative has a letter and then a blank, and the blank goes with the
-    letters after it. Without such a place the text stays whole.
+    A cut comes after a match that ends with no white space. The pattern's only look-ahead may be one after white space,
+    as in GPT-2's; then no match before such a place depends on what follows it, and the parts have the matches of the
+    whole. One match is never cut, however long.
     """
-    if len(text) <= limit:
-        return [text]
-    cut, parts, start = re.compile("(?<=[A-Za-z])(?= [A-Za-z])"), [], 0
-    while len(text) - start > limit and (m := cut.search(text, start + limit)):
-        parts.append(text[start : m.start()])
-        start = m.start()
-    return [*parts, text[start:]]
+    start = 0
+    if len(text) > limit:
+        for m in regex.finditer(pattern, text):
+            if m.end() - start >= limit and not text[m.end() - 1].isspace():
+                yield text[start : m.end()]
+                start = m.end()
+    if start < len(text) or not text:
+        yield text[start:]
 
 
 class Memo:
@@ -100,7 +91,11 @@ class Memo:
             new = list(dict.fromkeys([k for k in lost if k not in old]))
             for s in byte_slices([len(k) for k in new], 1 << 20):
                 young.update(zip(new[s], self.make(new[s]), strict=True))
-        return list(map(young.__getitem__, keys))
+        out = list(map(young.__getitem__, keys))
+        for k in lost:  # long keys would make it large
+            if len(k) > 100:
+                young.pop(k, None)
+        return out
 
 
 def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -116,28 +111,53 @@ def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarr
 class SentencePieceCounter:
     """Lengths of sentencepiece encodings.
 
-    The pieces of such a model never hold a blank after another character (checked at start), so no merge crosses a
-    lone blank, and what follows it is encoded as at the start of a text, whose dummy blank takes that blank's place.
-    Texts with other blanks than lone ones, or with the character that stands for a blank, go to the library whole.
+    The pieces of such a model never hold a blank after another character (checked at start), so no merge crosses the
+    place before blanks, and what follows the first blank is encoded as at the start of a text, whose dummy blank takes
+    that blank's place. Blanks at the end, and those next to the character that stands for a blank, aren't cut.
+
+    A part without such a place that is still long is cut between two characters that no piece has next to one another;
+    what follows is encoded behind a line feed, which is a piece of its own, so that no dummy blank touches it.
     """
 
+    _CUT = re.compile("(?<=[^ \u2581]) (?= *[^ \u2581])")
+    _ODD = "  |^ | $|\u2581"
+
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = (self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.vocab_size()))
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [m.id_to_piece(i) for i in range(m.vocab_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
         probe = ["x  y", " x", "x ", "ａ①", "x\ty"]  # white space and characters are kept as they are
-        self.safe = all(self.model.decode(self.model.encode(t)) == t for t in probe) and not any("▁" in p for p in pieces)
-        self.memo = Memo(self.whole)
+        self.safe = all(m.decode(m.encode(t)) == t for t in probe) and not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+        bytes_too = sum(m.is_byte(i) for i in range(m.vocab_size())) == 256  # characters without a piece are bytes
+        self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)} if bytes_too and not any("\n" in p for p in pieces) else None
+        self.feed = len(m.encode("\n"))
+        self.memo = Memo(self.sizes)
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)]
 
+    def sizes(self, parts: list[str]) -> list[int]:
+        found = iter(self.whole([p for p in parts if len(p) <= LONG]))
+        return [next(found) if len(p) <= LONG else self.long(p) for p in parts]
+
+    def long(self, text: str, limit: int = LONG) -> int:
+        total = start = 0
+        while start < len(text):
+            end = min(len(text), start + limit)
+            while end < len(text) and (self.pairs is None or not self.safe or text[end - 1 : end + 1] in self.pairs or not {" ", "\u2581"}.isdisjoint(text[end - 1 : end + 1])):
+                end += 1
+            total += self.whole(["\n" + text[start:end]])[0] - self.feed if start else self.whole([text[:end]])[0]
+            start = end
+        return total
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
-        odd = pa.compute.match_substring_regex(texts, "  |^ | $|▁").to_numpy(zero_copy_only=False) | (not self.safe)
+        odd = pa.compute.match_substring_regex(texts, self._ODD).to_numpy(zero_copy_only=False)
+        if not self.safe:
+            return np.array(self.whole(texts.to_pylist()), np.int64)
         for i in np.flatnonzero(odd):
-            out[i] = self.whole([texts[int(i)].as_py()])[0]
+            out[i] = sum(self.memo.get(self._CUT.split(texts[int(i)].as_py())))
         if len(at := np.flatnonzero(~odd)):
             words, which, rows, _ = _words(texts.take(pa.array(at)))
             out[at] = np.bincount(rows, np.array(self.memo.get(words), np.int64)[which], len(at))
@@ -254,10 +274,10 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding_of(rank_file, pattern)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out: list[list] = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():
-                ids = [i for part in long_parts(text) for i in enc.encode_ordinary(part)]
+                ids = [i for part in long_parts(text, pattern) for i in enc.encode_ordinary(part)]
                 raw = enc.decode_bytes(ids)
                 packed = np.array(ids, "<u4")
                 out[0].append(len(ids))
