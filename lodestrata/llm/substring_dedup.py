@@ -3,17 +3,20 @@
 Shards. A window is assigned to the rarest-looking run of ``gram`` words within it (its anchor: the run with the least
 hash), so equal windows have equal anchors wherever they stand. Consecutive windows with one anchor make a segment.
 Anchors that stand in one text only can't be of a repeated window; the others' segments go to the shard of their anchor,
-equal segments as one. An anchor of very many documents has its windows dealt out one by one. The shuffle is linear in
-the repeated text, and no shard grows with a group of copies.
+equal segments as one. Where an anchor has more different segments than a shard may hold, these are split: a window's new
+key is its anchor together with the words around it that all windows share in which the anchor has about the same place,
+in five steps down to the window itself. So keys depend on a window's words alone, equal windows stay together, no shard
+grows with a group of copies or a common passage, and the shuffle is linear in the repeated text.
 
 Index. Each shard has a compressed FM-index of its segments: the Burrows-Wheeler transform in a wavelet matrix of
-packed bits with rank counts, the lengths of common prefixes up to ``window``, and of each class of equal windows the
-smallest document. Segments are streamed through it right to left: backward search keeps the interval of the longest
-match (matching statistics, up to ``window``), all segments of a shard a word at a time; where the match is a whole
-window, the interval's class tells the smallest document that has it. Words are compared, not hashes.
+packed bits with rank counts, the lengths of common prefixes up to ``window`` in one byte each with a tree of their
+minima, and of each class of equal windows the smallest document. Segments are streamed through it right to left:
+backward search keeps the interval of the longest match (matching statistics, up to ``window``), all segments of a shard
+a word at a time; where the match is a whole window, the interval's class tells the smallest document that has it.
 
-Exact copies are settled by the digest of their words before that: of equal word sequences all but the smallest id lose
-every word that a window covers.
+What is compared: the index compares words. Equal segments become one by 128 bits of XXH3, and texts that are copies as
+a whole are settled before that by 128 bits of the SHA-256 of their words: of equal ones all but the smallest id lose
+every word that a window covers. Neither digest is verified; anchors that differ in hash only cost a row.
 
 Defined cases: null text has no words; a document of fewer words than a window keeps all; a null id counts as larger
 than any other; rows with equal ids aren't earlier than one another; rows that repeat id and text have equal results;
@@ -33,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, sliced, written
 
-#: Words of a gram, most windows of a segment, documents of an anchor from which on its windows are dealt out one by one.
-GRAM, SEGMENT, HOT = 20, 64, 4096
-#: Segments that a shard has on average.
-SHARD = 4000
+#: Words of a gram, most windows of a segment.
+GRAM, SEGMENT = 20, 64
+#: Segments that a shard has on average, and the most different ones that a key may have before they are split.
+SHARD, MOST = 4000, 4096
 #: Words whose grams are hashed at once.
 _PIECE = 1 << 18
 _LAST = np.iinfo(np.int64).max
@@ -103,7 +106,7 @@ def segments(words: list[bytes], grams: Grams, window: int) -> tuple[np.ndarray,
 def _anchors(window: int, gram: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(gram, piece)
-        for batch in batches:
+        for batch in sliced(batches, 2):
             n, sha, s1, s2, found = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = text.encode("utf-8", "surrogatepass").split()
@@ -121,24 +124,83 @@ def _anchors(window: int, gram: int, piece: int):
     return run, "doc long, tk long, n_words long, sha string, s1 long, s2 long, anchor array<long>, low array<int>, high array<int>"
 
 
-def _extract(window: int, shards: int):
-    """Segments of documents with their words; windows of hot anchors one by one."""
+def _extract(window: int):
+    """Segments of documents with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             out: list[list] = [[] for _ in range(7)]
             for doc, tk, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 for span in spans:
-                    parts = [(w, w + 1) for w in range(span["low"], span["high"])] if span["hot"] else [(span["low"], span["high"])]
-                    for low, high in parts:
-                        raw = b" ".join(words[low : high + window - 1])
-                        a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(raw))
-                        for column, x in zip(out, ((a if span["hot"] else span["anchor"]) % shards, a, b, doc, tk, low, raw), strict=True):
+                    raw = b" ".join(words[span["low"] : span["high"] + window - 1])
+                    for column, x in zip(out, (span["anchor"], *_digest(raw), doc, tk, span["low"], raw), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(),) * 5 + (pa.int32(), pa.binary()), strict=True)], names=["key", "sa", "sb", "doc", "tk", "low", "raw"])
+
+    return run, "key long, sa long, sb long, doc long, tk long, low int, raw binary"
+
+
+def _digest(raw: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(raw))
+
+
+def keys(words: list[bytes], grams: Grams, window: int, width: int) -> list[int]:
+    """Of each window of a segment a key that only its own words decide: its first anchor and the words around it that
+    all windows share whose anchor stands in the same ``width`` places as its own."""
+    values, free, out = grams(words), window - grams.gram, []
+    for w in range(len(words) - window + 1):
+        at = int(np.argmin(values[w : w + free + 1]))
+        low = at - at % width
+        high = min(free, low + width - 1)
+        out.append(xxhash.xxh3_64_intdigest(b" ".join(words[w + at - low : w + at + grams.gram + free - high])) - (1 << 63))
+    return out
+
+
+def _split(window: int, gram: int, width: int):
+    """Parts of segments, cut where the keys of their windows change; ``low`` is their place in the segment (sa, sb)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(gram, _PIECE)
+        for batch in sliced(batches, 4):
+            out: list[list] = [[] for _ in range(8)]
+            for sa, sb, doc, low, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, start = raw.split(b" "), 0
+                found = keys(words, grams, window, width)
+                for w in range(1, len(found) + 1):
+                    if w == len(found) or found[w] != found[start]:
+                        part = b" ".join(words[start : w + window - 1])
+                        for column, x in zip(out, (found[start], *_digest(part), doc, part, sa, sb, low + start), strict=True):
                             column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(),) * 5 + (pa.int32(), pa.binary()), strict=True)], names=["shard", "sa", "sb", "doc", "tk", "low", "raw"])
+                        start = w
+            kinds = (pa.int64(),) * 4 + (pa.binary(),) + (pa.int64(),) * 2 + (pa.int32(),)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key", "ca", "cb", "doc", "raw", "sa", "sb", "low"])
+
+    return run, "key long, ca long, cb long, doc long, raw binary, sa long, sb long, low int"
+
+
+def _too_many(rows: DataFrame, most: int, *segment: str) -> DataFrame:
+    """Keys with more than ``most`` different segments, with the number of these."""
+    sizes = rows.select("key", *segment).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("different"))
+    return sizes if most < 0 else sizes.filter(F.col("different") > most)
 
-    return run, "shard long, sa long, sb long, doc long, tk long, low int, raw binary"
+
+def _refined(segments: DataFrame, window: int, gram: int, most: int) -> DataFrame:
+    """Segments (key, ca, cb, doc, raw) of finer keys, with their places ``low`` in the segments (sa, sb) they are of."""
+    done, rest = [], segments.select("sa", "sb", "doc", F.lit(0).alias("low"), "raw")
+    for width in (16, 8, 4, 2, 1):
+        run, schema = _split(window, gram, width)
+        rows = written(rest.mapInArrow(run, schema), "refined")
+        hot = written(_too_many(rows, most, "ca", "cb").select("key"), "hot-keys") if width > 1 else None
+        if hot is None or hot.isEmpty():
+            done.append(rows)
+            break
+        done.append(rows.join(hot, "key", "left_anti"))
+        rest = rows.join(hot, "key", "left_semi").select("sa", "sb", "doc", "low", "raw")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 class WaveletMatrix:
@@ -171,6 +233,54 @@ class WaveletMatrix:
         return at - start
 
 
+class Marks:
+    """Packed bits; ``rank`` is the number of the last mark at or before a place, from 0."""
+
+    def __init__(self, marked: np.ndarray):
+        packed = np.zeros((len(marked) // 64 + 1) * 8, np.uint8)
+        raw = np.packbits(marked, bitorder="little")
+        packed[: len(raw)] = raw
+        self.bits = packed.view(np.uint64)
+        self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bits), dtype=np.int32)[:-1]]).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        to = (at & 63).astype(np.uint64)
+        upto = self.bits[at >> 6] << (np.uint64(63) - to)
+        return self.ranks[at >> 6] + np.bitwise_count(upto) - 1
+
+
+class Below:
+    """Where small integers first fall below a bound, by a binary tree of minima (twice their number of bytes)."""
+
+    def __init__(self, values: np.ndarray):
+        self.n = len(values)
+        size = 1 << int(self.n).bit_length()  # more than n: what stands after the last is below any bound
+        level = np.zeros(size, values.dtype)
+        level[: self.n] = values
+        self.tree = [level]
+        while len(level) > 1:
+            level = np.minimum(level[::2], level[1::2])
+            self.tree.append(level)
+
+    def first(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The first place from ``at`` on (at most n) whose value is below ``bound`` (1 at least)."""
+        at = at.copy()
+        top = np.full(len(at), len(self.tree))  # level of the block that begins at ``at`` and holds it, once known
+        for k, level in enumerate(self.tree):
+            for again in (False, True):  # a block, and the one after it if it is the second of one above
+                block = at >> k
+                look = (top == len(self.tree)) & ((block & 1 == 1) | (not again))
+                small = level[np.minimum(block, len(level) - 1)] < bound
+                top[look & small] = k
+                at[look & ~small] += 1 << k
+        for k in range(len(self.tree) - 2, -1, -1):
+            go = top > k
+            left = np.minimum(at >> k, len(self.tree[k]) - 1)
+            skip = go & (self.tree[k][left] >= bound)
+            at[skip] += 1 << k
+        return at
+
+
 class FMIndex:
     """FM-index of texts (lists of words) with their documents, for matches of up to ``window`` words."""
 
@@ -188,16 +298,13 @@ class FMIndex:
         order, lcp = self._sorted(flat)
         self.counts = np.searchsorted(flat[order], np.arange(max(code.values(), default=0) + 2))
         self.bwt = WaveletMatrix(flat[order - 1], self.levels)  # before the first stands the last end
-        self.lcp = lcp
-        new = lcp < window
-        first = np.flatnonzero(new)
-        self.row_class = np.cumsum(new) - 1
-        self.smallest = np.minimum.reduceat(owner[order], first) if len(order) else np.zeros(0, np.int64)
-        new = lcp < window - 1
-        first = np.flatnonzero(new)
-        self.wide = first, np.append(first[1:], len(order)), np.cumsum(new) - 1
         self.n = len(order)
-        self.table = None
+        self.lcp = lcp.astype(np.min_scalar_type(window))
+        self.whole, self.nearly = Marks(lcp < window), Marks(lcp < window - 1)
+        first = np.flatnonzero(lcp < window)
+        self.smallest = np.minimum.reduceat(owner[order], first) if self.n else np.zeros(0, np.int64)
+        self.starts = np.append(np.flatnonzero(lcp < window - 1), self.n).astype(np.int32)
+        self.down, self.up = Below(self.lcp), Below(self.lcp[::-1])
 
     def _sorted(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes in the order of their first ``window`` words, by doubling; common prefixes with the row above."""
@@ -226,20 +333,7 @@ class FMIndex:
 
     def _widen(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of all rows that share ``depth`` words with those of the given intervals."""
-        if self.table is None:
-            self.table = [self.lcp.astype(np.int8)]
-            while 2 << (len(self.table) - 1) <= self.n:
-                half = 1 << (len(self.table) - 1)
-                self.table.append(np.minimum(self.table[-1][:-half], self.table[-1][half:]))
-        for k in range(len(self.table) - 1, -1, -1):
-            step = 1 << k
-            can = low - step >= 0
-            ok = can & (self.table[k][np.where(can, low - step + 1, 0)] >= depth)
-            low = low - step * ok
-            can = high + step <= self.n
-            ok = can & (self.table[k][np.where(can, high, 0)] >= depth)
-            high = high + step * ok
-        return low, high
+        return self.n - 1 - self.up.first(self.n - 1 - low, depth), self.down.first(high, depth)
 
     def matching_statistics(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of every place of every text: the longest match that begins there, in words up to the window, and if it is a
@@ -253,14 +347,13 @@ class FMIndex:
         sizes = np.array([len(texts[i]) for i in order], np.int64)
         low, high, depth = np.zeros(len(texts), np.int64), np.full(len(texts), self.n), np.zeros(len(texts), np.int64)
         lengths, docs = np.zeros_like(words), np.full(words.shape, _LAST)
-        starts, ends, wide = self.wide
         for step in range(longest):
             lanes = int(np.searchsorted(-sizes, -step, "left"))  # lanes with a word at this place
             a, b, d, c = low[:lanes], high[:lanes], depth[:lanes], words[step, :lanes]
             full = d == self.window
             if full.any():  # the last word goes before another comes
-                k = wide[a[full]]
-                a[full], b[full], d[full] = starts[k], ends[k], self.window - 1
+                k = self.nearly.rank(a[full])
+                a[full], b[full], d[full] = self.starts[k], self.starts[k + 1], self.window - 1
             todo = np.arange(lanes)
             while len(todo):
                 sym = c[todo]
@@ -275,12 +368,12 @@ class FMIndex:
                 a[lost], b[lost], d[lost] = 0, self.n, 0
                 todo = todo[(d[todo] > 0) & (c[todo] > 0)]
                 if len(todo):  # shorter, until more rows match
-                    above = np.where(b[todo] < self.n, self.lcp[np.minimum(b[todo], self.n - 1)], 0)
+                    above = np.where(b[todo] < self.n, self.lcp[np.minimum(b[todo], self.n - 1)], 0).astype(np.int64)
                     d[todo] = np.minimum(d[todo] - 1, np.maximum(self.lcp[a[todo]], above))
                     a[todo], b[todo] = self._widen(a[todo], b[todo], d[todo])
             lengths[step, :lanes] = d
             whole = np.flatnonzero(d == self.window)
-            docs[step, whole] = self.smallest[self.row_class[a[whole]]]
+            docs[step, whole] = self.smallest[self.whole.rank(a[whole])]
         out: list = [None] * len(texts)
         for lane, i in enumerate(order):
             n = len(texts[i])
@@ -295,14 +388,14 @@ def _search(window: int):
         docs = []
         for i in range(0, len(texts), 2 * SHARD):
             docs += [d[: len(d) - window + 1] for _, d in index.matching_statistics(texts[i : i + 2 * SHARD])]
-        return pd.DataFrame({"sa": shard["sa"], "sb": shard["sb"], "docs": docs})
+        return pd.DataFrame({"ca": shard["ca"], "cb": shard["cb"], "docs": docs})
 
-    return run, "sa long, sb long, docs array<long>"
+    return run, "ca long, cb long, docs array<long>"
 
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             out: list[list] = [[], []]
             for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
@@ -318,7 +411,7 @@ def _cut(window: int):
     return run, "doc long, tk long, n_removed long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, piece: int = _PIECE) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, most: int = MOST, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, piece: int = _PIECE) -> DataFrame:
     """One row per row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one blank); ``with_text`` adds the
     kept words as ``kept_text``, null where nothing was removed."""
     gram = min(gram, window)
@@ -327,22 +420,34 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, hot: int
     places = written(rows.mapInArrow(run, schema), "anchors")
 
     slim = places.select("doc", "tk", "n_words", "sha", "s1", "s2")
-    first = slim.groupBy("s1", "s2").agg(F.min("doc").alias("first"))
-    flags = slim.join(first, ["s1", "s2"]).withColumn("copy", F.col("doc") > F.col("first")).drop("first", "s1", "s2")
+    # aggregates are written before they are joined, so that a hot key's rows can be split in the join
+    first = written(slim.groupBy("s1", "s2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "copies")
+    flags = slim.join(first, ["s1", "s2"], "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).drop("first", "s1", "s2")
 
     spans = places.select("doc", "tk", "s1", "s2", F.explode(F.arrays_zip("anchor", "low", "high")).alias("x")).select("doc", "tk", "s1", "s2", "x.*")
-    repeated = spans.groupBy("anchor").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.min("s2").alias("c"), F.max("s2").alias("d"), F.count(F.lit(1)).alias("n")).filter("a <> b or c <> d").select("anchor", (F.col("n") > hot).alias("hot"))
-    found = spans.select("doc", "tk", "anchor", "low", "high").join(repeated, "anchor").groupBy("doc", "tk").agg(F.collect_list(F.struct("anchor", "low", "high", "hot")).alias("spans"))
+    repeated = spans.groupBy("anchor").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.min("s2").alias("c"), F.max("s2").alias("d")).filter("a <> b or c <> d").select("anchor")
+    found = spans.select("doc", "tk", "anchor", "low", "high").join(written(repeated, "repeated"), "anchor").groupBy("doc", "tk").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("spans"))
     found = found.join(flags.filter(~F.col("copy")).select("doc", "tk").distinct(), ["doc", "tk"])
     texts = written(rows.join(found, ["doc", "tk"]).select("doc", "tk", "text", "spans"), "candidates")
 
-    total = texts.agg(F.sum(F.size("spans"))).first()[0] or 0
-    run, schema = _extract(window, max(1, total // shard))
+    run, schema = _extract(window)
     parts = written(texts.mapInArrow(run, schema), "segments")
-    distinct = parts.groupBy("shard", "sa", "sb").agg(F.min("doc").alias("doc"), F.max("raw").alias("raw"))
+    sizes = written(_too_many(parts, -1, "sa", "sb"), "key-sizes")
+    total, largest = sizes.agg(F.sum("different"), F.max("different")).first()
+    shards = max(1, (total or 0) // shard)
+    distinct = parts.groupBy("key", "sa", "sb").agg(F.min("doc").alias("doc"), F.max("raw").alias("raw"))
+    places = parts.select(F.col("sa").alias("ca"), F.col("sb").alias("cb"), "doc", "tk", "low")
+    leaves = distinct.select("key", F.col("sa").alias("ca"), F.col("sb").alias("cb"), "doc", "raw")
+    if (largest or 0) > most:
+        hot = sizes.filter(F.col("different") > most).select("key")
+        finer = written(_refined(distinct.join(hot, "key", "left_semi"), window, gram, most), "finer")
+        leaves = leaves.join(hot, "key", "left_anti").unionByName(finer.groupBy("key", "ca", "cb").agg(F.min("doc").alias("doc"), F.max("raw").alias("raw")))
+        own = parts.join(hot, "key", "left_semi").select("sa", "sb", "doc", "tk", F.col("low").alias("at"))
+        own = own.join(finer.select("ca", "cb", "sa", "sb", "low"), ["sa", "sb"]).select("ca", "cb", "doc", "tk", (F.col("at") + F.col("low")).alias("low"))
+        places = parts.join(hot, "key", "left_anti").select(*(F.col(x).alias(y) for x, y in zip(("sa", "sb", "doc", "tk", "low"), places.columns, strict=True))).unionByName(own)
     run, schema = _search(window)
-    answers = distinct.groupBy("shard").applyInPandas(run, schema)
-    hits = parts.select("sa", "sb", "doc", "tk", "low").join(answers, ["sa", "sb"])
+    answers = leaves.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
+    hits = places.join(answers, ["ca", "cb"])
     starts = hits.select("doc", "tk", F.expr("filter(transform(docs, (x, i) -> if(x < doc, low + i, -1)), x -> x >= 0)").alias("starts")).filter("size(starts) > 0")
     starts = starts.groupBy("doc", "tk").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     run, schema = _cut(window)

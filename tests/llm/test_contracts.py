@@ -131,9 +131,35 @@ def test_every_pair_within_the_radius_collides():
     assert all(any(not m & (1 << a | 1 << b | 1 << c) for m in masks) for a, b, c in combinations(range(64), 3))
 
 
-def test_hot_anchors_lose_nothing(edges, edge_rows):
+def test_split_keys_lose_nothing(edges, edge_rows):
+    """Anchors of more segments than a key may have are split down to single windows, and then."""
     columns = CONTRACTS["op3_substring_dedup"][1]
-    assert rows(substring_dedup.remove_repeats(edges, hot=1, shard=2), columns) == sorted(brute.substring(edge_rows), key=str)
+    for most in (0, 1, 2):
+        assert rows(substring_dedup.remove_repeats(edges, most=most, shard=2), columns) == sorted(brute.substring(edge_rows), key=str)
+
+
+def test_split_keys_of_a_common_passage(spark):
+    """A passage in many surroundings, some of which are shared by few."""
+    import random
+
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("abcdefgh") + str(rnd.randrange(60))
+    passage, near = [word() for _ in range(90)], [[word() for _ in range(40)] for _ in range(6)]
+    docs = [(i, " ".join([*(rnd.choice(near) if i % 3 else [word() for _ in range(40)]), *passage, *(rnd.choice(near) if i % 2 else [word() for _ in range(40)])])) for i in range(60)]
+    docs += [(100 + i, "na " * rnd.randrange(40, 300)) for i in range(10)]
+    columns = CONTRACTS["op3_substring_dedup"][1]
+    assert rows(substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), most=3), columns) == sorted(brute.substring(docs), key=str)
+
+
+def test_first_below_and_ranks():
+    import numpy as np
+
+    rnd = np.random.default_rng(0)
+    for n in (1, 2, 3, 7, 8, 9, 64, 130):
+        values, at, bound = rnd.integers(0, 6, n).astype(np.uint8), rnd.integers(0, n + 1, 50), rnd.integers(1, 6, 50)
+        assert substring_dedup.Below(values).first(at, bound).tolist() == [next((j for j in range(a, n) if values[j] < x), n) for a, x in zip(at, bound, strict=True)]
+        marks, at = rnd.random(n) < 0.4, rnd.integers(0, n, 50)
+        assert substring_dedup.Marks(marks).rank(at).tolist() == (np.cumsum(marks) - 1)[at].tolist()
 
 
 @pytest.mark.parametrize("piece", [20, 21, 64, 300])
@@ -235,3 +261,44 @@ def test_patterns_are_the_two_whole_words_before_a_token(spark):
 def test_numbers_in_a_context_hide_no_instance(spark):
     docs = spark.createDataFrame([*((i, f"user 4{i} login 10.0.0.{i} ok") for i in range(40)), (100, "user 42 login 999.1.2.3 ok")], "doc_id long, text string")
     assert {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}[100] == "ip:14:23"
+
+
+def test_long_texts_reach_no_library_in_one_call():
+    """Double, leading and trailing blanks, text without blanks: parts of bounded length, results of the whole."""
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    counter = encoding.SentencePieceCounter(P.path("piece_bpe_32k.model"))
+    calls, whole = [], counter.whole
+
+    def spy(texts):
+        calls.extend(map(len, texts))
+        return whole(texts)
+
+    counter.whole = spy
+    for text in ("word " * 60_000 + " x", " " + "word " * 60_000, "line of text\n" * 20_000, "".join(rnd.choices("中文字日本語国会的是", k=200_000))):
+        calls.clear()
+        assert counter.counts(pa.array([text])).tolist() == [len(counter.model.encode(text))]
+        assert max(calls) <= encoding.LONG + 100
+    assert max(map(len, encoding.long_parts("1234 5678\n" * 30_000, P.PATTERN))) <= encoding.LONG + 100
+
+
+def test_parts_have_the_ids_of_the_whole():
+    import random
+
+    rnd = random.Random(3)
+    some = ["a", "the", " ", "  ", "\n", "\t", "▁", "中", "文", "é", "🙂", ".", "23", "'s", "'", "\r\n"]
+    enc, counter = encoding.encoding_of(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), encoding.SentencePieceCounter(P.path("piece_bpe_32k.model"))
+    for _ in range(500):
+        text = "".join(rnd.choices(some, k=rnd.randint(0, 60)))
+        assert [i for p in encoding.long_parts(text, P.PATTERN, 5) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+        assert counter.long(text, 5) == len(counter.model.encode(text))
+
+
+@pytest.mark.parametrize("piece", [1, 7, 40])
+def test_pieces_have_the_fingerprint_of_the_whole(edge_rows, piece):
+    for _, text in edge_rows:
+        if text and len(text) < 5000:
+            assert simhash.fingerprint(text, piece=piece) == simhash.fingerprint(text)
