@@ -86,12 +86,28 @@ def test_short_digests_are_verified_by_bytes(edges, edge_rows):
     assert rows(exact_dedup.find_copies(edges, digest_bytes=1, filter_bits=8), columns) == sorted(brute.exact(edge_rows), key=str)
 
 
-def test_index_looks_up_and_merges_runs(edges):
-    a, b = exact_dedup.flush(edges.filter("doc_id < 100")), exact_dedup.flush(edges.filter("doc_id >= 100"))
-    merged = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.compact(exact_dedup.compact(a), b).collect()}
-    assert merged == {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.compact(exact_dedup.flush(edges)).collect()}
+def test_index_merges_and_looks_up_runs(edges, capsys):
+    logged = exact_dedup.log(edges, memtables=3)
+    runs = [exact_dedup.flush(logged.filter(f"memtable = {k}")) for k in range(3)]
+    merged = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.compact(runs).collect()}
+    assert merged == {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.flush(logged).collect()}
     one = next(iter(merged))
-    assert {r["doc_id"] for r in exact_dedup.lookup(a, one).collect()} <= {r["doc_id"] for r in a.collect()}
+    assert [(r["keep_id"], r["group_size"]) for r in exact_dedup.lookup(exact_dedup.compact(runs), one).collect()] == [merged[one]]
+    capsys.readouterr()
+    runs[0].join(runs[1], "digest", "full").explain()  # buckets meet without a shuffle
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_index_without_a_filter(edges, edge_rows):
+    """Beyond the filter's bound the digests are joined."""
+    columns = CONTRACTS["op4_exact_dedup"][1]
+    assert rows(exact_dedup.find_copies(edges, filter_bits=3), columns) == sorted(brute.exact(edge_rows), key=str)
+
+
+def test_hot_digests_stay_where_they_are(spark):
+    rows_ = [(i, "same  text") for i in range(10_050)] + [(20_000 + i, f"text {i % 7}") for i in range(30)]
+    found = exact_dedup.find_copies(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert rows(found, CONTRACTS["op4_exact_dedup"][1]) == sorted(brute.exact(rows_), key=str)
 
 
 def test_large_buckets_are_cut_into_blocks(spark):
