@@ -18,20 +18,46 @@ def tokens(df: DataFrame, key: str, name: Column) -> DataFrame:
     return rows.withColumn("token", F.explode(F.array_distinct(F.split("norm", " "))))
 
 
+def _segments(name: str, least: float) -> tuple[str, str]:
+    """SQL for the keys of the shorter and of the longer name of a pair whose ratio is at least ``least``.
+
+    Insertions and deletions between two such names are at most a number ``k`` that the shorter length gives. Of k + 1
+    segments of the shorter name at least one is therefore whole in the longer one, and not far from its place: segment
+    i is moved by i operations before it at most, and by k - i after it. Keys are (length, segment number, characters).
+    """
+    share = max(0.0, 1 - (least - 5e-5) / 100)
+    most = lambda n: f"cast(floor({share!r}D * ({n} + floor({n} * {(1 + share) / (1 - share)!r}D + 1e-9D)) + 1e-9D) as int)"
+    at = lambda n, i: f"(({i}) * {n}) div ({most(n)} + 1)"
+    key = lambda n, i, text: f"concat_ws(' ', {n}, {i}, {text})"
+    short = f"transform(sequence(0, {most('n')}), i -> {key('n', 'i', f'substr({name}, {at("n", "i")} + 1, {at("n", "i + 1")} - {at("n", "i")})')})"
+    shift = f"filter(sequence(greatest(-i, m - n - ({most('n')} - i)), greatest(greatest(-i, m - n - ({most('n')} - i)), least(i, m - n + {most('n')} - i))), h -> h <= least(i, m - n + {most('n')} - i))"
+    cut = f"transform({shift}, h -> {key('n', 'i', f'substr({name}, greatest(0, {at("n", "i")} + h) + 1, {at("n", "i + 1")} - {at("n", "i")})')})"
+    lengths = f"sequence(cast(ceil(m * {(1 - share) / (1 + share)!r}D - 1e-9D) as int), m)"
+    long = f"array_distinct(flatten(transform({lengths}, n -> flatten(transform(sequence(0, {most('n')}), i -> {cut})))))"
+    return short, long
+
+
 def name_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str, least: float = C.FUZZY_THRESHOLD, within: bool = False) -> DataFrame:
-    """(left_key, right_key, ratio): names that share a word and are similar enough.
+    """(left_key, right_key, ratio): all pairs of names that are similar enough, whether or not they share a word.
 
-    Distinct normalised names are joined on their words, rarest word first: of a name's words only those that rank
-    among its rarest, by how many names have them, can be all that two names of this similarity share, but to stay
-    exact for any threshold all words block; equal names are compared once, whatever their number of rows.
+    Names are normalised, their words sorted. Distinct ones are joined on segments of which similar names must have one
+    in common (see ``_segments``), so no pair of at least ``least`` is missed; equal names are compared once, whatever
+    their number of rows. Below about 60 segments are single letters and block little.
     """
-    a = left.select(F.col(left_key), normalize_name(F.col(name)).alias("na")).filter(F.length("na") >= 4)
-    b = right.select(F.col(right_key), normalize_name(F.col(name)).alias("nb")).filter(F.length("nb") >= 4)
-    words = lambda d, n: d.select(n).distinct().withColumn("token", F.explode(F.array_distinct(F.split(n, " "))))
-    pairs = words(a, "na").join(words(b, "nb"), "token").select("na", "nb").distinct()
-    # a length gap bounds the ratio: no need to align names that can't reach it
-    gap = F.least(F.length("na"), F.length("nb")) * 200.0 / (F.length("na") + F.length("nb"))
-    scored = pairs.filter(gap >= least).withColumn("ratio", F.round(indel_ratio(sorted_tokens(F.col("na")), sorted_tokens(F.col("nb"))), 4)).filter(F.col("ratio") >= least)
+    a = left.select(F.col(left_key), sorted_tokens(normalize_name(F.col(name))).alias("na"), F.length(normalize_name(F.col(name))).alias("la")).filter("la >= 4").drop("la")
+    b = right.select(F.col(right_key), sorted_tokens(normalize_name(F.col(name))).alias("nb"), F.length(normalize_name(F.col(name))).alias("lb")).filter("lb >= 4").drop("lb")
+    short, long = _segments("t", least)
+
+    def keys(names: DataFrame, sql: str, out: str) -> DataFrame:
+        sized = names.toDF("t").distinct().withColumns({"n": F.length("t"), "m": F.length("t")})
+        return sized.select(F.col("t").alias(out), F.explode(F.expr(sql)).alias("key"))
+
+    pairs = keys(a.select("na"), short, "na").join(keys(b.select("nb"), long, "nb"), "key").select("na", "nb")
+    if not within:
+        pairs = pairs.unionByName(keys(a.select("na"), long, "na").join(keys(b.select("nb"), short, "nb"), "key").select("na", "nb"))
+    scored = pairs.distinct().withColumn("ratio", F.round(indel_ratio(F.col("na"), F.col("nb")), 4)).filter(F.col("ratio") >= least)
+    if within:
+        scored = scored.unionByName(scored.filter("na <> nb").select(F.col("nb").alias("na"), F.col("na").alias("nb"), "ratio")).distinct()
     out = a.join(scored, "na").join(b, "nb").select(left_key, right_key, "ratio")
     return out.filter(F.col(left_key) < F.col(right_key)) if within else out
 

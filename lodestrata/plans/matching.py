@@ -14,8 +14,8 @@ from .registry import query
 
 #: Distinct part names, which have two words each; a name's id is its smallest key.
 _LCS = """WITH RECURSIVE n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name),
-s AS (SELECT id, array_to_string(list_sort(string_split(name, ' ')), ' ') AS t, string_split(name, ' ') AS w FROM n),
-pr AS (SELECT a.id AS a, b.id AS b, a.t AS x, b.t AS y FROM s a JOIN s b ON a.id < b.id AND list_has_any(a.w, b.w)),
+s AS (SELECT id, array_to_string(list_sort(string_split(name, ' ')), ' ') AS t FROM n),
+pr AS (SELECT a.id AS a, b.id AS b, a.t AS x, b.t AS y FROM s a JOIN s b ON a.id < b.id),
 l AS (SELECT a, b, x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0) AS r FROM pr
  UNION ALL SELECT a, b, x, y, i + 1, list_reduce(list_transform(range(1, length(y) + 1), lambda j: [CASE WHEN substring(x, i + 1, 1) = substring(y, j, 1) THEN r[j] + 1 ELSE -1 END, r[j + 1]]), lambda acc, c: list_append(acc, CASE WHEN c[1] >= 0 THEN c[1] ELSE greatest(c[2], acc[-1]) END), [0]) FROM l WHERE i < length(x)),
 e AS (SELECT a, b, round(200.0 * r[-1] / (length(x) + length(y)), 4) AS ratio FROM l WHERE i = length(x))

@@ -60,3 +60,40 @@ def test_greedy_keepers(spark, capsys):
     assert {r["id"]: r["keeper"] for r in found.collect()} == keepers
     found.explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def _ratio(a, b):
+    a, b = (" ".join(sorted(x.lower().split())) for x in (a, b))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return round(200 * row[-1] / (len(a) + len(b)), 4)
+
+
+@pytest.mark.parametrize("least", [88.0, 80.0, 70.0, 95.0])
+def test_name_pairs_miss_none(spark, least):
+    """All pairs, also such that share no word."""
+    rnd = random.Random(11)
+    names = ["Deep-Drive", "DeepDrive", "muellermaschinen", "muellermaschinenn", "abcd", "abce", "Alpha Beta", "Beta Alpha"]
+    for _ in range(60):
+        base = "".join(rnd.choices("abcde ", k=rnd.randint(4, 20))).strip() or "abba"
+        names.append(base)
+        for _ in range(2):
+            x = list(base)
+            for _ in range(rnd.randint(1, 4)):
+                at = rnd.randrange(len(x) + 1)
+                x[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "a", "e"])
+            names.append("".join(x))
+    names = [n for n in dict.fromkeys(names) if len(" ".join(n.split())) >= 4]
+    rows = list(enumerate(" ".join(n.split()) for n in names))
+    want = {(i, j): r for i, a in rows for j, b in rows if i < j and (r := _ratio(a, b)) >= least}
+    left = spark.createDataFrame(rows, "a long, name string")
+    found = {(r["a"], r["b"]): r["ratio"] for r in matching.name_pairs(left, left.withColumnRenamed("a", "b"), "a", "b", "name", least, within=True).collect()}
+    assert found == want
+    if least == 88.0:
+        assert want[0, 1] > 88
+        both = {(r["a"], r["b"]) for r in matching.name_pairs(left, left.withColumnRenamed("a", "b"), "a", "b", "name", least).collect()}
+        assert both == want.keys() | {(j, i) for i, j in want} | {(i, i) for i, _ in rows}
