@@ -3,7 +3,7 @@
 Seeds are the base patterns' spans. The two whole words before a seed's token are a lexical pattern. Patterns and instances
 (identifier-like strings of one or several tokens and the spans found so far) form a graph that is scored round by round: a pattern's confidence
 in a kind is the share of all its occurrences in the corpus that introduce a known instance of that kind, given enough
-different ones; an unseen instance's score is the noisy-or of its patterns' confidences. Instances that score high
+different ones; an unseen instance's score is the noisy-or of the confidences of its patterns, those below ``trust`` left out. Instances that score high
 enough and have the form of the kind (its characters and number of digits, whatever the separators, or the shape of some
 seeds) become known; every round takes the patterns from all instances known by then, and the rounds end when no instance
 is new. All their occurrences are spans, too, but for those within others.
@@ -46,6 +46,8 @@ _VALID = {
     "card": _LUHN,
     "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
 }
+#: Matches of a text that are folded as one chunk.
+_CHUNK = 500
 _SPAN = "struct<s: int, k: int, e: int, m: string, l: string>"
 #: Tokens that may be identifiers, with what surrounds their core.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
@@ -93,11 +95,13 @@ def _matches(regex: str, kind: int, valid: str, core: str | None = None) -> str:
     m = f"regexp_extract(x.m, {_sql(core)}, 0)" if core else "x.m"
     span = f"""transform(filter(array({m}), m -> {valid}), m -> struct(a.pos + length(x.g) + {at} AS s, {kind} AS k, a.pos + length(x.g) + {at} + length(m) AS e, m, {_before("c")} AS l))"""
     step = f"""struct(a.pos + length(x.g) + length(x.m) AS pos, regexp_extract(concat(c, x.m), {last}, 0) AS tail, concat(a.out, {span}) AS out)"""
-    fold = f"""aggregate(
-        zip_with(split(text, {rx}, -1), regexp_extract_all(text, {rx}, 0), (g, m) -> struct(g, m)),
-        struct(0 AS pos, '' AS tail, cast(array() AS array<{_SPAN}>) AS out),
-        (a, x) -> IF(x.m IS NULL, a, element_at(transform(array(regexp_extract(concat(a.tail, x.g), {last}, 0)), c -> {step}), 1)),
-        a -> a.out)"""
+    # in chunks, as each step copies what it has found so far
+    fold = f"""element_at(transform(array(zip_with(split(text, {rx}, -1), regexp_extract_all(text, {rx}, 0), (g, m) -> struct(g, m))), z -> aggregate(
+        sequence(0, (size(z) - 1) div {_CHUNK}), struct(0 AS pos, '' AS tail, cast(array() AS array<array<{_SPAN}>>) AS outs),
+        (o, i) -> aggregate(slice(z, i * {_CHUNK} + 1, {_CHUNK}), struct(o.pos AS pos, o.tail AS tail, cast(array() AS array<{_SPAN}>) AS out),
+            (a, x) -> IF(x.m IS NULL, a, element_at(transform(array(regexp_extract(concat(a.tail, x.g), {last}, 0)), c -> {step}), 1)),
+            a -> struct(a.pos AS pos, a.tail AS tail, concat(o.outs, array(a.out)) AS outs)),
+        o -> flatten(o.outs))), 1)"""
     return f"CASE WHEN text RLIKE {rx} THEN {fold} ELSE cast(array() AS array<{_SPAN}>) END"
 
 
@@ -130,7 +134,7 @@ def _pattern_counts(docs: DataFrame, patterns: DataFrame, bits: int, id_col: str
     return counts.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
-def discover(docs: DataFrame, spans: DataFrame, support: int = 3, confidence: float = 0.9, filter_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+def discover(docs: DataFrame, spans: DataFrame, support: int = 3, confidence: float = 0.9, trust: float = 0.3, filter_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
     """Instances that the graph makes known beyond the seeds: (instance, kind); None if there is none."""
     every = spans.select("tk", F.explode(F.concat("base", "loose")).alias("x")).select("tk", "x.*")
     every = every.select("k", F.expr(_INSTANCE.format("m")).alias("instance"), F.col("l").alias("pattern")).filter("pattern <> ''")
@@ -143,19 +147,30 @@ def discover(docs: DataFrame, spans: DataFrame, support: int = 3, confidence: fl
     shaped = unseen.withColumn("shape", F.expr(_SHAPE)).join(shapes, "shape").select("instance", "kind")
     may = written(formed.unionByName(shaped).distinct(), "pii-may")
     known = written(seeds.select("instance", F.col("k").alias("kind")).distinct(), "pii-known")
-    found = totals = None
+    found = partial = totals = None
+    # what a part of the rows has of a pattern is no more than its total: many patterns are ruled out by that alone
+    part = docs.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(8)) == 0)
     while True:
         met = written(edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("d")).filter(F.col("d") >= support).drop("d"), "pii-met")
         # only patterns that stand before an unseen instance of a kind's form can make one known: no other is counted
         hopeful = edges.filter("k < 0").join(may, "instance").join(known.select("instance"), "instance", "left_anti").select("pattern", "kind")
-        fresh = met.join(hopeful, ["pattern", "kind"], "left_semi").select("pattern").distinct()
-        fresh = written(fresh if totals is None else fresh.join(totals, "pattern", "left_anti"), "pii-patterns")
+        met = written(met.join(hopeful, ["pattern", "kind"], "left_semi"), "pii-hopeful")
+        fresh = met.select("pattern").distinct()
+        fresh = written(fresh if partial is None else fresh.join(partial, "pattern", "left_anti"), "pii-patterns")
         if not fresh.isEmpty():
-            counts = written(_pattern_counts(docs, fresh, filter_bits, id_col, text_col), "pii-totals")
+            some = fresh.join(_pattern_counts(part, fresh, filter_bits, id_col, text_col), "pattern", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("some"))
+            some = written(some, "pii-partial")
+            partial = some if partial is None else partial.unionByName(some)
+        if partial is None:
+            return None
+        likely = met.join(partial, "pattern").filter(F.col("n") >= trust * F.col("some")).select("pattern").distinct()
+        likely = written(likely if totals is None else likely.join(totals, "pattern", "left_anti"), "pii-likely")
+        if not likely.isEmpty():
+            counts = written(_pattern_counts(docs, likely, filter_bits, id_col, text_col), "pii-totals")
             totals = counts if totals is None else totals.unionByName(counts)
         if totals is None:
             return None
-        scored = met.join(totals, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("n") / F.col("total")).alias("c"))
+        scored = met.join(totals, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("n") / F.col("total")).alias("c")).filter(F.col("c") >= trust)
         new = edges.filter("k < 0").join(known, "instance", "left_anti").join(scored, "pattern").join(may, ["instance", "kind"])
         new = new.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("score")).filter(F.col("score") >= confidence)
         new = new.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
