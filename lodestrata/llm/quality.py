@@ -46,9 +46,12 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0)).cast("double")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Structure statistics and metadata of a text."""
-    words = F.filter(F.split(text, SPACE_CLASS), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE_CLASS), lambda w: w != "")
+
+
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Structure statistics and metadata of a text; ``words`` is a column of its own, so that it is made once."""
     n = F.size(words)
     chars = F.length(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
@@ -80,7 +83,8 @@ def _bins(value: Column, ends: list[float]) -> list[Column]:
 def with_features(docs: DataFrame, text_col: str = "text", dimensions: int = 4096) -> DataFrame:
     """``docs`` with the vector lodestrata_features: word shares hashed to ``dimensions``, then indicators of the bins."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumns({f"lodestrata_s_{k}": v for k, v in statistics(text).items()})
+    named = docs.withColumn("lodestrata_words", words_of(text))
+    named = named.withColumns({f"lodestrata_s_{k}": v for k, v in statistics(text, F.col("lodestrata_words")).items()}).drop("lodestrata_words")
     bits = [b for k, ends in BINS.items() for b in _bins(F.col(f"lodestrata_s_{k}"), ends)]
     out = named.withColumn("lodestrata_w", F.split(F.lower(text), SPACE_CLASS)).withColumn("lodestrata_b", array_to_vector(F.array(*bits)))
     out = HashingTF(inputCol="lodestrata_w", outputCol="lodestrata_h", numFeatures=dimensions).transform(out)
