@@ -39,3 +39,5 @@ YEAR_SIGNALS = ["founded", "founded in", "co-founded", "established", "est.", "i
 YEAR_CONTEXT = 60
 EMPLOYEE_SIGNALS = ["employee", "employees", "headcount", "staff", "fte", "team of", "person team", "people on the team", "headcount of", "mitarbeiter", "beschäftigte", "belegschaft", "mann team", "köpfe"]
 AMOUNT_SIGNALS = ["million", "mio", "billion", "bn", "thousand", "tsd", "€", "$", "usd", "eur", "dollar", "euro", "funding", "raised", "investment", "eingesammelt", "finanzierung", "kapital", "runde"]
+# Texts of images that name nothing.
+ALT_NOISE = "logo icon image bild foto photo picture banner avatar placeholder default".split()
