@@ -80,8 +80,10 @@ def polygon_area_m2(points: Column) -> Column:
 
 
 def centroid(points: Column) -> Column:
+    """struct(lat, lon): the mean of the corners."""
     n = F.greatest(F.size(points), F.lit(1))
-    return F.struct(*[(F.aggregate(points, F.lit(0.0), lambda s, p, k=k: s + p[k]) / n).alias(k) for k in ("lat", "lon")])
+    mean = lambda k: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[k]) / n
+    return F.struct(mean("lat").alias("lat"), mean("lon").alias("lon"))
 
 
 def norm(v: Column) -> Column:

@@ -125,6 +125,24 @@ def same_company(a: Column, b: Column, place: Column, generic: list[str]) -> Col
     return (a != "") & (b != "") & F.when(a == b, True).when(begins, True).when(place, here).when(~place, ratio >= C.OTHER_CITY_THRESHOLD).otherwise(ratio >= C.FUZZY_THRESHOLD)
 
 
+def company_pairs(rows: DataFrame, key: str, name: str, city: str, lat: str, lon: str, generic: list[str]) -> DataFrame:
+    """(a, b): rows of which ``same_company`` holds, smaller key first.
+
+    Only pairs that can pass are compared: those that share a word or their first six letters, and similar names.
+    """
+    base = rows.select(F.col(key).alias("id"), normalize_name(F.col(name)).alias("n"), F.col(city).alias("city"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).filter("n <> ''")
+    names = base.select("n").distinct()
+    keys = names.withColumn("k", F.explode(F.array_distinct(F.concat(F.split("n", " "), F.when(F.length("n") >= 6, F.array(F.concat(F.lit("^"), F.substring("n", 1, 6)))).otherwise(F.array())))))
+    near = keys.join(keys.withColumnRenamed("n", "m"), "k").filter("n <= m").select("n", "m")
+    alike = name_pairs(names.select(F.col("n").alias("a"), F.col("n").alias("name")), names.select(F.col("n").alias("b"), F.col("n").alias("name")), "a", "b", "name", C.FUZZY_THRESHOLD).filter("a <= b").toDF("n", "m", "ratio").select("n", "m")
+    pairs = near.unionByName(alike).distinct()
+    x = base.toDF("a", "n", "city_a", "lat_a", "lon_a")
+    y = base.toDF("b", "m", "city_b", "lat_b", "lon_b")
+    met = pairs.join(x, "n").join(y, "m").filter("a <> b AND (n <> m OR a < b)")
+    place = same_place(*[F.col(c) for c in ("city_a", "city_b", "lat_a", "lon_a", "lat_b", "lon_b")])
+    return met.filter(same_company(F.col("n"), F.col("m"), place, generic)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def greedy_keepers(df: DataFrame, key: str, edges: DataFrame, a: str, b: str, order: list[Column]) -> DataFrame:
     """(key, keeper): rows in order; each joins the first kept row it matches, else is kept itself.
 
