@@ -53,23 +53,26 @@ def log(docs: DataFrame, digest_bytes: int = 32, memtables: int = 4, id_col: str
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _run(entries: DataFrame) -> DataFrame:
-    """``entries`` (digest, keep_id, group_size) as a table in sorted buckets."""
+def _run(entries: DataFrame, most: int) -> DataFrame:
+    """``entries`` (digest, keep_id, group_size; ``most`` rows at most) as a table in sorted buckets. Each file has a Bloom
+    filter for its share of the digests."""
     spark = entries.sparkSession
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lodestrata_run_{uuid.uuid4().hex}"
-    entries.write.bucketBy(buckets, "digest").sortBy("digest").option("path", scratch(spark, "run")).option("parquet.bloom.filter.enabled#digest", "true").saveAsTable(name)
+    bloom = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(most * 3 // (2 * buckets) + 64)}
+    entries.write.options(**bloom).bucketBy(buckets, "digest").sortBy("digest").option("path", scratch(spark, "run")).saveAsTable(name)
     return spark.table(name)
 
 
 def flush(memtable: DataFrame) -> DataFrame:
     """A run of a memtable's rows: digest, keep_id, group_size."""
-    return _run(memtable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    return _run(memtable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), memtable.count())
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two runs as one."""
     sizes = F.coalesce(a["group_size"], F.lit(0)) + F.coalesce(b["group_size"], F.lit(0))
-    return _run(a.join(b, "digest", "full").select("digest", F.least(a["keep_id"], b["keep_id"]).alias("keep_id"), sizes.alias("group_size")))
+    both = a.join(b, "digest", "full").select("digest", F.least(a["keep_id"], b["keep_id"]).alias("keep_id"), sizes.alias("group_size"))
+    return _run(both, a.count() + b.count())
 
 
 def compact(runs: list[DataFrame]) -> DataFrame:
