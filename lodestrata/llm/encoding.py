@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from .common import byte_slices, id_text, sliced
 
 #: Entries in each of the two generations of a worker's memo, so that memory stays bounded whatever the vocabulary.
-MEMO = 120_000
+MEMO = 250_000
 #: Characters after which a long text is encoded in parts.
 LONG = 1 << 15
 #: The White_Space property, spelt out: Python's own isspace has four control characters more than the tokenizers' has.
-_SPACES = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+_SPACES = ("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
 def tiktoken_encoding(rank_file: str, pattern: str):
@@ -198,7 +198,7 @@ class TokenizersEncoder:
         self.safe = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
         added = [x["content"] for x in spec.get("added_tokens") or []]
         # an added token may hold blanks: of such, any word of theirs counts
-        self.added = re.compile("|".join(re.escape(w) for a in added for w in a.split(" ") if w)) if added else None
+        self.odd = "|".join([" [" + "".join(_SPACES) + "]", " $", *(re.sub(r"([^\w ])", r"\\\1", w) for a in added for w in a.split(" ") if w)])
         self.letters, self.model = _byte_letters(), self.tokenizer.model
         self.memo, self.marks = Memo(self.words), Memo(lambda xs: [self.plain(x) for x in xs])
 
@@ -210,21 +210,29 @@ class TokenizersEncoder:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids, 4 bytes each, of words as they stand after a blank."""
-        found = [_PLAIN.fullmatch(w) for w in words]
-        others = iter(self.whole([" " + w for w, m in zip(words, found, strict=True) if m is None]))
-        marks = iter(self.marks.get([m[2] for m in found if m]))
-        return [self.plain(" " + m[1]) + next(marks) if m else next(others) for m in found]
+        tokenize, letter, out, others, marked = self.model.tokenize, self.letters[ord(" ")], [], [], []
+        for i, w in enumerate(words):
+            if w.isalpha() and w.isascii():  # most: nothing to translate but the blank
+                out.append(array("I", [x.id for x in tokenize(letter + w)]).tobytes())
+            elif m := _PLAIN.fullmatch(w):
+                out.append(self.plain(" " + m[1]))
+                if m[2]:
+                    marked.append((i, m[2]))
+            else:
+                out.append(b"")
+                others.append(i)
+        for (i, _), ids in zip(marked, self.marks.get([x for _, x in marked]), strict=True):
+            out[i] += ids
+        for i, ids in zip(others, self.whole([" " + words[i] for i in others]), strict=True):
+            out[i] = ids
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         words, which, rows, first = _words(texts)
-        # a word that begins with white space, or is none, follows a blank that is no safe place to cut; so does what
-        # may hold an added token: such texts go whole
-        odd = np.fromiter((not w or w[0] in _SPACES for w in words), bool, len(words))[which] & ~first
-        if self.added:
-            odd |= np.fromiter((self.added.search(w) is not None for w in words), bool, len(words))[which]
-        whole = np.full(len(texts), not self.safe)
-        whole[rows[odd]] = True
+        # a blank before white space or the end is no safe place to cut, and an added token may hold blanks: such texts
+        # go whole
+        whole = pa.compute.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) | (not self.safe)
         keep = ~whole[rows]
         which, rows, first = which[keep], rows[keep], first[keep]
         used, place = np.unique(which[~first], return_inverse=True)
