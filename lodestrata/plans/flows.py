@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import register as R
+from ..scratch import scratch
 from ..sources import crawl, formats
 from ..streaming import jobs
 from ..session import table
@@ -16,11 +15,7 @@ from .text import GROUPS, _CHUNKS, _SCORE
 
 
 def _folder(spark, name):
-    """A fresh folder in the shared one, or a temporary one where none is set."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def _stream(spark, sf_dir, name):
