@@ -17,13 +17,39 @@ _DROP = frozenset("script style nav footer header noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+def resolved(base: Column, href: Column) -> Column:
+    """A link's absolute http address as seen from a page, without fragment; NULL for other schemes."""
+    h = F.regexp_replace(F.trim(href), "#.*$", "")
+    root, bare = F.regexp_extract(base, "^[A-Za-z]+://[^/?#]*", 0), F.regexp_extract(base, "^[^?#]*", 0)
+    path = F.regexp_extract(base, "^[A-Za-z]+://[^/?#]*(/[^?#]*/|/)?", 1)
+    beside = F.concat(root, F.when(path == "", "/").otherwise(path), h)
+    full = (
+        F.when(h.rlike("(?i)^https?://"), h)
+        .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(h == "", F.regexp_replace(base, "#.*$", ""))
+        .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^[A-Za-z]+:", 0), h))
+        .when(h.startswith("/"), F.concat(root, h))
+        .when(h.startswith("?"), F.concat(bare, h))
+        .otherwise(beside)
+    )
+    head, tail = F.regexp_extract(full, "^[A-Za-z]+://[^/?#]*", 0), F.regexp_extract(full, r"\?.*$", 0)
+    parts = F.split(F.regexp_extract(full, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/")
+
+    def walk(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    walked = F.aggregate(parts, F.array().cast("array<string>"), walk)
+    walked = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.when(full.rlike(r"/\.\.?(/|$|\?)"), F.concat(head, F.array_join(walked, "/"), tail)).otherwise(full)
+
+
 def links(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(id, link): absolute http links of each page without fragment, each once; relative paths are left out."""
-    href = F.explode(F.regexp_extract_all(F.col(html), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1)))
-    rows = pages.select(id_col, F.col(url).alias("lode_url"), href.alias("href")).filter(~F.col("href").rlike("^(#|mailto:|tel:|javascript:)"))
-    root = F.regexp_extract("lode_url", "^[A-Za-z]+://[^/?#]*", 0)
-    full = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(root, F.col("href")))
-    return rows.select(id_col, F.regexp_replace(full, "#.*$", "").alias("link")).filter("link IS NOT NULL").distinct()
+    """(id, link, position): absolute http links of each page without fragment, each once, where it stands first."""
+    href = F.posexplode(F.regexp_extract_all(F.col(html), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("position", "href")
+    rows = pages.select(id_col, F.col(url).alias("lode_url"), href).filter(~F.trim("href").rlike("^(#|mailto:|tel:|javascript:)"))
+    found = rows.select(id_col, "position", resolved(F.col("lode_url"), F.col("href")).alias("link")).filter("link IS NOT NULL")
+    return found.groupBy(id_col, "link").agg(F.min("position").alias("position"))
 
 
 def link_density(html: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -114,11 +115,25 @@ def name_from_link(href: Column, page: Column) -> Column:
     return F.when((d != "") & (d != base_domain(page)) & (F.length(label) >= 2) & (label != "www"), F.initcap(label))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Characters whose compatibility decomposition without marks is one other character, and that character."""
+    pairs = []
+    for code in (*range(0xA1, 0x2500), *range(0xFF01, 0xFF5F)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).lower()
+        if len(bare) == 1 and bare != chr(code):
+            pairs.append((chr(code), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _PLAIN = _plain_letters()
+
+
 def fold(c: Column, synonyms: dict[str, str] = C.SYNONYMS) -> Column:
-    """For comparing values: lower case, no accents, one blank between words, known place names as one."""
-    marks = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    s = F.translate(squeeze(F.lower(F.coalesce(c.cast("string"), F.lit("")))), marks, plain)
+    """For comparing values: lower case, no accents, one blank between words, known place names as one.
+
+    Characters that decompose into several letters (ligatures) stay as they are."""
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(c.cast("string"), F.lit(""))), _MARKED, _PLAIN), r"\p{Mn}+", "")
+    s = squeeze(bare)
     if not synonyms:
         return s
     table = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])

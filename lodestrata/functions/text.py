@@ -70,15 +70,39 @@ def sliding_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
     return rows.filter(F.length("chunk") >= least)
 
 
-def blurbs(text: Column, least: int = C.BLURB_MIN) -> Column:
-    """Blank-line blocks of a text; short ones go to the next block, a short last one to the block before."""
+def sliding_parts(body: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, least: int = C.CHUNK_MIN) -> Column:
+    """The chunks of ``sliding_chunks`` of one (stripped) text, as an array."""
+    step = max(1, size - overlap)
+    more = range(1, -(-overlap // step) + 1)
+
+    def chunk(pieces: Column, full: Column, p: Column, i: Column) -> Column:
+        span = F.substring(F.concat(p, *[F.coalesce(F.get(pieces, i + k), F.lit("")) for k in more]), 1, size)
+        return F.transform(F.array(span), lambda s: cut(s, i * step + F.length(s) < full))[0]
+
+    def cut(span: Column, goes_on: Column) -> Column:
+        end = F.length(span)
+        back = F.greatest(F.lit(step), end - 300)
+        window = F.substring(span, back + 1, end - back)
+        return strip(F.substring(span, F.lit(1), F.coalesce(F.when(goes_on, back + F.coalesce(*[_last(window, s) for s in ("\n\n", "\n", ". ")])), end)))
+
+    pieces = F.array(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    return F.filter(F.transform(pieces, lambda ps: F.transform(ps, lambda p, i: chunk(ps, F.length(body), p, i)))[0], lambda c: F.length(c) >= least)
+
+
+def blurbs(text: Column, least: int = C.BLURB_MIN, most: int = C.BLURB_MAX) -> Column:
+    """Blank-line blocks of a text; short ones go to the next block, a short last one to the block before. Blocks of more
+    than ``most`` characters are cut as sliding chunks."""
     state = F.struct(F.lit("").alias("carry"), F.array().cast("array<string>").alias("out"))
     blocks = F.filter(F.transform(F.split(strip(text), r"\n\s*\n"), strip), lambda b: b != "")
 
     def add(s: Column, b: Column) -> Column:
         joined = F.when(s["carry"] != "", F.concat(s["carry"], F.lit("\n"), b)).otherwise(b)
+        return F.transform(F.array(joined), lambda j: after(s, j))[0]
+
+    def after(s: Column, joined: Column) -> Column:
         short = F.length(joined) < least
-        return F.struct(F.when(short, joined).otherwise("").alias("carry"), F.when(short, s["out"]).otherwise(F.concat(s["out"], F.array(joined))).alias("out"))
+        new = F.when(short, F.array().cast("array<string>")).when(F.length(joined) > most, sliding_parts(joined)).otherwise(F.array(joined))
+        return F.struct(F.when(short, joined).otherwise("").alias("carry"), F.concat(s["out"], new).alias("out"))
 
     def end(s: Column) -> Column:
         n = F.size(s["out"])

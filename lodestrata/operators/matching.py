@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.identity import core_name, identity_domain, indel_ratio, normalize_name, sorted_tokens
 from ..functions.numeric import haversine_km
+from ..scratch import written
 from .components import components
 from .ranking import nearest
 
@@ -155,17 +156,15 @@ def greedy_keepers(df: DataFrame, key: str, edges: DataFrame, a: str, b: str, or
     e = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     pos = place.withColumnRenamed(key, "x").withColumnRenamed("lode_at", "px")
     pos2 = place.withColumnRenamed(key, "y").withColumnRenamed("lode_at", "py")
-    before = e.join(pos, "x").join(pos2, "y").filter("py < px").select("x", "y", "py").persist()
-    open_rows = place.withColumn("keeper", F.lit(None).cast(dict(place.dtypes)[key])).persist()
+    before = written(e.join(pos, "x").join(pos2, "y").filter("py < px").select("x", "y", "py"), "earlier")
+    open_rows = written(place.withColumn("keeper", F.lit(None).cast(dict(place.dtypes)[key])), "keepers")
     while True:
         known = open_rows.select(F.col(key).alias("y"), F.col("keeper").alias("ky"))
         seen = before.join(known, "y").groupBy("x").agg(F.count_if(F.col("ky").isNull()).alias("waiting"), F.min_by("y", F.when(F.col("ky") == F.col("y"), F.col("py"))).alias("first"), F.min(F.when(F.col("ky").isNull(), F.col("py"))).alias("wait_at"), F.min(F.when(F.col("ky") == F.col("y"), F.col("py"))).alias("first_at"))
         new = open_rows.join(seen, open_rows[key] == seen["x"], "left")
         settled = F.when(F.col("first").isNotNull() & (F.col("wait_at").isNull() | (F.col("first_at") < F.col("wait_at"))), F.col("first")).when(F.coalesce("waiting", F.lit(0)) == 0, F.col(key))
-        step = new.select(key, "lode_at", F.coalesce("keeper", settled).alias("keeper")).persist()
-        left, had = step.filter("keeper IS NULL").count(), open_rows.filter("keeper IS NULL").count()
-        open_rows = step
-        if not left or left == had:
+        open_rows = written(new.select(key, "lode_at", F.coalesce("keeper", settled).alias("keeper")), "keepers")
+        if open_rows.filter("keeper IS NULL").isEmpty():  # every round settles the first open row at least
             break
     return open_rows.select(key, "keeper")
 

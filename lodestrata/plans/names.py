@@ -68,21 +68,20 @@ def url_skip_priority(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", I.skipped_url(u, ["login", "fr", "de"]).alias("skipped"), I.url_priority(u, ["en", "portfolio"]).alias("priority"))
 
 
-@query(r"""SELECT n_nationkey, regexp_replace(trim(regexp_replace(strip_accents(lower('  ' || n_name || '  Köln ' || CASE WHEN n_nationkey = 7 THEN 'É' ELSE '' END)), '\s+', ' ', 'g')), '^xx$', '') AS folded FROM nation""")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'))) AS folded FROM documents""")
 def norm_value_fold(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    raw = F.concat(F.lit("  "), F.col("n_name"), F.lit("  Köln "), F.when(F.col("n_nationkey") == 7, "É").otherwise(""))
-    return n.select("n_nationkey", I.fold(raw).alias("folded"))
+    """Whole texts without marks and case, one blank between words."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(I.fold(F.col("text"))).alias("folded"))
 
 
-@query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
-a AS (SELECT page_id, regexp_replace(CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href[1] = '/' THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || href END, '#.*$', '') AS link FROM l
+@query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) AS i FROM pages),
+a AS (SELECT page_id, i, regexp_replace(CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href[1] = '/' THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || href END, '#.*$', '') AS link FROM l
 WHERE NOT regexp_matches(href, '^(#|mailto:|tel:|javascript:)'))
-SELECT page_id, count(DISTINCT link) AS links, min(link) AS first_link FROM a WHERE link IS NOT NULL GROUP BY page_id""")
+SELECT page_id, count(DISTINCT link) AS links, arg_min(link, i) AS first_link FROM a WHERE link IS NOT NULL GROUP BY page_id""")
 def page_links(spark, sf_dir):
     from ..functions.html import links
 
-    return links(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.countDistinct("link").alias("links"), F.min("link").alias("first_link"))
+    return links(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.countDistinct("link").alias("links"), F.min_by("link", "position").alias("first_link"))
 
 
 @query(r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*>(.*?)</a>', 1) AS a, regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS body FROM pages)

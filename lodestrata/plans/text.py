@@ -99,7 +99,11 @@ def shingle_overlap_benchmark(spark, sf_dir):
     those that the items have, and not a comparison of all pairs."""
     side = lambda name, key, n: table(spark, sf_dir, name).select(key, T.shingles(F.col("text")).alias("sh")).filter("sh IS NOT NULL").select(key, F.size("sh").alias(n), F.explode("sh").alias("s"))
     common = F.count(F.lit(1))
-    pairs = side("documents", "doc_id", "n").join(side("benchmark", "item_id", "m"), "s").groupBy("doc_id", "item_id", "n", "m").agg(common.alias("common"))
+    items, docs = side("benchmark", "item_id", "m"), side("documents", "doc_id", "n")
+    asked = items.select("s").distinct()
+    if asked.count() <= 200_000:  # then broadcast, to leave out other shingles before the shuffle
+        docs = docs.join(F.broadcast(asked), "s", "left_semi")
+    pairs = docs.join(items, "s").groupBy("doc_id", "item_id", "n", "m").agg(common.alias("common"))
     return pairs.filter("common >= 3").select("doc_id", "item_id", "common", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 4).alias("jaccard"))
 
 
@@ -136,7 +140,7 @@ def blank_line_blocks(spark, sf_dir):
 
 @query()
 def blurb_chunks(spark, sf_dir):
-    """Blocks folded into blurbs: an order-dependent fold, tested against a restatement."""
+    """Blocks folded into blurbs: an order-dependent fold, held against a restatement in tests/test_texts.py."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.blurbs(F.col("text"))).alias("pos", "blurb"))
 
 

@@ -92,11 +92,14 @@ def map_elements(df: DataFrame, body: str = "body") -> DataFrame:
     return x.select("x.id", F.col("x.tags")["name"].alias("name"), F.coalesce("x.lat", "x.center.lat").alias("lat"), F.coalesce("x.lon", "x.center.lon").alias("lon"), "x.tags")
 
 
-def keyword_hits_in_pages(pages: DataFrame, keywords: DataFrame, text: str, keyword: str = "keyword", around: int = 80) -> DataFrame:
-    """(page, keyword, excerpt) of each keyword that a page contains, with what stands around its first place."""
+def keyword_hits_in_pages(pages: DataFrame, keywords: DataFrame, text: str, keyword: str = "keyword", around: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """(page, keyword, excerpt) of each keyword that a page contains, with what stands around its first place.
+
+    Only ids and tokens meet the keywords; texts join the pages that have a keyword's first token."""
     words = keywords.select(F.lower(keyword).alias("k")).distinct()
     first = words.select(F.col("k"), F.regexp_extract("k", r"^[\p{L}\p{N}]+", 0).alias("token")).filter("token <> ''")
-    tokens = pages.withColumn("token", F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))))
-    hit = tokens.join(first, "token").filter(F.contains(F.lower(text), F.col("k")))
+    tokens = pages.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("token"))
+    some = tokens.join(first, "token").select(id_col, "k")
+    hit = pages.join(some, id_col).filter(F.contains(F.lower(text), F.col("k")))
     at = F.instr(F.lower(text), F.col("k"))
-    return hit.withColumn("excerpt", F.substring(F.col(text), F.greatest(at - around, F.lit(1)), F.length("k") + 2 * around)).drop("token").withColumnRenamed("k", keyword)
+    return hit.withColumn("excerpt", F.substring(F.col(text), F.greatest(at - around, F.lit(1)), F.length("k") + 2 * around)).withColumnRenamed("k", keyword)
