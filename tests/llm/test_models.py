@@ -62,3 +62,74 @@ def test_rare_entries_are_compared_too(spark):
     rows = [(f"{common} {'grobian' if i < 12 else ''}", 1.0) for i in range(20)] + [(common, 0.0)] * 40
     entries = toxicity.induce(spark.createDataFrame(rows, "text string, label double")).weights
     assert list(entries) == ["grob"]
+
+
+def test_quality_scores_are_those_of_the_machine(spark):
+    """The pairwise sum over factors, written out, gives Spark's score; the statistics are restated in plain Python."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").filter("doc_id < 60")
+    full, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    model = quality.fit(full, labels, dimensions=64, iterations=5)
+    m = model.model
+    bias, linear, factors = m.intercept, m.linear.toArray(), m.factors.toArray()
+    rows = quality.with_features(docs, "text", 64).select("doc_id", "text", "lodestrata_features").collect()
+    scores = {r["doc_id"]: r["score"] for r in model.score(docs).select("doc_id", "score").collect()}
+    for r in rows:
+        x = r["lodestrata_features"].toArray()
+        pairs = sum(x[i] * x[j] * float(factors[i] @ factors[j]) for i in range(len(x)) if x[i] for j in range(i + 1, len(x)) if x[j])
+        assert abs(scores[r["doc_id"]] - 1 / (1 + math.exp(-(bias + float(linear @ x) + pairs)))) < 1e-6
+        text = r["text"] or ""
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        n = len(words)
+        share = lambda a, b: a / b if b else 0.0
+        values = {
+            "adjacent_repeats": share(sum(a == b for a, b in zip(words, words[1:])), n),
+            "distinct_words": share(len(set(words)), n),
+            "upper_words": share(sum(w.upper() == w and w.lower() != w and len(w) > 1 for w in words), n),
+            "bars": share(text.count("|"), n),
+            "exclamations": share(text.count("!"), n),
+            "digits": share(sum(text.count(c) for c in "0123456789"), len(text)),
+            "word_length": share(len(text), n),
+            "words": n,
+            "characters": len(text),
+        }
+        at = 64
+        for name, ends in quality.BINS.items():
+            if name in values:
+                want = sum(values[name] > e for e in ends)
+                assert x[at : at + len(ends) + 1].tolist() == [float(k == want) for k in range(len(ends) + 1)], (name, r["doc_id"])
+            at += len(ends) + 1
+
+
+def test_toxicity_scores_are_calibrated_margins(spark):
+    """Isotonic steps between which one interpolates, restated, and one hundredth of the margin's sigmoid."""
+    import math
+
+    import numpy as np
+
+    full, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    model = toxicity.fit(full, labels, trees=5)
+    docs = full.filter("doc_id < 200").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    margins = {r["doc_id"]: r["margin"] for r in toxicity._margins(model.trees, toxicity.with_features(docs, model.lexicon)).select("doc_id", "margin").collect()}
+    x, y = model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()
+    assert (np.diff(y) >= 0).all()
+    for r in model.score(docs).collect():
+        m = margins[r["doc_id"]]
+        assert abs(r["score"] - (0.99 * float(np.interp(m, x, y)) + 0.01 / (1 + math.exp(-2 * m)))) < 1e-6
+
+
+def test_toxicity_features_of_a_text():
+    """Each feature by hand."""
+    import math
+
+    lexicon = toxicity.Lexicon({"idio": 2.0, "trash$": 1.0})
+    text = "YOU idiots!! are 1di0ts, trash... why? noooo"
+    found = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon), strict=True))
+    n, chars = 7, len(text)
+    want = {
+        "words": math.log1p(n), "density": 3 / n, "weighted": 5 / n, "distinct": 2.0, "count": math.log1p(3), "burst": 3 / n, "second_person": 1 / n, "proximity": 3 / n,
+        "capitals": 3 / chars, "upper_words": 1 / n, "exclamations": 2 / n, "questions": 1 / n, "punctuation": 7 / chars, "mixed": 1 / n, "repeated_letters": 1 / n, "undone": 1 / n,
+    }
+    assert all(abs(found[k] - v) < 1e-9 for k, v in want.items()), {k: (found[k], v) for k, v in want.items() if abs(found[k] - v) >= 1e-9}
