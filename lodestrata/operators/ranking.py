@@ -1,8 +1,8 @@
 """Nearest neighbours, thesis ranking and matchmaking.
 
-Queries are a stated set, broadcast only while its bytes are under a bound; otherwise the corpus is ranked in blocks of
-queries. Every candidate stream ends in a partial top-k on each partition before anything is shuffled, so what moves is
-k rows a query and task, not the corpus.
+Queries are a stated set. They are broadcast in blocks of about QUERY_BLOCK rows (12 MB of 768 numbers each), and each block
+is one pass over the corpus: exact, and meant for few queries against many rows. Every candidate stream ends in a partial
+top-k on each partition before anything is shuffled, so what moves is k rows a query and task, not the corpus.
 """
 
 from __future__ import annotations

@@ -53,7 +53,11 @@ def chunk_yield(df: DataFrame, groups: dict[str, list[str]], by: list[str], text
 
 
 def outcome_state(df: DataFrame, key: str, at: str, short: str, limit: int = 2) -> DataFrame:
-    """(key, at, consecutive, status) of each row as it comes: a run of shortfalls flags the key, a success clears it."""
+    """(key, at, consecutive, status) of each row as it comes: a run of shortfalls flags the key, a success clears it.
+
+    A key's rows of one micro-batch are put in order together, so what one batch may hold of a key is bounded by the
+    files that the source takes a trigger; rows that come in a later batch count as later, whatever their time.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
