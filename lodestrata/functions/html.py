@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -140,3 +141,38 @@ def page_strategies(pages: DataFrame, id_col: str = "page_id", html: str = "html
     return found.withColumn("strategy", strategy(F.col("images"), F.col("cards"), F.col("headings"), F.col("text_length")))
 
 
+
+
+def _nodes(data: object, depth: int = 6) -> Iterator[dict]:
+    if depth >= 0 and isinstance(data, dict):
+        yield data
+    for value in data.values() if isinstance(data, dict) else data if isinstance(data, list) else ():
+        if depth > 0:
+            yield from _nodes(value, depth - 1)
+
+
+def structured_types(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(id, type, n, items): how often each type occurs in a page's JSON-LD, at most six levels deep, and the most items
+    that a list or collection of the page says, or shows, it has. Scripts that are no JSON are passed over."""
+    script = F.explode(F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))).alias("script")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for page, text in zip(batch[id_col], batch["script"], strict=True):
+                try:
+                    nodes = list(_nodes(json.loads(text)))
+                except ValueError:
+                    continue
+                for node in nodes:
+                    kind = node.get("@type")
+                    kind = kind[0] if isinstance(kind, list) and kind else kind
+                    if isinstance(kind, str) and kind:
+                        said, shown = node.get("numberOfItems"), node.get("itemListElement") or []
+                        items = (said if isinstance(said, int) else len(shown)) if kind in ("ItemList", "CollectionPage") else 0
+                        out.append((page, kind, items))
+            yield pd.DataFrame(out, columns=[id_col, "type", "items"]).astype({id_col: "int64", "items": "int64"})
+
+    found = pages.select(id_col, script).mapInPandas(run, f"{id_col} long, type string, items long")
+    best = found.groupBy(id_col).agg(F.max("items").alias("items"))
+    return found.groupBy(id_col, "type").agg(F.count(F.lit(1)).alias("n")).join(best, id_col)

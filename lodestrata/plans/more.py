@@ -142,3 +142,62 @@ def message_ids(spark, sf_dir):
     """Messages by their own id, with the latest number that the mailbox gave them."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), F.concat(F.lit("<"), F.col("o_orderkey") % 900, F.lit("@"), F.lower("o_orderstatus"), F.lit(".org>")).alias("message"))
     return o.groupBy("message").agg(F.max("uid").alias("uid"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS page_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1), t AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'ItemList' ELSE 'WebPage' END AS type, 1 AS n FROM o WHERE page_id % 7 <> 0 UNION ALL SELECT page_id, 'Organization', f FROM o WHERE page_id % 7 <> 0 AND f > 0)
+SELECT t.page_id, t.type, t.n::BIGINT AS n, CASE WHEN t.page_id % 5 <> 0 THEN 0 WHEN t.page_id % 2 = 0 THEN o.n ELSE o.f END::BIGINT AS items FROM t JOIN o USING (page_id)""")
+def structured_data(spark, sf_dir):
+    """Types and list sizes of pages' JSON-LD, broken scripts passed over."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").cast("int").alias("f"))
+    k = F.col("page_id")
+    nodes = F.array_repeat(F.to_json(F.struct(F.array(F.lit("Organization")).alias("@type"), F.lit("x").alias("name"))), F.col("f"))
+    said = F.when(k % 2 == 0, F.concat(F.lit('"numberOfItems": '), "n", F.lit(", "))).otherwise("")
+    top = F.concat(F.lit('{"@type": "'), F.when(k % 5 == 0, "ItemList").otherwise("WebPage"), F.lit('", '), said, F.lit('"itemListElement": ['), F.array_join(nodes, ","), F.lit("]}"))
+    html = F.concat(F.lit('<html><script type="application/ld+json">'), F.when(k % 7 == 0, "{broken").otherwise(top), F.lit("</script></html>"))
+    from ..functions.html import structured_types
+
+    return structured_types(o.select("page_id", html.alias("html")))
+
+
+@query("""SELECT page_id, contains(lower(url), '/fr/') OR contains(lower(url), 'page=') OR contains(lower(url), '/en/') AS detail FROM pages""")
+def detail_markers(spark, sf_dir):
+    """Pages whose address has one of the markers of a detail page."""
+    marks = F.array(*map(F.lit, ("/fr/", "page=", "/en/")))
+    return table(spark, sf_dir, "pages").select("page_id", F.exists(marks, lambda m: F.contains(F.lower("url"), m)).alias("detail"))
+
+
+@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n'), lambda x: trim(x)), lambda x: length(x) >= 40) AS s FROM documents)
+SELECT doc_id, len(s) AS slides, md5(array_to_string(list_transform(s, lambda x, i: '[' || i || '] ' || x), chr(10))) AS deck FROM s""")
+def content_slides(spark, sf_dir):
+    """Lines that hold enough to be a slide, numbered and joined."""
+    s = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 40)
+    d = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    deck = F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("["), i + 1, F.lit("] "), x)), "\n")
+    return d.select("doc_id", F.size("s").cast("long").alias("slides"), F.md5(deck).alias("deck"))
+
+
+@query("""SELECT c_custkey, concat_ws('; ', CASE WHEN c_nationkey % 6 = 0 THEN 'title missing' WHEN length(c_name) > 17 THEN 'title too long' END, CASE WHEN c_acctbal < 0 THEN 'amount negative' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY') THEN 'sector unknown' END) AS problems FROM customer""")
+def draft_problems(spark, sf_dir):
+    """What is wrong with a draft: required fields, lengths, values."""
+    title = F.when(F.col("c_nationkey") % 6 != 0, F.col("c_name"))
+    checks = F.array(F.when(title.isNull(), "title missing").when(F.length(title) > 17, "title too long"), F.when(F.col("c_acctbal") < 0, "amount negative"), F.when(~F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD", "MACHINERY"), "sector unknown"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_compact(checks), "; ").alias("problems"))
+
+
+@query("""WITH n AS (SELECT s_suppkey + 1000 AS id, lower(s_name) AS k FROM supplier WHERE s_acctbal > 5000), o AS (SELECT c_custkey AS id, 'supplier#' || lpad(CAST(c_custkey * 3 AS VARCHAR), 9, '0') AS k FROM customer)
+SELECT n.id, CASE WHEN o.id IS NULL THEN 'added' ELSE 'exists' END AS state, o.id AS known FROM n LEFT JOIN (SELECT k, min(id) AS id FROM o GROUP BY k) o USING (k)""")
+def manual_adds(spark, sf_dir):
+    """Rows entered by hand: added, or already there under the same name."""
+    n = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select((F.col("s_suppkey") + 1000).alias("id"), F.lower("s_name").alias("k"))
+    o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("known"), F.concat(F.lit("supplier#"), F.lpad((F.col("c_custkey") * 3).cast("string"), 9, "0")).alias("k"))
+    first = o.groupBy("k").agg(F.min("known").alias("known"))
+    return n.join(first, "k", "left").select("id", F.when(F.col("known").isNull(), "added").otherwise("exists").alias("state"), "known")
+
+
+@query("""SELECT CASE WHEN s_acctbal < 3000 THEN 'logo_grid' WHEN s_acctbal < 6000 THEN 'prose' ELSE 'card_directory' END AS shape, count(*) AS sites, count(*) FILTER (s_nationkey > 4 AND s_acctbal NOT BETWEEN 3000 AND 5999.999) AS with_entities, round(avg(s_nationkey), 4) AS expected FROM supplier GROUP BY 1""")
+def site_audit(spark, sf_dir):
+    """Profiles of sites by shape: how many, how many are expected to list entities, and how many on average."""
+    b = F.col("s_acctbal")
+    s = table(spark, sf_dir, "supplier").select(F.when(b < 3000, "logo_grid").when(b < 6000, "prose").otherwise("card_directory").alias("shape"), F.col("s_nationkey").alias("expected"))
+    lists = F.col("shape").isin("logo_grid", "card_directory", "article_feed") & (F.col("expected") > 4)
+    return s.groupBy("shape").agg(F.count(F.lit(1)).alias("sites"), F.count_if(lists).alias("with_entities"), F.round(F.avg("expected"), 4).alias("expected"))
