@@ -65,7 +65,7 @@ def triage_tier(employees: Column, source: Column, footprint: Column, millions:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), F.lit(2)) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), F.lit(2))
-    return 2 * 6371.0 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * 6371.0 * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h)))  # NULL where a coordinate is
 
 
 def polygon_area_m2(points: Column) -> Column:

@@ -124,12 +124,12 @@ def run_report(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("chunks"), filtered.alias("filtered"), share(filtered, F.count(F.lit(1))).alias("filtered_pct"), share(failed, called).alias("failed_pct"), F.countDistinct("user_id").alias("pages"))
 
 
-@query("""WITH p AS (SELECT user_id AS page, arg_max(CAST(value * 10 AS BIGINT), event_id) AS expected, count(DISTINCT event_type) * 10 AS found, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1)
+@query("""WITH p AS (SELECT user_id AS page, arg_max(CAST(floor(value * 10) AS BIGINT), event_id) AS expected, count(DISTINCT event_type) * 10 AS found, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1)
 SELECT page, expected, failures, sum(expected) OVER (ORDER BY page ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM p""")
 def expectations(spark, sf_dir):
     """The last expectation of each page, its failures, and the running total of what is expected."""
     e = table(spark, sf_dir, "events")
-    p = e.groupBy(F.col("user_id").alias("page")).agg(F.max_by(F.round(F.col("value") * 10).cast("long"), "event_id").alias("expected"), F.count_if(F.col("event_type") == "error").alias("failures"))
+    p = e.groupBy(F.col("user_id").alias("page")).agg(F.max_by(F.floor(F.col("value") * 10), "event_id").alias("expected"), F.count_if(F.col("event_type") == "error").alias("failures"))
     # pages, not events, meet in the running sum
     return p.withColumn("running", F.sum("expected").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)))
 

@@ -53,3 +53,12 @@ def test_state_outlives_a_restart(spark, tmp_path):
         stream = jobs.stream_of(spark, source, spark.read.parquet(source).schema)
         found = jobs.run_available(jobs.outcome_state(stream, "k", "at", "short"), out, state)
     assert sorted((r["key"], r["at"], r["consecutive"], r["status"]) for r in found.collect()) == [("a", 1, 1, "active"), ("a", 2, 2, "flagged"), ("b", 3, 0, "active")]
+
+
+def test_no_distance_without_coordinates(spark):
+    from lodestrata.functions.numeric import haversine_km
+    from lodestrata.operators.matching import same_place
+
+    none = F.lit(None).cast("double")
+    row = spark.range(1).select(haversine_km(F.lit(48.0), F.lit(9.0), none, F.lit(9.0)).alias("d"), same_place(F.lit(""), F.lit("Ulm"), none, none, none, none).alias("p"), haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("far")).first()
+    assert row["d"] is None and row["p"] is None and abs(row["far"] - 20015.0868) < 0.001
