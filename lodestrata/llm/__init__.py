@@ -1,4 +1,4 @@
-"""Training-data operators: token counts, toxicity, deduplication, PII, decontamination, BPE, packing, quality.
+"""Training-data operators: token counts, toxicity, deduplication, PII, decontamination, BPE, packing, quality, search, runs.
 
 Nothing outside this package imports it.
 """

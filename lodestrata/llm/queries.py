@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, encoding, exact_dedup, packing, pii, quality, simhash, substring_dedup, toxicity
+from . import decontaminate, encoding, exact_dedup, lexical_search, packing, periodic_runs, pii, quality, simhash, substring_dedup, toxicity, vector_packing
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,9 +70,43 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model, held_out, threshold=0.3)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(documents(spark, sf_dir))
+    return lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+sizes AS (SELECT k, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+tf AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY k, term),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term),
+q AS (SELECT item, item_id, term, count(*)::BIGINT AS times FROM (
+        SELECT row_number() OVER () AS item, item_id,
+            unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark) GROUP BY item, item_id, term),
+scores AS (SELECT q.item, q.item_id, s.doc_id,
+        sum(q.times * weights.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * s.n * whole.docs) // whole.terms))))::BIGINT AS score
+    FROM q JOIN weights USING (term) JOIN tf USING (term) JOIN sizes s USING (k), whole GROUP BY q.item, q.item_id, s.k, s.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = vector_packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, tokens=1024, segments=64)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summary(periodic_runs.find_runs(periodic_runs.with_repeated_tails(documents(spark, sf_dir)), least=12))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op11_lexical_search": OP11_SQL}

@@ -180,3 +180,69 @@ def packed(docs):
         out.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         start += len(ids)
     return out
+
+
+def tail_repeated(i, words):
+    """The words of a text after the contract's own repetition of tails."""
+    h, n = zlib.crc32(str(i).encode()) if i is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if k < a else words[a + (k - a) % p] for k, w in enumerate(words)]
+
+
+def all_runs(words, least=12):
+    """Every period in turn: stretches where words q apart are equal; the smallest period of a stretch is its own."""
+    import numpy as np
+
+    number = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words])
+    found = {}
+    for q in range(1, len(ids) // 2 + 1):
+        same = np.concatenate([[False], ids[q:] == ids[:-q], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+        for a, b in edges[edges[:, 1] - edges[:, 0] >= max(q, least - q)].tolist():
+            found.setdefault((a, b - a + q), q)
+    return sorted((a, n, q) for (a, n), q in found.items())
+
+
+def runs(docs):
+    out = []
+    for i, t in docs:
+        words = tail_repeated(i, WORD.findall(t or ""))
+        found = all_runs(words)
+        gone = [False] * len(words)
+        for a, n, q in found:
+            gone[a + q : a + n] = [True] * (n - q)
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        shown = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        out.append((i, len(found), *shown, sha("".join(f"{a},{n},{q}\n" for a, n, q in found)), sha(" ".join(w for w, g in zip(words, gone, strict=True) if not g))))
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=20):
+    import math
+    from collections import Counter
+
+    own = [(i, Counter(w)) for i, t in docs if (w := TERM.findall(lower(t)))]
+    sizes = [sum(c.values()) for _, c in own]
+    n_docs, n_terms = len(own), sum(sizes)
+    df = Counter(t for _, c in own for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for (i, c), n in zip(own, sizes, strict=True):
+            m = 75 + 25 * n * n_docs // n_terms
+            score = 0
+            for t in TERM.findall(lower(text)):
+                if t in c:
+                    score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 12 * m))
+            if score > 0:
+                scores.append((-score, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scores)[:k], 1)]
+    return out

@@ -3,7 +3,7 @@
 import brute
 import pytest
 import public_tokenizers as P
-from lodestrata.llm import decontaminate, encoding, exact_dedup, packing, pii, queries, simhash, substring_dedup
+from lodestrata.llm import decontaminate, encoding, exact_dedup, packing, periodic_runs, pii, queries, simhash, substring_dedup
 from lodestrata.llm.common import scratch
 
 ITEMS = [("i1", " ".join(f"w{k}" for k in range(20))), ("i2", "short item"), ("i3", None), ("i4", ""), (None, "two words"), ("i5", "card 4111 1111 1111 1111 and 4111-1111")]
@@ -25,7 +25,11 @@ CONTRACTS = {
     "op6_simhash_near_dedup": (brute.near, ["doc_id", "fingerprint", "component_id"], simhash.near_components),
     "op8_byte_bpe": (brute.bpe, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], lambda d: encoding.encode_decode(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)),
     "op9_packed_ids": (brute.packed, ["doc_id", "start", "n_tokens", "ids_crc32"], lambda d: packing.read_packed(packing.write_packed(d, scratch(d.sparkSession, "packed"), P.path("byte_bpe_50k.json"), 2))),
-}
+    "op13_periodic_runs": (
+        brute.runs, ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+        lambda d: periodic_runs.summary(periodic_runs.find_runs(periodic_runs.with_repeated_tails(d))),
+    ),
+}
 
 
 @pytest.mark.parametrize("name", CONTRACTS)
