@@ -41,3 +41,12 @@ EMPLOYEE_SIGNALS = ["employee", "employees", "headcount", "staff", "fte", "team
 AMOUNT_SIGNALS = ["million", "mio", "billion", "bn", "thousand", "tsd", "€", "$", "usd", "eur", "dollar", "euro", "funding", "raised", "investment", "eingesammelt", "finanzierung", "kapital", "runde"]
 # Texts of images that name nothing.
 ALT_NOISE = "logo icon image bild foto photo picture banner avatar placeholder default".split()
+# What frames a page, what its elements' classes call a name, and texts of buttons that show more.
+CHROME_TAGS = ["nav", "footer", "header", "aside"]
+CHROME_HINTS = r"(?i)(?:^|[-_\s])(?:nav|menu|footer|header|breadcrumb|social|partner|sponsor|cookie|banner)"
+NAME_CLASS_HINTS = "(?i)(title|name|heading|label|company)"
+LOAD_MORE = ["Mehr laden", "Mehr anzeigen", "Weitere laden", "Mehr Ergebnisse", "Alle anzeigen", "Load more", "Show more", "See more", "View more"]
+COUNT_TEXT = r"(?i)\b(\d{2,4})\s+(startups?|companies|unternehmen|firmen|portfolio|mitglieder|members)\b"
+EDITORIAL = "event events veranstaltung veranstaltungen termine termin news neuigkeiten blog article articles artikel post posts presse press magazin magazine stories story aktuelles jobs karriere career careers kurse webinar".split()
+CARD_LEAST, CARD_THRESHOLD, NAME_ONLY, PROSE_LINKS = 4, 0.55, (24, 0.8), 0.45
+CARD_WEIGHTS = {"identity": 0.30, "linked": 0.20, "heading": 0.15, "alike": 0.15, "size": 0.10, "image": 0.10, "chrome_cap": 0.15, "empty": 0.30}

@@ -16,6 +16,8 @@ from .quality_signals import strategy
 #: Elements without text of their own, and elements without an end tag.
 _DROP = frozenset("script style nav footer header noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: The target of a link in any letter case: in double or single quotes, or bare.
+_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def resolved(base: Column, href: Column) -> Column:
@@ -47,8 +49,11 @@ def resolved(base: Column, href: Column) -> Column:
 
 def links(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, link, position): absolute http links of each page without fragment, each once, where it stands first."""
-    href = F.posexplode(F.regexp_extract_all(F.col(html), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("position", "href")
-    rows = pages.select(id_col, F.col(url).alias("lode_url"), href).filter(~F.trim("href").rlike("^(#|mailto:|tel:|javascript:)"))
+    found = F.regexp_extract_all(F.col(html), F.lit(_HREF), F.lit(1))
+    quoted = F.col("href").rlike("^[\"']")
+    bare = F.replace(F.when(quoted, F.substring("href", F.lit(2), F.length("href") - 2)).otherwise(F.col("href")), F.lit("&amp;"), F.lit("&"))
+    rows = pages.select(id_col, F.col(url).alias("lode_url"), F.posexplode(found).alias("position", "href")).withColumn("href", bare)
+    rows = rows.filter(~F.trim("href").rlike("^(#|mailto:|tel:|javascript:)"))
     found = rows.select(id_col, "position", resolved(F.col("lode_url"), F.col("href")).alias("link")).filter("link IS NOT NULL")
     return found.groupBy(id_col, "link").agg(F.min("position").alias("position"))
 
