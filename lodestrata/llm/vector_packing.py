@@ -162,7 +162,7 @@ def pack(
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[Example]:
         encoder = tokenizer_of(vocabulary)
         end = np.array([] if end_id is None else [end_id], np.uint32)
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, batch_bytes):  # the encoder looks up each distinct word of a slice once
             own = [encoder.encode(batch.column(c)) for c in range(batch.num_columns - 1, 0, -1)]  # a prompt comes first
             at = [0] * len(own)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
