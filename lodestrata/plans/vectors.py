@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine
 from ..operators import ranking as R
+from ..operators import vector_index as X
+from ..scratch import written
 from ..session import table
 from .registry import query
 
@@ -70,3 +72,35 @@ def thesis_rank(spark, sf_dir):
     text = F.when(F.col("vec_id") % 10 == 7, "number seven").otherwise("other")
     score = R.thesis_score(cosine(F.col("embedding"), F.col("c")), F.col("label").cast("string"), F.lit(None).cast("string"), text, thesis)
     return v.crossJoin(F.broadcast(centre)).select("vec_id", score.alias("relevance"))
+
+
+@query()
+def vector_index_search(spark, sf_dir):
+    """Neighbours by the index of all vectors, with the recall of each query against the exact way beside them."""
+    v = _vectors(spark, sf_dir)
+    index = X.build(v)
+    found = written(X.search(index, v.filter(_Q), 10), "found")
+    return found.join(X.recall(found, R.nearest(v, v.filter(_Q), 10)).select("query_id", "recall"), "query_id")
+
+
+@query()
+def vector_index_filtered(spark, sf_dir):
+    """Neighbours of the query's own label only."""
+    v = _vectors(spark, sf_dir)
+    return X.search(X.build(v), v.filter(_Q), 5, same=["label"])
+
+
+@query("""WITH w AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN label + 100 ELSE label END AS label, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS e FROM embeddings
+UNION ALL SELECT vec_id + 1000000, 7, embedding FROM embeddings WHERE vec_id % 50 = 0)
+SELECT vec_id, label, len(e) AS size, round(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM w WHERE vec_id % 9 <> 1 AND vec_id IN (SELECT vec_id FROM w WHERE vec_id % 3 <> 2)""")
+def vector_upsert(spark, sf_dir):
+    """Vectors by key: new labels keep the vector, new vectors the label, new ids join; some are deleted, others fetched."""
+    v = _vectors(spark, sf_dir)
+    none = F.lit(None)
+    labels = v.filter("vec_id % 4 = 0 AND vec_id % 10 <> 3").select("vec_id", (F.col("label") + 100).alias("label"), none.cast("array<float>").alias("embedding"))
+    turned = v.filter("vec_id % 10 = 3").select("vec_id", F.when(F.col("vec_id") % 4 == 0, F.col("label") + 100).alias("label"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    more = v.filter("vec_id % 50 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), F.lit(7).alias("label"), "embedding")
+    index = X.upsert(X.build(v), labels.unionByName(turned).unionByName(more))
+    index = X.delete(index, index.rows.filter("vec_id % 9 = 1"))
+    rows = X.fetch(index, index.rows.filter("vec_id % 3 <> 2"))
+    return rows.select("vec_id", "label", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
