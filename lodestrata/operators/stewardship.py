@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions.identity import fold, is_empty
+from ..scratch import written
+from .matching import greedy_keepers
+from .rewording import folded_text, reworded_join, reworded_pairs, reworded_ratio
 
 
 def _blank(c: Column) -> Column:
@@ -20,13 +24,14 @@ def all_blank(fields: list[str], prefix: str = "") -> Column:
     return out
 
 
-def proposals(masters: DataFrame, incoming: DataFrame, pending: DataFrame, fields: list[str]) -> DataFrame:
+def proposals(masters: DataFrame, incoming: DataFrame, pending: DataFrame, fields: list[str], texts: list[str] | None = None) -> DataFrame:
     """What incoming rows (seq, master_id, fields) that are the same record as their master say that it doesn't.
 
     Rows are judged in the order of ``seq``. The first value for an empty field fills it unless a pending proposal
     differs from it (then it waits, and so do all after it); what differs from a filled field, from then on, is a conflict. A conflict that a pending proposal
-    has already, or an earlier row proposes, is covered. Columns: seq, master_id, field, old, new, action (fill,
-    conflict or covered).
+    has already, or an earlier row proposes, is covered. Fields in ``texts`` hold free text: there a rewording of what is
+    stored changes nothing, and a rewording of a pending or earlier proposal is covered. Columns: seq, master_id, field, old, new,
+    action (fill, conflict or covered).
     """
     pairs = lambda p: F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(p + f).cast("string").alias("v")) for f in fields])).alias("x")
     old = masters.select("master_id", pairs("")).select("master_id", "x.field", F.col("x.v").alias("old"))
@@ -42,6 +47,12 @@ def proposals(masters: DataFrame, incoming: DataFrame, pending: DataFrame, field
     rows = rows.join(filler, ["master_id", "field"]).withColumn("current", F.when(_blank(F.col("old")) & (F.col("seq") > F.col("filler.seq")), F.col("filler.new")).otherwise(F.col("old")))
     is_fill = F.coalesce(F.col("seq") == F.col("filler.seq"), F.lit(False))
     changed = rows.filter(is_fill | _blank(F.col("current")) | (fold(F.col("current")) != F.col("folded"))).withColumn("fill", is_fill)
+    if texts:
+        return _with_texts(changed, pending, waiting, texts)
+    return _judged(changed, waiting)
+
+
+def _judged(changed: DataFrame, waiting: DataFrame) -> DataFrame:
     asked = waiting.withColumn("known", F.lit(True))
     first = changed.filter("NOT fill").groupBy("master_id", "field", "folded").agg(F.min("seq").alias("first"))
     out = changed.join(asked, ["master_id", "field", "folded"], "left").join(first, ["master_id", "field", "folded"], "left")
@@ -49,6 +60,24 @@ def proposals(masters: DataFrame, incoming: DataFrame, pending: DataFrame, field
     return out.select("seq", "master_id", "field", F.col("current").alias("old"), "new", action.alias("action"))
 
 
+def _with_texts(changed: DataFrame, pending: DataFrame, waiting: DataFrame, texts: list[str]) -> DataFrame:
+    """As ``_judged``, with the fields ``texts`` compared by likeness. Earlier rows cover later ones in order: a row that is covered covers none."""
+    is_text = F.col("field").isin(*texts)
+    plain = _judged(changed.where(~is_text), waiting)
+    same = ~F.col("fill") & ~_blank(F.col("current")) & (reworded_ratio(F.col("current"), F.col("new")) >= C.TRIVIAL_REWORD)
+    rows = written(changed.where(is_text).where(~same).select("seq", "master_id", "field", F.col("current").alias("old"), "new", "fill"), "texts")
+    on = ["master_id", "field"]
+    asked = written(reworded_join(rows.where("NOT fill"), pending, on, "new", how="left_anti"), "asked")
+    ids = asked.select(*on, folded_text(F.col("new")).alias("t"), F.concat_ws(":", "seq", "field").alias("id"), "seq")
+    pairs = reworded_pairs(asked, asked, on, "new").select(*on, "a", "b")
+    edges = pairs.join(ids.select(*on, F.col("t").alias("a"), F.col("id").alias("x")), [*on, "a"]).join(ids.select(*on, F.col("t").alias("b"), F.col("id").alias("y")), [*on, "b"]).where("x <> y")
+    keepers = greedy_keepers(ids.select("id", "seq"), "id", edges, "x", "y", [F.col("seq")])
+    staged_ids = keepers.where("id = keeper").select(F.col("id").alias("lode_id"), F.lit(True).alias("lode_staged"))
+    out = rows.withColumn("lode_id", F.concat_ws(":", "seq", "field")).join(staged_ids, "lode_id", "left")
+    action = F.when(F.col("fill"), "fill").when(F.col("lode_staged"), "conflict").otherwise("covered")
+    return plain.unionByName(out.select("seq", "master_id", "field", "old", "new", action.alias("action")))
+
+
 def staged(incoming: DataFrame, masters: DataFrame, changes: DataFrame, different: DataFrame, substantive: list[str]) -> DataFrame:
     """(seq, record_id, status) of incoming rows with their match: seq, new_id, outcome, risk, master_id and the fields.
 

@@ -9,6 +9,7 @@ from ..functions.numeric import classify_pair
 from ..functions.text import text_overlap
 from ..operators import matching as M
 from ..operators import reviews as V
+from ..operators import rewording as W
 from ..session import table
 from .registry import query
 
@@ -200,3 +201,13 @@ def sheet_upsert(spark, sf_dir):
     m = s.filter(k % 3 != 0).select(k.alias("k"), F.col("s_nationkey").cast("string").alias("machine"), F.col("s_name").alias("human"))
     i = s.filter(k % 5 != 0).select(k.alias("k"), F.when(k % 2 == 0, "").otherwise("new").alias("machine"), F.lit("x").alias("human"))
     return V.upsert(m, i, ["k"], ["machine"], ["human"])
+
+
+@query()
+def reworded_coverage(spark, sf_dir):
+    """Variants of all items proposed where the items themselves are pending: those that say something new."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 8).alias("k"), F.lit("description").alias("field"), "text")
+    n = F.length("text")
+    variants = {"reordered": F.array_join(F.reverse(F.split("text", " ")), " "), "shouted": F.upper("text"), "shortened": F.substring("text", F.lit(1), F.floor(n * 17 / 20).cast("int")), "halved": F.substring("text", F.lit(1), F.floor(n / 2).cast("int"))}
+    p = b.select("k", "field", "item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("new")) for k, v in variants.items()])).alias("x")).select("k", "field", "item_id", "x.*")
+    return W.uncovered(p, b.withColumnRenamed("text", "new"), "k", texts=["description"]).select("k", "variant", "item_id", F.length("new").alias("size"))
