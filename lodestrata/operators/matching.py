@@ -129,14 +129,30 @@ def same_company(a: Column, b: Column, place: Column, generic: list[str]) -> Col
 def company_pairs(rows: DataFrame, key: str, name: str, city: str, lat: str, lon: str, generic: list[str]) -> DataFrame:
     """(a, b): rows of which ``same_company`` holds, smaller key first.
 
-    Only pairs that can pass are compared: those that share a word or their first six letters, and similar names.
+    Only pairs that can pass are compared: names whose words are all in the other one meet at the rarest of their own words (so a
+    word of very many names is no key but for names that have no rarer one), names with a word in common and similar
+    distinctive words at segments of these, and those that begin alike at their first six letters. Generic words are no key.
     """
     base = rows.select(F.col(key).alias("id"), normalize_name(F.col(name)).alias("n"), F.col(city).alias("city"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).filter("n <> ''")
     names = base.select("n").distinct()
-    keys = names.withColumn("k", F.explode(F.array_distinct(F.concat(F.split("n", " "), F.when(F.length("n") >= 6, F.array(F.concat(F.lit("^"), F.substring("n", 1, 6)))).otherwise(F.array())))))
-    near = keys.join(keys.withColumnRenamed("n", "m"), "k").filter("n <= m").select("n", "m")
-    alike = name_pairs(names.select(F.col("n").alias("a"), F.col("n").alias("name")), names.select(F.col("n").alias("b"), F.col("n").alias("name")), "a", "b", "name", C.FUZZY_THRESHOLD).filter("a <= b").toDF("n", "m", "ratio").select("n", "m")
-    pairs = near.unionByName(alike).distinct()
+    drop = F.array(*map(F.lit, generic)) if generic else F.array().cast("array<string>")
+    own = names.withColumn("own", F.filter(F.split("n", " "), lambda w: ~F.array_contains(drop, w)))
+    words = own.select("n", F.explode(F.array_distinct("own")).alias("k"))
+    df = words.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(df, "k").groupBy("n").agg(F.min_by("k", F.struct("df", "k")).alias("k"))
+    pair = lambda d: d.select(F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"))
+    within = pair(rarest.join(words.withColumnRenamed("n", "m"), "k"))
+    # the same names, the same distinctive words, and very short ones, which have no segments
+    stripped = own.withColumn("s", F.array_join(F.array_sort("own"), " "))
+    start = F.when(F.length("n") >= 6, F.concat(F.lit("^"), F.substring("n", 1, 6)))
+    short = F.when(F.length("s") <= 5, F.transform(F.array_distinct("own"), lambda w: F.concat(F.lit("~"), w))).otherwise(F.array().cast("array<string>"))
+    fixed = F.concat(F.array_compact(F.array(start, F.concat(F.lit("="), "n"), F.when(F.col("s") != "", F.concat(F.lit("#"), "s")))), short)
+    keys = stripped.select("n", F.explode(fixed).alias("k"))
+    equal = pair(keys.join(keys.withColumnRenamed("n", "m"), "k"))
+    side = lambda d, k, text: d.select(F.col("n").alias(k), F.col(text).alias("name"))
+    similar = lambda d, text, least: pair(name_pairs(side(d, "a", text), side(d, "b", text), "a", "b", "name", least).toDF("n", "m", "ratio"))
+    alike = similar(names.withColumn("t", F.col("n")), "t", C.FUZZY_THRESHOLD).unionByName(similar(stripped, "s", C.SAME_CITY_THRESHOLD))
+    pairs = within.unionByName(equal).unionByName(alike).distinct()
     x = base.toDF("a", "n", "city_a", "lat_a", "lon_a")
     y = base.toDF("b", "m", "city_b", "lat_b", "lon_b")
     met = pairs.join(x, "n").join(y, "m").filter("a <> b AND (n <> m OR a < b)")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .ordering import placed
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -48,12 +49,21 @@ def stub_burst(stubs: Column, inserted: Column) -> Column:
 def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, least, median, p90 and most of each group. The 90th percentile is the exclusive one: at place 0.9 (n + 1)
     of the values in order, between two of them in proportion; the largest where there are fewer than nine."""
-    w = Window.partitionBy(*by)
-    rows = df.select(*by, F.col(value).alias("v")).withColumns({"at": F.row_number().over(w.orderBy("v")), "n": F.count("v").over(w)})
-    place = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), 0.9 * (F.col("n") + 1)))
-    low = F.floor(place + 1e-9)
-    share = F.when(F.col("at") == low, 1 - (place - low)).when(F.col("at") == low + 1, place - low)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.round(F.percentile("v", 0.5), 4).alias("median"), F.round(F.sum(share * F.col("v")), 4).alias("p90"), F.max("v").alias("most"))
+    rows = df.select(*by, F.col(value).alias("v"))
+    ranked = placed(rows.where("v IS NOT NULL"), by, ["v"], "at", "known")
+    at, n = F.col("at"), F.col("known")
+
+    def share(place: Column) -> Column:
+        """How much of a row's value counts for a place between two rows."""
+        low = F.floor(place + 1e-9)
+        return F.when(at == low, 1 - (place - low)).when(at == low + 1, place - low).otherwise(0.0)
+
+    p90 = F.greatest(F.lit(1.0), F.least(n.cast("double"), 0.9 * (n + 1)))
+    shares = ranked.select(*by, "v", share((n + 1) / 2).alias("s50"), share(p90).alias("s90")).where("s50 > 0 OR s90 > 0")
+    places = shares.groupBy(*by).agg(F.round(F.sum(F.col("s50") * F.col("v")), 4).alias("median"), F.round(F.sum(F.col("s90") * F.col("v")), 4).alias("p90"))
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    on = [F.col(f"w.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by]
+    return whole.alias("w").join(places.alias("p"), on, "left").select(*[F.col(f"w.{c}").alias(c) for c in by], "n", "least", "median", "p90", "most")
 
 
 def consecutive(df: DataFrame, key: list[str], order: list[str], short: Column, limit: int = 2) -> DataFrame:
@@ -81,8 +91,10 @@ def numbered_sequence(df: DataFrame, key: list[str], name: str) -> DataFrame:
     """``df`` less names that share what stands before a trailing number with another name of the key."""
     head = F.lower(F.trim(F.regexp_extract(F.trim(name), r"^(.*?)[\s_-]*0*([0-9]+)$", 1)))
     rows = df.withColumn("lode_head", F.when(head != "", head))
-    n = F.count("lode_head").over(Window.partitionBy(*key, "lode_head"))
-    return rows.withColumn("lode_n", n).filter(F.col("lode_head").isNull() | (F.col("lode_n") < 2)).drop("lode_head", "lode_n")
+    counts = rows.where("lode_head IS NOT NULL").groupBy(*key, "lode_head").count().where("count > 1")
+    # only heads are counted, so a key's many plain names meet in no task
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key] + [F.col("r.lode_head") == F.col("c.lode_head")]
+    return rows.alias("r").join(counts.alias("c"), on, "left_anti").drop("lode_head")
 
 
 def budgeted(df: DataFrame, key: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import register as R
-from ..scratch import scratch
+from ..scratch import scratch, written
 from ..sources import crawl, formats
-from ..streaming import jobs
+from ..streaming import jobs, states, upserts
 from ..session import table
 from .registry import query
 from .text import GROUPS, _CHUNKS, _SCORE
@@ -104,3 +104,52 @@ def newsletter_scan(spark, sf_dir):
 def batch_index(spark, sf_dir):
     w = Window.partitionBy("conv_id")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w.orderBy("turn")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+
+
+def _in_batches(spark, df, order, name, n=4):
+    """The rows as a stream of ``n`` batches in their order: a folder with a file for each."""
+    folder = _folder(spark, name)
+    ranked = written(df, "rows")
+    cuts = ranked.select(F.percentile_approx(order, [k / n for k in range(1, n)], 100)).first()[0] or []
+    low = None
+    for high in [*cuts, None]:
+        part = ranked if low is None else ranked.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+        low = high
+    return jobs.stream_of(spark, folder, ranked.schema)
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def stream_upsert(spark, sf_dir):
+    """The latest event of each user and type, merged batch by batch into versioned snapshots."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    f = _folder(spark, "upserts")
+    target = upserts.SnapshotTable(spark, f"{f}/table", e.schema, ["user_id", "event_type"])
+    return upserts.upsert_stream(_in_batches(spark, e, "event_id", "events"), target, ["event_id"], f"{f}/state")
+
+
+@query()
+def stream_recent_ids(spark, sf_dir):
+    """Messages that aren't among the last fifty new ones of their mailbox: types of events as mailboxes, users as ids."""
+    f = _folder(spark, "recent")
+    rows = _in_batches(spark, table(spark, sf_dir, "events").select("event_type", "user_id", "event_id"), "event_id", "events")
+    return jobs.run_available(states.recent_ids(rows, "event_type", "user_id", "event_id", keep=50), f"{f}/out", f"{f}/state")
+
+
+def profile_events(spark, sf_dir):
+    """Events as what happens to the profiles of sites: each user is a site."""
+    e, v = table(spark, sf_dir, "events"), F.floor(F.col("value")).cast("long")
+    kind = F.array(*map(F.lit, ("recall", "recall", "retry", "probe", "recall", "stale", "pin", "unpin", "guess", "probe")))
+    return e.select(
+        "user_id", "ts", F.col("event_id").alias("seq"), F.get(kind, F.pmod(v + F.length("event_type"), F.lit(10)).cast("int")).alias("kind"), (v % 7).alias("expected"), (v % 5).alias("extracted"),
+        (v % 11 == 0).alias("recovered"), (v % 8).cast("int").alias("step"), (F.col("event_id") / 4000).cast("int").alias("version"), F.col("event_type").alias("strategy"), (v % 13 == 0).alias("forced"),
+    )
+
+
+@query()
+def stream_profile_states(spark, sf_dir):
+    """The life of each site's profile in the order of event time."""
+    f = _folder(spark, "profiles")
+    rows = _in_batches(spark, profile_events(spark, sf_dir), "seq", "events")
+    return jobs.run_available(states.profile_states(rows, "user_id", "ts"), f"{f}/out", f"{f}/state")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..scratch import scratch
+from ..operators.ordering import numbered
 from ..session import table
 from .registry import query
 
@@ -16,7 +17,7 @@ def review_export(spark, sf_dir):
     """Extractions in the order of page and chunk, with an empty column for the verdict, as a sheet and back."""
     p = table(spark, sf_dir, "pages").select("url", "page_id", F.concat(F.lit("chunk "), "page_id").alias("chunk"), F.lit("").alias("verdict"))
     path = scratch(spark, "review-sheet")
-    p.orderBy("url", "page_id").withColumn("line", F.row_number().over(Window.orderBy("url", "page_id"))).drop("url").write.option("header", True).option("emptyValue", '""').csv(path)
+    numbered(p, ["url", "page_id"]).sort("line").drop("url").write.option("header", True).option("emptyValue", '""').csv(path)
     return spark.read.option("header", True).option("emptyValue", "").schema("page_id long, chunk string, verdict string, line long").csv(path).withColumn("verdict", F.coalesce("verdict", F.lit("")))
 
 

@@ -13,6 +13,7 @@ from ..operators import matching as M
 from ..operators import register as R
 from ..operators import stewardship as S
 from ..scratch import scratch
+from ..operators.ordering import running
 from ..session import table
 from ..sources import formats
 from .matching import _LCS
@@ -130,8 +131,7 @@ def expectations(spark, sf_dir):
     """The last expectation of each page, its failures, and the running total of what is expected."""
     e = table(spark, sf_dir, "events")
     p = e.groupBy(F.col("user_id").alias("page")).agg(F.max_by(F.floor(F.col("value") * 10), "event_id").alias("expected"), F.count_if(F.col("event_type") == "error").alias("failures"))
-    # pages, not events, meet in the running sum
-    return p.withColumn("running", F.sum("expected").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(p, ["page"], {"running": F.col("expected")})
 
 
 @query("""WITH p AS (SELECT o_custkey AS page, count(*) AS expected, count(*) FILTER (o_orderstatus = 'F') AS got FROM orders GROUP BY 1), r AS (SELECT *, got / expected AS recall FROM p)

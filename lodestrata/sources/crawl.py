@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def reach(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(url, depth): what ``seeds`` (url) lead to over ``links`` (src, dst) in at most ``depth`` steps, by least depth.
 
-    One equi-join and one anti-join a level; the number of levels is a parameter, not a property of the data.
+    One equi-join and one anti-join a level; the number of levels is a parameter, not a property of the data. Each level is
+    written, so the plan of one doesn't hold those before it.
     """
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    front = seen = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
     edge = links.select("src", "dst").distinct()
-    front = seen
     for d in range(1, depth + 1):
-        front = edge.join(front.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+        found = edge.join(front.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
+        front = written(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(front)
     return seen
 
