@@ -11,6 +11,7 @@ from ..functions.numeric import haversine_km
 from ..scratch import written
 from .components import components
 from .ranking import nearest
+from .rewording import subsequence_ratio
 
 
 def tokens(df: DataFrame, key: str, name: Column) -> DataFrame:
@@ -56,7 +57,7 @@ def name_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     pairs = keys(a.select("na"), short, "na").join(keys(b.select("nb"), long, "nb"), "key").select("na", "nb")
     if not within:
         pairs = pairs.unionByName(keys(a.select("na"), long, "na").join(keys(b.select("nb"), short, "nb"), "key").select("na", "nb"))
-    scored = pairs.distinct().withColumn("ratio", F.round(indel_ratio(F.col("na"), F.col("nb")), 4)).filter(F.col("ratio") >= least)
+    scored = pairs.distinct().withColumn("ratio", F.round(subsequence_ratio("na", "nb"), 4)).filter(F.col("ratio") >= least)
     if within:
         scored = scored.unionByName(scored.filter("na <> nb").select(F.col("nb").alias("na"), F.col("na").alias("nb"), "ratio")).distinct()
     out = a.join(scored, "na").join(b, "nb").select(left_key, right_key, "ratio")
@@ -131,7 +132,7 @@ def company_pairs(rows: DataFrame, key: str, name: str, city: str, lat: str, lon
 
     Only pairs that can pass are compared: names whose words are all in the other one meet at the rarest of their own words (so a
     word of very many names is no key but for names that have no rarer one), names with a word in common and similar
-    distinctive words at segments of these, and those that begin alike at their first six letters. Generic words are no key.
+    distinctive words at segments of these, and names that begin others at the whole of the shorter one. Generic words are no key.
     """
     base = rows.select(F.col(key).alias("id"), normalize_name(F.col(name)).alias("n"), F.col(city).alias("city"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).filter("n <> ''")
     names = base.select("n").distinct()
@@ -144,15 +145,17 @@ def company_pairs(rows: DataFrame, key: str, name: str, city: str, lat: str, lon
     within = pair(rarest.join(words.withColumnRenamed("n", "m"), "k"))
     # the same names, the same distinctive words, and very short ones, which have no segments
     stripped = own.withColumn("s", F.array_join(F.array_sort("own"), " "))
-    start = F.when(F.length("n") >= 6, F.concat(F.lit("^"), F.substring("n", 1, 6)))
+    long = names.where(F.length("n") >= 6)
+    starts = long.select(F.col("n").alias("m"), F.explode(F.expr("transform(sequence(6, length(n)), i -> substr(n, 1, i))")).alias("n"))
+    begins = pair(long.join(starts, "n"))  # one name is a beginning of the other
     short = F.when(F.length("s") <= 5, F.transform(F.array_distinct("own"), lambda w: F.concat(F.lit("~"), w))).otherwise(F.array().cast("array<string>"))
-    fixed = F.concat(F.array_compact(F.array(start, F.concat(F.lit("="), "n"), F.when(F.col("s") != "", F.concat(F.lit("#"), "s")))), short)
+    fixed = F.concat(F.array_compact(F.array(F.concat(F.lit("="), "n"), F.when(F.col("s") != "", F.concat(F.lit("#"), "s")))), short)
     keys = stripped.select("n", F.explode(fixed).alias("k"))
     equal = pair(keys.join(keys.withColumnRenamed("n", "m"), "k"))
     side = lambda d, k, text: d.select(F.col("n").alias(k), F.col(text).alias("name"))
     similar = lambda d, text, least: pair(name_pairs(side(d, "a", text), side(d, "b", text), "a", "b", "name", least).toDF("n", "m", "ratio"))
     alike = similar(names.withColumn("t", F.col("n")), "t", C.FUZZY_THRESHOLD).unionByName(similar(stripped, "s", C.SAME_CITY_THRESHOLD))
-    pairs = within.unionByName(equal).unionByName(alike).distinct()
+    pairs = within.unionByName(equal).unionByName(begins).unionByName(alike).distinct()
     x = base.toDF("a", "n", "city_a", "lat_a", "lon_a")
     y = base.toDF("b", "m", "city_b", "lat_b", "lon_b")
     met = pairs.join(x, "n").join(y, "m").filter("a <> b AND (n <> m OR a < b)")

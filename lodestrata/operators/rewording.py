@@ -38,7 +38,8 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([200.0 * common_subsequence(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _ratio(a: Column | str, b: Column | str) -> Column:
+def subsequence_ratio(a: Column | str, b: Column | str) -> Column:
+    """200 * longest common subsequence / both lengths, of texts as they are; 100 if both are empty. NULL is none."""
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
@@ -49,7 +50,7 @@ def folded_text(text: Column) -> Column:
 
 def reworded_ratio(a: Column, b: Column) -> Column:
     """Similarity of two texts, 0 to 100, whatever the order and case of their words. Long texts are no matter."""
-    return _ratio(folded_text(F.coalesce(a, F.lit(""))), folded_text(F.coalesce(b, F.lit(""))))
+    return subsequence_ratio(folded_text(F.coalesce(a, F.lit(""))), folded_text(F.coalesce(b, F.lit(""))))
 
 
 def _pieces(least: float) -> tuple[str, str]:
@@ -78,7 +79,7 @@ def reworded_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], text: s
     met = met.unionByName(keys(a, long, "a").join(keys(b, short, "b"), [*on, "piece"]).where("length(a) > length(b)"))
     share = 1 - least / 100
     near = F.abs(F.length("a") - F.length("b")) <= share * (F.length("a") + F.length("b")) + 1e-9
-    return met.where(near).select(*on, "a", "b").distinct().withColumn("ratio", F.round(_ratio("a", "b"), 4)).where(F.col("ratio") >= least)
+    return met.where(near).select(*on, "a", "b").distinct().withColumn("ratio", F.round(subsequence_ratio("a", "b"), 4)).where(F.col("ratio") >= least)
 
 
 def reworded_join(left: DataFrame, right: DataFrame, on: Sequence[str], text: str, least: float = C.TRIVIAL_REWORD, how: str = "left_semi") -> DataFrame:
