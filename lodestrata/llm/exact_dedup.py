@@ -1,10 +1,12 @@
 """Exact deduplication by a log-structured merge index of digests, in DataFrame operations only.
 
-* Rows are logged first: digest and id, once. Each of ``memtables`` parts of the log is a memtable: combined by digest
-  (partial sums come before the shuffle, so a digest with a third of all rows is one row a task) and flushed as a run,
-  a table in buckets of digests, sorted within them.
+* Rows are logged first: digest and id, once. Each part of the log is a memtable of about MEMTABLE_ROWS rows at most: combined by
+  digest (partial sums come before the shuffle, so a digest with a third of all rows is one row a task) and flushed as a
+  run, a table in buckets of digests, sorted within them.
 * Compaction merges runs two by two, level by level, until one is left: of each digest the smallest id and the number
-  of rows. Buckets meet buckets in a sorted merge, so no level shuffles anything.
+  of rows. Buckets meet buckets in a sorted merge, so no level shuffles anything. Runs leave the catalog when the index's hits are written.
+* A run's files have Bloom filters of their digests, for ``lookup`` of single digests; whole tables are tested by the index's
+  filter instead:
 * The index's filter has eight bits for each digest of several rows and is broadcast while it has at most FILTER_BITS
   bits; beyond that the digests themselves are joined. Rows that the filter doesn't hold are alone: they are settled
   where they are logged, and neither they nor their texts are shuffled.
@@ -29,6 +31,8 @@ from .common import SPACE_CLASS, id_text, scratch, written
 
 #: Most bits (as a power of two) of the filter that is broadcast: 32 MB.
 FILTER_BITS = 28
+#: Rows of a memtable, about: what one flush combines and shuffles.
+MEMTABLE_ROWS = 1 << 26
 #: A digest with more than this share of all rows (one in so many) is hot.
 HOT = 1000
 
@@ -53,32 +57,35 @@ def log(docs: DataFrame, digest_bytes: int = 32, memtables: int = 4, id_col: str
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _run(entries: DataFrame, most: int) -> DataFrame:
-    """``entries`` (digest, keep_id, group_size; ``most`` rows at most) as a table in sorted buckets. Each file has a Bloom
-    filter for its share of the digests."""
+def _run(entries: DataFrame, most: int, made: list[str]) -> DataFrame:
+    """``entries`` (digest, keep_id, group_size; ``most`` rows at most) as a table in sorted buckets, whose name is added to
+    ``made``. Each file has a Bloom filter for its share of the digests."""
     spark = entries.sparkSession
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lodestrata_run_{uuid.uuid4().hex}"
     bloom = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(most * 3 // (2 * buckets) + 64)}
     entries.write.options(**bloom).bucketBy(buckets, "digest").sortBy("digest").option("path", scratch(spark, "run")).saveAsTable(name)
+    made.append(name)
     return spark.table(name)
 
 
-def flush(memtable: DataFrame) -> DataFrame:
-    """A run of a memtable's rows: digest, keep_id, group_size."""
-    return _run(memtable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), memtable.count())
+def flush(memtable: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """A run of a memtable's rows: digest, keep_id, group_size. The names of tables go to ``made``, for who drops them."""
+    made = [] if made is None else made
+    return _run(memtable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), memtable.count(), made)
 
 
-def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+def merge(a: DataFrame, b: DataFrame, made: list[str]) -> DataFrame:
     """Two runs as one."""
     sizes = F.coalesce(a["group_size"], F.lit(0)) + F.coalesce(b["group_size"], F.lit(0))
     both = a.join(b, "digest", "full").select("digest", F.least(a["keep_id"], b["keep_id"]).alias("keep_id"), sizes.alias("group_size"))
-    return _run(both, a.count() + b.count())
+    return _run(both, a.count() + b.count(), made)
 
 
-def compact(runs: list[DataFrame]) -> DataFrame:
+def compact(runs: list[DataFrame], made: list[str] | None = None) -> DataFrame:
     """One run of all, level by level."""
+    made = [] if made is None else made
     while len(runs) > 1:
-        runs = [merge(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        runs = [merge(*runs[i : i + 2], made) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
     return runs[0]
 
 
@@ -135,15 +142,19 @@ class Hits:
         return several.select(*columns).unionByName(alone).unionByName(met.select(*columns))
 
 
-def find_copies(docs: DataFrame, digest_bytes: int = 32, filter_bits: int = FILTER_BITS, memtables: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_copies(docs: DataFrame, digest_bytes: int = 32, filter_bits: int = FILTER_BITS, memtables: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, keep_id (smallest id of its equal texts), group_size, kept, text_sha256.
 
     ``digest_bytes`` is how much of the SHA-256 the index keeps; with fewer bytes more is left to verification, with
-    the same result.
+    the same result. There are as many memtables as MEMTABLE_ROWS asks for, two at least, unless a number is given.
     """
+    memtables = memtables or max(2, -(-docs.count() // MEMTABLE_ROWS))
+    made: list[str] = []
     rows = log(docs, digest_bytes, memtables, id_col, text_col)
-    index = compact([flush(rows.filter(F.col("memtable") == k)) for k in range(memtables)])
+    index = compact([flush(rows.filter(F.col("memtable") == k), made) for k in range(memtables)], made)
     hits = Hits(index, filter_bits)
+    for name in made:  # nothing reads the runs from here on
+        docs.sparkSession.sql(f"DROP TABLE {name}")
 
     texts = id_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("text"))
     sha, digest = _key(F.col("text"), digest_bytes)
