@@ -5,8 +5,11 @@ contains a window has all its shingles, so of a window's shingles, ordered by ho
 first alone is the necessary prefix. Documents meet windows on that token; the token's place in the window and the
 lengths bound where the window can stand; what is left is compared word by word.
 
-The benchmark is dealt into chunks of at most ``chunk_words`` words. Only a chunk is ever broadcast; a larger benchmark
-takes more steps over the documents in the same stage, with the same result. Documents are never shuffled.
+The corpus is read twice, whatever the benchmark's size: once to count how often its shingles occur, once to match. Counts are
+kept by a 64-bit hash for at most MOST_TOKENS shingles; beyond, hashes share that many counters, which makes the choice of a
+prefix less good, never a result different. For matching the benchmark is dealt into chunks of at most ``chunk_words`` words, each
+broadcast by itself, which take turns at a document in one stage: what a larger benchmark costs is workers' time and memory, a
+chunk's each. Documents are never shuffled.
 
 Defined cases: null text has no words, no hits and isn't contaminated; items without words or without id are no items;
 items with equal ids are one; a window that several items have counts for each; empty tables give empty results or
@@ -22,16 +25,19 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, id_text
+from .common import byte_slices, id_text, written
 
 #: Words of a benchmark chunk, the bound of what is broadcast.
 CHUNK_WORDS = 200_000
 #: Words of a shingle.
 SHINGLE = 3
+#: Shingles of the benchmark that are counted one by one: 32 MB of hashes.
+MOST_TOKENS = 1 << 22
 #: Bytes other than word bytes become blanks, A-Z lower case; all bytes of characters from U+0080 on belong to words.
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _WORK = T.StructType([T.StructField("lodestrata_n_words", T.LongType()), T.StructField("lodestrata_hits", T.ArrayType(T.IntegerType())), T.StructField("lodestrata_items", T.ArrayType(T.StringType()))])
@@ -41,6 +47,54 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
 
 
+def word_hashes(own: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, none of them 0."""
+    return np.fromiter((xxhash.xxh64_intdigest(w) | 1 for w in own), np.uint64, len(own))
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """The hash of each row of word hashes; rows of other lengths have others."""
+    key = np.full(len(hashes), hashes.shape[1], np.uint64)
+    for i in range(hashes.shape[1]):
+        key = (key ^ hashes[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+class _Hashes(dict):
+    """Hashes of words, kept while they are few; a blank, which stands between texts, has 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = 0 if word == b" " else xxhash.xxh64_intdigest(word) | 1
+        return h
+
+
+class Counts:
+    """How often shingles occur, by their hash, or by what is left of it where hashes share counters."""
+
+    def __init__(self, tokens: np.ndarray, shared: bool):
+        self.tokens, self.shared = tokens, shared
+        self.n = np.zeros(len(tokens), np.int64)
+        bits = max(10, (16 * len(tokens)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.marks = np.zeros(1 << bits, bool)  # what most shingles of a corpus aren't among is told by one look
+        self.marks[tokens * np.uint64(0x9E3779B97F4A7C15) >> self.shift] = True
+
+    def folded(self, keys: np.ndarray) -> np.ndarray:
+        return keys % np.uint64(MOST_TOKENS) if self.shared else keys
+
+    def add(self, keys: np.ndarray) -> None:
+        keys = self.folded(keys)
+        keys = keys[self.marks[keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift]]
+        i = np.minimum(np.searchsorted(self.tokens, keys), len(self.tokens) - 1)
+        self.n += np.bincount(i[self.tokens[i] == keys], minlength=len(self.tokens))
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.n[np.minimum(np.searchsorted(self.tokens, self.folded(keys)), len(self.tokens) - 1)]
+
+
 class WindowIndex:
     """Windows of a chunk of the benchmark, found by their rarest shingle."""
 
@@ -58,7 +112,6 @@ class WindowIndex:
         for i, w in enumerate(self.windows):
             self.codes[i, : len(w)] = w
         self.widths = sorted({min(SHINGLE, len(w)) for w in self.windows})
-        self.tokens = {k: np.unique([self._key(w[i : i + k]) for w in self.windows if min(SHINGLE, len(w)) == k for i in range(len(w) - k + 1)]) for k in self.widths}
 
     def _key(self, codes) -> int:
         key = 0
@@ -84,26 +137,20 @@ class WindowIndex:
             key = key * (len(self.vocabulary) + 1) + codes[at + i]
         return at, key
 
-    def count(self, codes: np.ndarray, counts: dict[int, np.ndarray]) -> None:
-        for k in self.widths:
-            _, key = self.keys(codes, k)
-            i = np.searchsorted(self.tokens[k], key)
-            i = i[self.tokens[k][np.minimum(i, len(self.tokens[k]) - 1)] == key]
-            counts[k] += np.bincount(i, minlength=len(self.tokens[k]))
-
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
+    def choose(self, counts: "Counts") -> None:
         """Sets each window's prefix token: its rarest shingle, by the corpus counts."""
+        names = list(self.vocabulary)
+        hashes = np.concatenate([[0], word_hashes(names)]).astype(np.uint64)
         self.prefix = {}
         for k in self.widths:
-            rows = []
-            for w, codes in enumerate(self.windows):
-                if min(SHINGLE, len(codes)) == k:
-                    keys = [self._key(codes[i : i + k]) for i in range(len(codes) - k + 1)]
-                    n = counts[k][np.searchsorted(self.tokens[k], keys)]
-                    i = int(np.argmin(n))
-                    rows.append((keys[i], w, i))
-            rows.sort()
-            self.prefix[k] = tuple(np.array(x, np.int64) for x in zip(*rows, strict=True))
+            at = np.flatnonzero(np.minimum(SHINGLE, self.size) == k)
+            places = self.codes.shape[1] - k + 1
+            n = np.stack([counts.of(shingles(hashes[self.codes[at, i : i + k]])) for i in range(places)], 1)
+            n[np.arange(places) > (self.size[at] - k)[:, None]] = np.iinfo(np.int64).max  # beyond a short window's end
+            offset = n.argmin(1)
+            key = np.array([self._key(self.windows[w][i : i + k]) for w, i in zip(at.tolist(), offset.tolist(), strict=True)], np.int64)
+            order = np.lexsort((at, key))
+            self.prefix[k] = (key[order], at[order], offset[order])
 
     def occurrences(self, codes: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Windows and the places where they stand in full."""
@@ -146,22 +193,44 @@ def _pieces(benchmark: DataFrame, window: int, piece: int = 4096) -> DataFrame:
     return benchmark.mapInArrow(run, "item string, piece binary, n long")
 
 
-def _count(docs: DataFrame, shared) -> dict[int, np.ndarray]:
-    """Corpus counts of a chunk's shingles: a sum a token and task, then over tasks."""
+def _tokens(pieces: DataFrame) -> Counts:
+    """Counters for the shingles of all windows, without counts yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        counts = {k: np.zeros(len(t), np.int64) for k, t in index.tokens.items()}
+        for batch in batches:
+            for piece in batch.column(0).to_pylist():
+                h = word_hashes(piece.split())
+                k = min(SHINGLE, len(h))
+                keys = np.unique(shingles(np.lib.stride_tricks.sliding_window_view(h, k)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), pa.array(np.full(len(keys), k, np.int32))], names=["key", "k"])
+
+    found = written(pieces.select("piece").mapInArrow(run, "key long, k int").distinct(), "shingles")
+    shared = found.count() > MOST_TOKENS
+    key = F.expr(f"cast(cast(key AS decimal(20, 0)) + IF(key < 0, 18446744073709551616BD, 0BD) AS decimal(20, 0)) % {MOST_TOKENS}").cast("long") if shared else F.col("key")
+    rows = found.select(key.alias("key")).distinct().toPandas()["key"].to_numpy(np.int64)  # MOST_TOKENS at most
+    return Counts(np.unique(rows.view(np.uint64)), shared)
+
+
+def _count(docs: DataFrame, counts: Counts, widths: list[int]) -> Counts:
+    """The corpus counts, in one pass: a sum a token and task, then over tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, memo = Counts(shared.value.tokens, shared.value.shared), _Hashes()
         for batch in batches:
             for s in byte_slices(pa.compute.binary_length(batch.column(0)).to_pylist(), 1 << 22):
-                index.count(index.coded([words(t) for t in batch.column(0)[s].to_pylist()]), counts)
-        for k, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int64)), pa.array(at), pa.array(c[at])], names=["k", "token", "n"])
-
-    counts = {k: np.zeros(len(t), np.int64) for k, t in shared.value.tokens.items()}
-    for k, token, n in docs.mapInArrow(run, "k long, token long, n long").groupBy("k", "token").agg(F.sum("n")).collect():  # at most the chunk's tokens
-        counts[k][token] = n
+                texts = [words(t) for t in batch.column(0)[s].to_pylist()]
+                flat = chain.from_iterable((*t, b" ") for t in texts)
+                h = np.fromiter(map(memo.__getitem__, flat), np.uint64, sum(map(len, texts)) + len(texts))
+                for k in widths:
+                    if len(h) >= k:
+                        rows = np.lib.stride_tricks.sliding_window_view(h, k)
+                        own.add(shingles(rows)[(rows != 0).all(1)])
+        at = np.flatnonzero(own.n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.n[at])], names=["token", "n"])
+
+    for token, n in docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n")).collect():  # MOST_TOKENS at most
+        counts.n[token] = n
     return counts
 
 
@@ -214,12 +283,14 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, chunk_word
     if not chunks:
         out = docs.withColumns({"lodestrata_n_words": F.lit(0).cast("long"), "lodestrata_hits": F.array().cast("array<int>"), "lodestrata_items": F.array().cast("array<string>")})
         return _word_counts(out, text_col)
+    widths = [r[0] for r in pieces.select(F.least(F.col("n"), F.lit(SHINGLE)).alias("k")).distinct().collect()]
+    counts = _count(texts, _tokens(pieces), widths)
     for k in range(chunks):
         rows = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(chunks)) == k).collect()  # about chunk_words words
         if not rows and (k < chunks - 1 or out is not docs):
             continue
         index = WindowIndex([(r["item"], bytes(r["piece"]).split()) for r in rows], window)
-        index.choose(_count(texts, spark.sparkContext.broadcast(index)))
+        index.choose(counts)
         schema = T.StructType([*docs.schema.fields, *_WORK.fields])
         out = out.mapInArrow(_step(spark.sparkContext.broadcast(index), at, out is docs), schema)
     return out

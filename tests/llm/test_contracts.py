@@ -322,3 +322,26 @@ def test_pieces_have_the_fingerprint_of_the_whole(edge_rows, piece):
     for _, text in edge_rows:
         if text and len(text) < 5000:
             assert simhash.fingerprint(text, piece=piece) == simhash.fingerprint(text)
+
+
+def test_no_run_stays_in_the_catalog(spark, edges):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.find_copies(edges, memtables=3).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_shared_counters_change_no_result(spark, edges, edge_rows, monkeypatch):
+    """With eight counters for all shingles the prefixes are poor, the results the same."""
+    monkeypatch.setattr(decontaminate, "MOST_TOKENS", 8)
+    docs = [r for r in edge_rows if r[0] < 160]
+    items = [x for x in ITEMS if x[0]]
+    found = decontaminate.contamination(edges.filter("doc_id < 160"), spark.createDataFrame(items, "item_id string, text string"), chunk_words=30)
+    assert rows(found, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]) == sorted(brute.contaminated(docs, items), key=str)
+
+
+def test_benchmark_of_many_chunks_is_counted_in_one_pass(spark, edges, monkeypatch):
+    calls = []
+    whole = decontaminate._count
+    monkeypatch.setattr(decontaminate, "_count", lambda *a: calls.append(1) or whole(*a))
+    decontaminate.contamination(edges.filter("doc_id < 60"), spark.createDataFrame([x for x in ITEMS if x[0]], "item_id string, text string"), chunk_words=7).collect()
+    assert calls == [1]
