@@ -127,8 +127,8 @@ def same_company(a: Column, b: Column, place: Column, generic: list[str]) -> Col
     return (a != "") & (b != "") & F.when(a == b, True).when(begins, True).when(place, here).when(~place, ratio >= C.OTHER_CITY_THRESHOLD).otherwise(ratio >= C.FUZZY_THRESHOLD)
 
 
-def company_pairs(rows: DataFrame, key: str, name: str, city: str, lat: str, lon: str, generic: list[str]) -> DataFrame:
-    """(a, b): rows of which ``same_company`` holds, smaller key first.
+def company_pairs(rows: DataFrame, key: str, name: str, city: str, lat: str, lon: str, generic: list[str], only: DataFrame | None = None) -> DataFrame:
+    """(a, b): rows of which ``same_company`` holds, smaller key first; with ``only`` (the key), those with one of these rows.
 
     Only pairs that can pass are compared: names whose words are all in the other one meet at the rarest of their own words (so a
     word of very many names is no key but for names that have no rarer one), names with a word in common and similar
@@ -136,33 +136,85 @@ def company_pairs(rows: DataFrame, key: str, name: str, city: str, lat: str, lon
     """
     base = rows.select(F.col(key).alias("id"), normalize_name(F.col(name)).alias("n"), F.col(city).alias("city"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).filter("n <> ''")
     names = base.select("n").distinct()
+    asked = names if only is None else written(base.join(only.select(F.col(key).alias("id")).distinct(), "id", "left_semi").select("n").distinct(), "asked")
+    part = lambda d: d if only is None else d.join(asked, "n", "left_semi")
     drop = F.array(*map(F.lit, generic)) if generic else F.array().cast("array<string>")
     own = names.withColumn("own", F.filter(F.split("n", " "), lambda w: ~F.array_contains(drop, w)))
     words = own.select("n", F.explode(F.array_distinct("own")).alias("k"))
     df = words.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
     rarest = words.join(df, "k").groupBy("n").agg(F.min_by("k", F.struct("df", "k")).alias("k"))
     pair = lambda d: d.select(F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"))
-    within = pair(rarest.join(words.withColumnRenamed("n", "m"), "k"))
+    meet = lambda a, b: pair(part(a).join(b.withColumnRenamed("n", "m"), "k"))
+    within = meet(rarest, words)
+    if only is not None:
+        within = within.unionByName(meet(words, rarest))
     # the same names, the same distinctive words, and very short ones, which have no segments
     stripped = own.withColumn("s", F.array_join(F.array_sort("own"), " "))
     long = names.where(F.length("n") >= 6)
     starts = long.select(F.col("n").alias("m"), F.explode(F.expr("transform(sequence(6, length(n)), i -> substr(n, 1, i))")).alias("n"))
-    begins = pair(long.join(starts, "n"))  # one name is a beginning of the other
+    begins = pair(part(long).join(starts, "n"))  # one name is a beginning of the other
+    if only is not None:
+        begins = begins.unionByName(pair(long.join(starts.join(asked.toDF("m"), "m", "left_semi"), "n")))
     short = F.when(F.length("s") <= 5, F.transform(F.array_distinct("own"), lambda w: F.concat(F.lit("~"), w))).otherwise(F.array().cast("array<string>"))
     fixed = F.concat(F.array_compact(F.array(F.concat(F.lit("="), "n"), F.when(F.col("s") != "", F.concat(F.lit("#"), "s")))), short)
     keys = stripped.select("n", F.explode(fixed).alias("k"))
-    equal = pair(keys.join(keys.withColumnRenamed("n", "m"), "k"))
+    equal = meet(keys, keys)
     side = lambda d, k, text: d.select(F.col("n").alias(k), F.col(text).alias("name"))
-    similar = lambda d, text, least: pair(name_pairs(side(d, "a", text), side(d, "b", text), "a", "b", "name", least).toDF("n", "m", "ratio"))
+    similar = lambda d, text, least: pair(name_pairs(side(part(d), "a", text), side(d, "b", text), "a", "b", "name", least).toDF("n", "m", "ratio"))
     alike = similar(names.withColumn("t", F.col("n")), "t", C.FUZZY_THRESHOLD).unionByName(similar(stripped, "s", C.SAME_CITY_THRESHOLD))
     pairs = within.unionByName(equal).unionByName(begins).unionByName(alike).distinct()
     x = base.toDF("a", "n", "city_a", "lat_a", "lon_a")
     y = base.toDF("b", "m", "city_b", "lat_b", "lon_b")
     met = pairs.join(x, "n").join(y, "m").filter("a <> b AND (n <> m OR a < b)")
     place = same_place(*[F.col(c) for c in ("city_a", "city_b", "lat_a", "lon_a", "lat_b", "lon_b")])
+    if only is not None:
+        touched = only.select(F.col(key)).distinct()
+        one = lambda c: met.select("a", "b").join(touched.select(F.col(key).alias(c)), c, "left_semi")
+        met = met.join(one("a").unionByName(one("b")).distinct(), ["a", "b"], "left_semi")
     return met.filter(same_company(F.col("n"), F.col("m"), place, generic)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def changed_rows(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, kind): rows that are new, gone or have another hash of ``fields``."""
+    digest = lambda d, c: d.select(key, F.xxhash64(*[F.struct(F.col(f)) for f in fields], *[F.col(f).isNull() for f in fields]).alias(c))
+    both = digest(old, "was").join(digest(new, "is"), key, "full")
+    kind = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "gone").when(F.col("was") != F.col("is"), "changed")
+    return both.select(key, kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def refreshed_pairs(before: DataFrame, old: DataFrame, new: DataFrame, key: str, name: str, city: str, lat: str, lon: str, generic: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``new`` from those of ``old`` (``before``: a, b): (a, b, kind), and the rows that were compared again.
+
+    Only rows whose name or place changed meet others; pairs of rows that didn't are kept as they are. Kinds: kept, added and stale
+    (what was a pair and is none any more).
+    """
+    changed = written(changed_rows(old, new, key, [name, city, lat, lon]), "changed")
+    present = changed.where("kind <> 'gone'")
+    now = written(company_pairs(new, key, name, city, lat, lon, generic, only=present), "pairs")
+    touches = lambda d, c: d.join(changed.select(F.col(key).alias(c)), c, "left_semi").select("a", "b")
+    open_ = touches(before, "a").unionByName(touches(before, "b")).distinct()
+    kept = before.select("a", "b").join(open_, ["a", "b"], "left_anti")
+    stale = open_.join(now, ["a", "b"], "left_anti")
+    again = now.join(open_, ["a", "b"], "left_semi")
+    added = now.join(open_, ["a", "b"], "left_anti")
+    kinds = [kept.unionByName(again).withColumn("kind", F.lit("kept")), added.withColumn("kind", F.lit("added")), stale.withColumn("kind", F.lit("stale"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), present
+
+
+def pool_matches(asked: DataFrame, pool: DataFrame, key: str, name: str, city: str, lat: str, lon: str, generic: list[str], order: list[str]) -> DataFrame:
+    """(key, pool_key, state): the first row of the pool, in its order, that is the same company by name and place; new if none is.
+
+    Keys are distinct over both sides.
+    """
+    columns = [key, name, city, lat, lon]
+    pairs = company_pairs(asked.select(columns).unionByName(pool.select(columns)), key, name, city, lat, lon, generic, only=asked)
+    p = pool.select(F.col(key).alias("pool_key"), F.struct(*order, key).alias("lode_order"))
+    q = asked.select(F.col(key))
+    either = pairs.select(F.col("a").alias(key), F.col("b").alias("pool_key")).unionByName(pairs.select(F.col("b").alias(key), F.col("a").alias("pool_key")))
+    first = either.join(q, key, "left_semi").join(p, "pool_key").groupBy(key).agg(F.min_by("pool_key", "lode_order").alias("pool_key"))
+    return q.join(first, key, "left").withColumn("state", F.when(F.col("pool_key").isNull(), "new").otherwise("known"))
+
+
 def greedy_keepers(df: DataFrame, key: str, edges: DataFrame, a: str, b: str, order: list[Column]) -> DataFrame:
     """(key, keeper): rows in order; each joins the first kept row it matches, else is kept itself.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import html
+from ..functions.identity import base_domain
 from ..operators import register as R
 from ..scratch import scratch, written
 from ..sources import crawl, formats
@@ -153,3 +155,19 @@ def stream_profile_states(spark, sf_dir):
     f = _folder(spark, "profiles")
     rows = _in_batches(spark, profile_events(spark, sf_dir), "seq", "events")
     return jobs.run_available(states.profile_states(rows, "user_id", "ts"), f"{f}/out", f"{f}/state")
+
+
+def page_graph(spark, sf_dir):
+    """Links between addresses of one site, on all pages: short paths as details, capitalised ones as promising."""
+    p = table(spark, sf_dir, "pages")
+    found = html.links(p).join(p.select("page_id", "url"), "page_id")
+    site, path = base_domain(F.col("url")), F.regexp_extract("link", "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    tier = F.when(F.length(path) <= 3, crawl.DETAIL).when(path.rlike("^/[A-Z]"), crawl.HIGH).otherwise(crawl.LOW)
+    return found.where(base_domain(F.col("link")) == site).select(site.alias("site"), F.col("url").alias("src"), F.col("link").alias("dst"), tier.alias("tier"), "position").distinct()
+
+
+@query()
+def budgeted_crawl(spark, sf_dir):
+    """What a crawl of six pages a site visits, two at a time."""
+    seeds = table(spark, sf_dir, "pages").select(base_domain(F.col("url")).alias("site"), "url")
+    return crawl.crawl(page_graph(spark, sf_dir), seeds, pages=6, depth=2, batch=2)

@@ -263,3 +263,33 @@ def capture_log(spark, sf_dir):
     for part in (d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1")):
         formats.append_json(part, path)
     return spark.read.schema("doc_id long, source string, name string").json(path)
+
+
+def placed_names(spark, sf_dir, later=False):
+    """Names of parts in places, some by coordinates only; ``later`` is a newer version of the table."""
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name"), "p_brand").agg(F.min("p_partkey").alias("id"))
+    b = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
+    city = F.when(b % 5 == 0, "").when(b % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("City "), "p_brand"))
+    lat, lon = F.when(b % 5 == 0, 48.0 + b / 100.0), F.when(b % 5 == 0, 10.0 + (b % 3) / 10.0)
+    name = F.col("name")
+    if later:
+        p = p.where("id % 17 <> 5")
+        name, city = F.when(F.col("id") % 23 == 1, F.concat(name, F.lit(" works"))).otherwise(name), F.when(F.col("id") % 19 == 2, "City Brand#3").otherwise(city)
+    rows = p.select("id", name.alias("name"), city.alias("city"), lat.alias("lat"), lon.alias("lon"))
+    return rows.unionByName(rows.where("id % 31 = 3").withColumn("id", F.col("id") + 1_000_000).withColumn("name", F.concat("name", F.lit(" group")))) if later else rows
+
+
+@query()
+def refreshed_pairs(spark, sf_dir):
+    """Pairs of one company after a table changed: kept, added and stale ones, comparing changed rows only."""
+    place = ["name", "city", "lat", "lon"]
+    old, new = placed_names(spark, sf_dir), placed_names(spark, sf_dir, later=True)
+    before = written(M.company_pairs(old, "id", *place, ["small"]), "pairs")
+    return M.refreshed_pairs(before, old, new, "id", *place, ["small"])[0]
+
+
+@query()
+def pool_matches(spark, sf_dir):
+    """New rows against a pool: the first of the pool that is the same company by name and place."""
+    pool, rows = placed_names(spark, sf_dir), placed_names(spark, sf_dir, later=True).withColumn("id", F.col("id") + 10_000_000)
+    return M.pool_matches(rows, pool, "id", "name", "city", "lat", "lon", ["small"], ["name"])

@@ -143,3 +143,29 @@ def candidate_split(spark, sf_dir):
     km = N.haversine_km(F.lit(47.98), F.lit(10.18), F.col("lat"), F.col("lon"))
     label = G.catchment_label(F.col("id") % 7 == 0, F.when(F.col("id") % 9 != 0, F.col("lat")), km)
     return p.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def supplier_points(spark, sf_dir):
+    """Suppliers on the map, thick in the middle."""
+    k = F.col("s_suppkey")
+    away = F.pow((k % 97) / 97.0, 3) * 0.4
+    turn = (k * 7 % 360) * 0.017453292519943295
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), (48.0 + away * F.sin(turn)).alias("lat"), (10.0 + away * F.cos(turn)).alias("lon"))
+
+
+def sweep_tiles(spark):
+    g = G.tile_grid(spark, 48.0, 10.0, radius_km=24.0, tile_km=8.0)
+    return g.select("lat", "lon", F.lit(8000.0).alias("radius_m"), (F.col("i") * 1000 + F.col("j")).alias("place"))
+
+
+@query()
+def adaptive_sweep(spark, sf_dir):
+    """The calls of a sweep over all suppliers, quartering full tiles until a budget of sixty calls is spent."""
+    calls, _ = G.sweep(supplier_points(spark, sf_dir), sweep_tiles(spark), max_calls=60, cap=5)
+    return calls.select("call", "level", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "radius_m", "found", "full")
+
+
+@query()
+def sweep_finds(spark, sf_dir):
+    """Which suppliers the sweep finds, and by which call first."""
+    return G.sweep(supplier_points(spark, sf_dir), sweep_tiles(spark), max_calls=60, cap=5)[1]
