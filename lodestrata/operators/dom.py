@@ -93,6 +93,14 @@ def _tree(html: str | None, short: int) -> list[dict]:
     return t.rows
 
 
+def text_pieces(html: str | None) -> list[str]:
+    """The stripped texts of a page in order."""
+    t = _Tree()
+    t.feed(html or "")
+    t.close()
+    return t.pieces
+
+
 def elements(pages: DataFrame, id_col: str = "page_id", html: str = "html", short: int = 120) -> DataFrame:
     """One row per element of each page, written to the shared folder, with its interval of numbers and of text.
 
