@@ -38,6 +38,8 @@ CHUNK_WORDS = 200_000
 SHINGLE = 3
 #: Shingles of the benchmark that are counted one by one: 32 MB of hashes.
 MOST_TOKENS = 1 << 22
+#: Words whose hashes a worker keeps.
+MOST_WORDS = 500_000
 #: Bytes other than word bytes become blanks, A-Z lower case; all bytes of characters from U+0080 on belong to words.
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _WORK = T.StructType([T.StructField("lodestrata_n_words", T.LongType()), T.StructField("lodestrata_hits", T.ArrayType(T.IntegerType())), T.StructField("lodestrata_items", T.ArrayType(T.StringType()))])
@@ -61,15 +63,27 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-class _Hashes(dict):
-    """Hashes of words, kept while they are few; a blank, which stands between texts, has 0."""
+class Hashes(dict):
+    """Hashes of words; a blank, which stands between texts, has 0, and so has every word that no item has, if the items' words are few
+    enough to be given. Else hashes are made as words come, and kept while they are few."""
+
+    def __init__(self, own: list[bytes] | None):
+        super().__init__({} if own is None else zip(own, word_hashes(own).tolist(), strict=True))
+        self.whole = own is not None
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if self.whole or word == b" ":
+            return 0
+        if len(self) > MOST_WORDS:
             self.clear()
-        self[word] = h = 0 if word == b" " else xxhash.xxh64_intdigest(word) | 1
+        self[word] = h = xxhash.xxh64_intdigest(word) | 1
         return h
 
+    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+        flat = chain.from_iterable((*t, b" ") for t in texts)
+        n = sum(map(len, texts)) + len(texts)
+        return np.fromiter(map(self.get, flat, repeat(0)) if self.whole else map(self.__getitem__, flat), np.uint64, n)
+
 
 class Counts:
     """How often shingles occur, by their hash, or by what is left of it where hashes share counters."""
@@ -211,21 +225,33 @@ def _tokens(pieces: DataFrame) -> Counts:
     return Counts(np.unique(rows.view(np.uint64)), shared)
 
 
-def _count(docs: DataFrame, counts: Counts, widths: list[int]) -> Counts:
+def _vocabulary(pieces: DataFrame) -> list[bytes] | None:
+    """The items' words, if there are at most MOST_WORDS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array({w for piece in batch.column(0).to_pylist() for w in piece.split()}, pa.binary())], names=["word"])
+
+    found = pieces.select("piece").mapInArrow(run, "word binary").distinct().limit(MOST_WORDS + 1).collect()
+    return [bytes(r[0]) for r in found] if len(found) <= MOST_WORDS else None
+
+
+def _count(docs: DataFrame, counts: Counts, widths: list[int], own_words: list[bytes] | None) -> Counts:
     """The corpus counts, in one pass: a sum a token and task, then over tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast((counts, own_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = Counts(shared.value.tokens, shared.value.shared), _Hashes()
+        given, own_words = shared.value
+        own, hashes = Counts(given.tokens, given.shared), Hashes(own_words)
         for batch in batches:
             for s in byte_slices(pa.compute.binary_length(batch.column(0)).to_pylist(), 1 << 22):
-                texts = [words(t) for t in batch.column(0)[s].to_pylist()]
-                flat = chain.from_iterable((*t, b" ") for t in texts)
-                h = np.fromiter(map(memo.__getitem__, flat), np.uint64, sum(map(len, texts)) + len(texts))
+                h = hashes.of([words(t) for t in batch.column(0)[s].to_pylist()])
+                known = h != 0
                 for k in widths:
-                    if len(h) >= k:
-                        rows = np.lib.stride_tricks.sliding_window_view(h, k)
-                        own.add(shingles(rows)[(rows != 0).all(1)])
+                    n = len(h) - k + 1
+                    if n > 0:
+                        at = np.flatnonzero(np.logical_and.reduce([known[i : n + i] for i in range(k)]))
+                        own.add(shingles(np.stack([h[at + i] for i in range(k)], 1)))
         at = np.flatnonzero(own.n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.n[at])], names=["token", "n"])
 
@@ -284,7 +310,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, chunk_word
         out = docs.withColumns({"lodestrata_n_words": F.lit(0).cast("long"), "lodestrata_hits": F.array().cast("array<int>"), "lodestrata_items": F.array().cast("array<string>")})
         return _word_counts(out, text_col)
     widths = [r[0] for r in pieces.select(F.least(F.col("n"), F.lit(SHINGLE)).alias("k")).distinct().collect()]
-    counts = _count(texts, _tokens(pieces), widths)
+    counts = _count(texts, _tokens(pieces), widths, _vocabulary(pieces))
     for k in range(chunks):
         rows = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(chunks)) == k).collect()  # about chunk_words words
         if not rows and (k < chunks - 1 or out is not docs):

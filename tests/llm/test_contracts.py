@@ -331,8 +331,9 @@ def test_no_run_stays_in_the_catalog(spark, edges):
 
 
 def test_shared_counters_change_no_result(spark, edges, edge_rows, monkeypatch):
-    """With eight counters for all shingles the prefixes are poor, the results the same."""
+    """With eight counters for all shingles, and hashes made as words come, the prefixes are poor, the results the same."""
     monkeypatch.setattr(decontaminate, "MOST_TOKENS", 8)
+    monkeypatch.setattr(decontaminate, "MOST_WORDS", 4)
     docs = [r for r in edge_rows if r[0] < 160]
     items = [x for x in ITEMS if x[0]]
     found = decontaminate.contamination(edges.filter("doc_id < 160"), spark.createDataFrame(items, "item_id string, text string"), chunk_words=30)
