@@ -9,9 +9,10 @@ from .registry import query
 
 @query()
 def page_cards(spark, sf_dir):
-    """The group of siblings on each page that looks most like a directory, if any does."""
-    g = dom.primary_groups(dom.card_groups(dom.elements(table(spark, sf_dir, "pages"))))
-    return g.withColumn("names", F.col("members.name")).drop("members")
+    """Of each page the group of siblings that looks most like a directory; NULL where none does."""
+    e = dom.elements(table(spark, sf_dir, "pages"))
+    g = dom.primary_groups(dom.card_groups(e))
+    return e.where("node = 0").select("page_id").join(g.withColumn("names", F.col("members.name")).drop("members"), "page_id", "left")
 
 
 @query()

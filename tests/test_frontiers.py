@@ -135,7 +135,7 @@ def test_a_sweep_is_a_queue(spark, sf_dir, max_calls):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {r["id"]: r["call"] for r in finds.collect()} == seen
     if max_calls == 100_000:  # with an endless budget every point within a tile is found down to the least radius
-        assert all(r[0] is not None for r in got) and max(r[1] for r in got) >= 2
+        assert all(r[0] is not None for r in got) and max(r[1] for r in got) >= 1
 
 
 PLACE = ["name", "city", "lat", "lon"]
