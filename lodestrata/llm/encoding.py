@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -190,7 +189,6 @@ class TokenizersEncoder:
 
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism: threads within one only wait for cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
