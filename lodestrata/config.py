@@ -50,3 +50,8 @@ COUNT_TEXT = r"(?i)\b(\d{2,4})\s+(startups?|companies|unternehmen|firmen|portfol
 EDITORIAL = "event events veranstaltung veranstaltungen termine termin news neuigkeiten blog article articles artikel post posts presse press magazin magazine stories story aktuelles jobs karriere career careers kurse webinar".split()
 CARD_LEAST, CARD_THRESHOLD, NAME_ONLY, PROSE_LINKS = 4, 0.55, (24, 0.8), 0.45
 CARD_WEIGHTS = {"identity": 0.30, "linked": 0.20, "heading": 0.15, "alike": 0.15, "size": 0.10, "image": 0.10, "chrome_cap": 0.15, "empty": 0.30}
+# Elements that begin a new block of text, and how blocks of a page make up an article (points, shares, blocks).
+HEADING_TAGS = "h1 h2 h3 h4 h5 h6".split()
+BLOCK_TAGS = [*HEADING_TAGS, *"address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form header hr li main nav ol p pre section table td th title tr ul".split()]
+COLUMN_GAP, COLUMN_OVERLAP, BLOCK_SLACK = 22.0, 0.3, 2.0
+REGION_REACH, REGION_PADDING = 6, 12.0

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import dom
+from ..operators import dom, regions
+from ..scratch import written
 from ..session import table
 from .registry import query
 
@@ -35,3 +36,21 @@ def page_signals(spark, sf_dir):
 def page_plans(spark, sf_dir):
     """How each page is to be read: shape, extraction, chunking and how many entities it should yield."""
     return dom.page_plans(table(spark, sf_dir, "pages")).select("page_id", "shape", "extraction", "chunking", "expected", "confidence", "pattern", "pagination")
+
+
+#: What the press queries watch for.
+WATCHED = ["nicht", "there", "mente", "widget", "that", "ésan", "cookie"]
+
+
+@query()
+def article_regions(spark, sf_dir):
+    """The article around the first place of each watched term on each page."""
+    b = written(regions.page_blocks(dom.elements(table(spark, sf_dir, "pages"))), "blocks")
+    return regions.regions(b, regions.first_hits(b, WATCHED))
+
+
+@query()
+def press_matches(spark, sf_dir):
+    """Watched terms by article: those that stand in one are one match, with the article's text."""
+    b = written(regions.page_blocks(dom.elements(table(spark, sf_dir, "pages"))), "blocks")
+    return regions.excerpts(regions.matches(regions.regions(b, regions.first_hits(b, WATCHED))), b)
