@@ -55,3 +55,6 @@ HEADING_TAGS = "h1 h2 h3 h4 h5 h6".split()
 BLOCK_TAGS = [*HEADING_TAGS, *"address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form header hr li main nav ol p pre section table td th title tr ul".split()]
 COLUMN_GAP, COLUMN_OVERLAP, BLOCK_SLACK = 22.0, 0.3, 2.0
 REGION_REACH, REGION_PADDING = 6, 12.0
+# Hosts that report on organisations, and parts of the hosts of directories, networks and job boards.
+REPORTING_DOMAINS = "pitchbook.com tracxn.com dealroom.co wikipedia.org techcrunch.com sifted.eu tech.eu wellfound.com startupticker.ch munich-startup.de gruenderszene.de".split()
+DIRECTORY_HOSTS = "linkedin. xing. facebook. instagram. twitter. x.com youtube. wikipedia. wikidata. crunchbase. northdata. kununu. indeed. stepstone. glassdoor. dnb.com companyhouse. firmenwissen. wer-zu-wem. openstreetmap. google. bing. yelp. gelbeseiten. dasoertliche.".split()

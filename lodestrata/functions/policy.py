@@ -112,3 +112,17 @@ def unwrapped(url: Column, parameter: str = "uddg") -> Column:
     """The address that a redirecting one carries in a parameter, else itself."""
     inner = F.regexp_extract(url, rf"[?&]{parameter}=([^&#]+)", 1)
     return F.when(inner != "", F.try_url_decode(inner)).otherwise(url)
+
+
+def official_site(url: Column, shared: Iterable[str] = C.SHARED_DOMAINS, others: Iterable[str] = C.REPORTING_DOMAINS) -> Column:
+    """Whether an address can be an organisation's own: its host is neither one of those that many share, or that report on
+    others, nor under one. False for none."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+    blocked = F.array(*map(F.lit, [*shared, *others]))
+    return (host != "") & ~F.exists(blocked, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+
+
+def unlisted_site(url: Column, parts: Iterable[str] = C.DIRECTORY_HOSTS) -> Column:
+    """Whether an address has none of the parts that hosts of directories, networks and job boards have."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    return (low != "") & ~F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(low, p))

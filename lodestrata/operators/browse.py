@@ -57,3 +57,18 @@ def priority_order(industry: Column, first: list[str], b2b: Column, name: Column
     """Keys that put preferred industries, business customers and GmbHs first, then the score."""
     points = industry.isin(*first).cast("int") + b2b.cast("int") + F.lower(name).contains("gmbh").cast("int")
     return [points.desc_nulls_last(), score.desc_nulls_last()]
+
+
+def register_page(df: DataFrame, columns: dict[str, str], key: str, sort: str = "distance", descending: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the register by its sort menu: nearest, biggest, best tier and nearest, or by name; unknown values last.
+
+    ``columns`` names the columns for distance, employees, tier and name. Only the order by name can be turned round; any
+    other word means distance. Ties go by key.
+    """
+    c = {k: F.col(v) for k, v in columns.items()}
+    menu = {
+        "employees": [c["employees"].desc_nulls_last()],
+        "name": [c["name"].desc_nulls_last() if descending else c["name"].asc_nulls_last()],
+        "tier": [c["tier"].asc_nulls_last(), c["distance"].asc_nulls_last()],
+    }
+    return page(df, [*menu.get(sort, [c["distance"].asc_nulls_last()]), F.col(key)], limit, max(0, offset))

@@ -12,6 +12,7 @@ from ..operators import geo as G
 from ..operators import matching as M
 from ..operators import register as R
 from ..operators import stewardship as S
+from ..operators.extraction import merge_by_name as merged_by_name
 from ..scratch import scratch, written
 from ..operators.ordering import running
 from ..session import table
@@ -168,8 +169,8 @@ SELECT k, min(seq) AS first, arg_min(a, seq) FILTER (a IS NOT NULL) AS a, arg_mi
 def merge_by_name(spark, sf_dir):
     """Extractions of one name as one: the first is the base, later ones fill its gaps, tags are united."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("a"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("b"), F.substring("o_orderpriority", 1, 1).alias("tag"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    return o.groupBy("k").agg(F.min("at").alias("first"), first("a"), first("b"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    one = merged_by_name(o.withColumn("tags", F.array("tag")).withColumn("first", F.col("at")), ["k"], "k", ["at"], ["first", "a", "b"], ["tags"], key=lambda c: c.cast("string"))
+    return one.select("k", "first", "a", "b", F.array_join("tags", ",").alias("tags"))
 
 
 @query("""SELECT l_orderkey AS grp, count(*) AS n, round(avg((l_discount > 0.05)::INT), 4) AS linked, round(count(DISTINCT l_partkey)::DOUBLE / count(*), 4) AS distinct_ratio, CAST(trunc(median(l_quantity)) AS BIGINT) AS median, round(stddev_pop(l_quantity) / avg(l_quantity), 4) AS cv FROM lineitem GROUP BY 1""")

@@ -68,9 +68,17 @@ def sheet(spark: SparkSession, path: str, sample: str, required: str = "name") -
     return df.toDF(*[r["k"] or f"column{r['i']}" for r in keys]).filter(squeeze(F.coalesce(F.col(required), F.lit(""))) != "")
 
 
-def export_sheet(df: DataFrame, path: str, sep: str = ";") -> None:
-    """Rows as CSV part files with a header each; NULL as nothing."""
-    df.write.mode("overwrite").option("sep", sep).option("header", True).option("nullValue", "").csv(path)
+def export_sheet(df: DataFrame, path: str, sep: str = ";", mark: bool = False) -> None:
+    """Rows as CSV part files with a header each; NULL as nothing. With ``mark`` each file begins with a byte order mark, which
+    some spreadsheets need to read letters beyond ASCII: it is part of the header's first name."""
+    named = df.toDF("\ufeff" + df.columns[0], *df.columns[1:]) if mark else df
+    named.write.mode("overwrite").option("sep", sep).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def export_register(df: DataFrame, path: str, labels: dict[str, str], order: list[Column], where: Column | None = None) -> None:
+    """All rows that a filter leaves, in order, with labelled columns, as marked sheets; part files are in order, too."""
+    rows = (df if where is None else df.where(where)).orderBy(*order)
+    export_sheet(rows.select(*[F.col(c).alias(label) for c, label in labels.items()]), path, mark=True)
 
 
 def append_json(df: DataFrame, path: str) -> None:
