@@ -26,10 +26,17 @@ FIELDS: dict[str, str] = {
     "founded_year": "year", "funding_stage": "text", "funding_amount": "text", "employee_count": "text", "contact_info": "text",
     "published_date": "text", "founders": "list", "tags": "list",
 }
-#: Which fields must be supported by the text, and how.
-SUPPORTED: dict[str, Callable[[Column, Column], Column]] = {
-    "founded_year": T.grounded_year, "funding_stage": T.grounded_phrase, "funding_amount": T.grounded_amount,
-    "employee_count": T.grounded_headcount, "founders": T.grounded_people,
+def supported_people(text: Column, words: Column, names: Column) -> Column:
+    """The names whose last word the text has as a word."""
+    return F.filter(names, lambda n: F.contains(words, F.concat(F.lit(" "), F.lower(F.element_at(F.split(T.strip(n), r"\s+"), -1)), F.lit(" "))))
+
+
+#: Which fields must be supported by the text, and how: by a rule of the text, its words in lower case between blanks, and the value.
+Rule = Callable[[Column, Column, Column], Column]
+SUPPORTED: dict[str, Rule] = {
+    "founded_year": lambda text, words, v: T.grounded_year(text, v), "funding_stage": lambda text, words, v: T.grounded_phrase(text, v),
+    "funding_amount": lambda text, words, v: T.grounded_amount(text, v), "employee_count": lambda text, words, v: T.grounded_headcount(text, v),
+    "founders": supported_people,
 }
 
 
@@ -75,7 +82,7 @@ def _read(item: Column, field: str, kind: str) -> Column:
 
 def records(
     answers: DataFrame, text: str = "chunk", answer: str = "answer", root: str = "records", fields: Mapping[str, str] = FIELDS,
-    supported: Mapping[str, Callable[[Column, Column], Column]] = SUPPORTED, implausible: Callable[[Column], Column] = implausible_name, excerpt: int = 2000,
+    supported: Mapping[str, Rule] = SUPPORTED, implausible: Callable[[Column], Column] = implausible_name, excerpt: int = 2000,
 ) -> DataFrame:
     """Answers as records: the columns of ``answers`` but text and answer, and pos, state, the fields, nulled, dropped, source_excerpt.
 
@@ -89,7 +96,10 @@ def records(
     listed = F.try_variant_get("lode_v", f"$.{root}", "array<variant>")
     absent = F.try_variant_get("lode_v", f"$.{root}", "string").isNull() & F.startswith(F.schema_of_variant("lode_v"), F.lit("OBJECT"))
     found = found.withColumn("lode_items", F.coalesce(listed, F.when(absent & F.col("lode_v").isNotNull(), F.array().cast("array<variant>"))))
-    rows = found.select(*keys, F.col(text).alias("lode_text"), F.col("lode_items").isNull().alias("lode_corrupt"), F.posexplode_outer("lode_items").alias("pos", "lode_item"))
+    # a text's words are made once for all its records
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+    found = found.withColumn("lode_words", spaced)
+    rows = found.select(*keys, F.col(text).alias("lode_text"), "lode_words", F.col("lode_items").isNull().alias("lode_corrupt"), F.posexplode_outer("lode_items").alias("pos", "lode_item"))
 
     source = F.coalesce("lode_text", F.lit(""))
     rows = rows.withColumn("lode_object", F.startswith(F.schema_of_variant("lode_item"), F.lit("OBJECT")))
@@ -99,8 +109,14 @@ def records(
         F.when(F.col("pos").isNull() & F.col("lode_corrupt"), "corrupt").when(F.col("pos").isNull(), "empty").when(~F.coalesce("lode_object", F.lit(False)), "not_a_record")
         .when(F.coalesce(T.strip(F.col("lode_name")), F.lit("")) == "", "unnamed").when(implausible(F.col("lode_name")), "implausible").otherwise("kept")
     )
-    checked = {f: supported[f](source, F.col(f"lode_{f}")) if f in supported else F.col(f"lode_{f}") for f in fields}
-    rows = rows.select("*", state.alias("state"), *[c.alias(f) for f, c in checked.items()])
+
+    def checked(f: str, kind: str) -> Column:
+        v = F.col(f"lode_{f}")
+        if f not in supported:
+            return v
+        return F.when(F.size(v) > 0 if kind == "list" else v.isNotNull(), supported[f](source, F.col("lode_words"), v)).otherwise(v)
+
+    rows = rows.select("*", state.alias("state"), *[checked(f, kind).alias(f) for f, kind in fields.items()])
     nulled = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col(f"lode_{f}").isNotNull() & F.col(f).isNull(), F.lit(f)) for f in supported if fields.get(f) not in (None, "list")]))
     dropped = F.flatten(F.array(F.array().cast("array<string>"), *[F.array_except(f"lode_{f}", f) for f in supported if fields.get(f) == "list"]))
     return rows.select(*keys, "pos", "state", *fields, nulled.alias("nulled"), dropped.alias("dropped"), F.left(source, F.lit(excerpt)).alias("source_excerpt"))
@@ -149,15 +165,18 @@ def line_answers(text: Column, root: str = "records") -> Column:
     The first word is the name, an e-mail address gives contact and website, the first number of four digits the year (else
     0, which stands for none), the line's second word and its last are taken for a founder's name.
     """
-    def record(line: Column) -> Column:
-        words = T.words(line)
+    def parts(line: Column) -> Column:
         mail = F.regexp_extract(line, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0)
+        return F.struct(line.alias("line"), T.words(line).alias("words"), F.when(F.contains(line, F.lit("@")), mail).otherwise("").alias("mail"))
+
+    def record(p: Column) -> Column:
+        words = p["words"]
         person = F.concat_ws(" ", F.get(words, 1), F.element_at(words, -1))
         return F.struct(
-            F.regexp_replace(F.element_at(words, 1), r"[.,;]+$", "").alias("name"), line.alias("description"), mail.alias("contact_info"),
-            F.substring_index(mail, "@", -1).alias("website"), F.coalesce(F.regexp_extract(line, "(?<![0-9])[0-9]{4}(?![0-9])", 0).try_cast("int"), F.lit(0)).alias("founded_year"),
+            F.regexp_replace(F.element_at(words, 1), r"[.,;]+$", "").alias("name"), p["line"].alias("description"), p["mail"].alias("contact_info"),
+            F.substring_index(p["mail"], "@", -1).alias("website"), F.coalesce(F.regexp_extract(p["line"], "(?<![0-9])[0-9]{4}(?![0-9])", 0).try_cast("int"), F.lit(0)).alias("founded_year"),
             F.when(F.size(words) > 1, F.array(person)).otherwise(F.array().cast("array<string>")).alias("founders"),
         )
 
     lines = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != "")
-    return F.to_json(F.struct(F.transform(lines, record).alias(root)))
+    return F.to_json(F.struct(F.transform(F.transform(lines, parts), record).alias(root)))

@@ -15,10 +15,11 @@ def line_answers(spark, sf_dir):
     same number."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
     how = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), k.alias("k"))
-    said, k = X.line_answers(F.col("text")), F.col("k")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", X.line_answers(F.col("text")).alias("said")).join(how, "doc_id", "left")
+    said, k = F.col("said"), F.col("k")
     fenced = F.concat(F.lit("<think>{</think>\n```json\n"), said, F.lit("\n```"))
     answer = F.when(k % 7 == 0, F.left(said, F.ceil(F.length(said) / 2))).when(k % 5 == 0, fenced).when(k % 11 == 0, "{}").otherwise(said)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(how, "doc_id", "left").select("doc_id", "text", answer.alias("answer"))
+    return d.select("doc_id", "text", answer.alias("answer"))
 
 
 @query()
