@@ -53,4 +53,5 @@ def article_regions(spark, sf_dir):
 def press_matches(spark, sf_dir):
     """Watched terms by article: those that stand in one are one match, with the article's text."""
     b = written(regions.page_blocks(dom.elements(table(spark, sf_dir, "pages"))), "blocks")
-    return regions.excerpts(regions.matches(regions.regions(b, regions.first_hits(b, WATCHED))), b)
+    found = written(regions.matches(regions.regions(b, regions.first_hits(b, WATCHED))), "matches")
+    return regions.excerpts(found, b)
