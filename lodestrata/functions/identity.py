@@ -35,7 +35,7 @@ def match_key(c: Column) -> Column:
 
 def clean_name(c: Column) -> Column:
     """Without a disambiguation in brackets at the end."""
-    return squeeze(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?i)\s*\((?:Unternehmen|Firma|Konzern|Begriffskl[äa]rung)[^)]*\)\s*$", ""))
+    return squeeze(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?iu)\s*\((?:Unternehmen|Firma|Konzern|Begriffskl[äa]rung)[^)]*\)\s*$", ""))
 
 
 def authority(url: Column) -> Column:

@@ -48,7 +48,7 @@ def implausible_name(name: Column, institutions: Iterable[str] = (), incumbents:
     bad = bad | (F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))) > commas)
     for pattern, start in ((generic, True), (headline, True), (collective, False), (title, False)):
         if pattern:
-            bad = bad | s.rlike(f"(?i){'^' if start else ''}(?:{pattern})")
+            bad = bad | s.rlike(f"(?iu){'^' if start else ''}(?:{pattern})")
     return (s != "") & bad
 
 

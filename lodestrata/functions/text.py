@@ -24,8 +24,8 @@ def squeeze(c: Column) -> Column:
 
 
 def word_regex(body: str) -> str:
-    """A case-insensitive regex for ``body`` as whole words, the same in Java and RE2."""
-    return rf"(?i)(^|{_EDGE})(?:{body})($|{_EDGE})"
+    """A Java regex for ``body`` as whole words in any case, of letters beyond ASCII too, as RE2 reads ``(?i)``."""
+    return rf"(?iu)(^|{_EDGE})(?:{body})($|{_EDGE})"
 
 
 def usable(patterns: Iterable[str]) -> str | None:

@@ -18,7 +18,7 @@ def structural_junk(name: Column) -> Column:
 
 
 def building_label(name: Column, words: list[str]) -> Column:
-    return F.coalesce(F.trim(name).rlike(rf"(?i)^({'|'.join(words)})\s*[-–]?\s*[0-9]+[a-z]?$"), F.lit(False))
+    return F.coalesce(F.trim(name).rlike(rf"(?iu)^({'|'.join(words)})\s*[-–]?\s*[0-9]+[a-z]?$"), F.lit(False))
 
 
 def institution(name: Column, terms: list[str]) -> Column:

@@ -89,3 +89,14 @@ def test_pages_as_text_and_signals(spark, sf_dir):
         p.close()
         assert texts[k].split("\n\nNames shown as images:")[0] == "\n".join(p.out)
         assert (shapes[k]["images"], shapes[k]["headings"]) == (p.images, p.heads)
+
+
+def test_words_in_capitals_beyond_ascii(spark):
+    """A capital umlaut is the letter of its pattern, as in the SQL."""
+    import duckdb
+    from lodestrata.plans.text import _RX
+
+    texts = ["! ERLICH!! FÜR!! DIE!!", "für uns", "FÜRST", "Fur", "GEFÜR", "der", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.relevance(F.col("t"), {"geo": ["der", "für"]}, ["die"]).alias("r")).orderBy("i").collect()
+    assert [r["r"]["score"] for r in got] == [1, 1, 0, 0, 0, 1, None] and not got[0]["r"]["foreign_only"]
+    assert [duckdb.execute("SELECT regexp_matches(?, ?)", [t, _RX["geo"]]).fetchone()[0] for t in texts[:5]] == [True, True, False, False, False]
