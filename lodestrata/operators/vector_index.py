@@ -3,7 +3,7 @@
 Centroids are fitted on a bounded sample (``sample`` rows, those with the least hash of their id); every row is assigned to the
 list of its nearest centroid, by matrix products in Arrow batches. The index is a table like any other, in the order of its
 lists, so that a read of some lists skips the rest by the statistics of its files. A list that holds a third of all rows is
-cut by id ranges when written, and by Spark's skewed join when searched.
+cut by id ranges when written, and by the hash of ids when searched.
 
 A search takes the lists of each query's ``probes`` nearest centroids and ranks their rows by the exact cosine, so what it
 returns has the right similarity. How many probes that takes depends on the data: ``build`` finds the fewest that reach a
@@ -20,12 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import dot, norm
+from ..functions.numeric import norm
 from ..scratch import written
-from .ranking import nearest
+from .ranking import nearest, top_matches
 
 #: List of rows that are near nothing.
 NOWHERE = -1
@@ -56,7 +56,8 @@ class VectorIndex:
             if fits.any():
                 x = np.stack([np.asarray(v, np.float32) for v in vectors[fits]])
                 length = np.linalg.norm(x, axis=1)
-                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+                fit = x @ centres.T
+                near = (np.argmax(fit, axis=1)[:, None] if n == 1 else np.argsort(-fit, axis=1, kind="stable")[:, :n]).astype(np.int32)
                 for at, row, size in zip(np.flatnonzero(fits), near, length, strict=True):
                     out[at] = row if size > 0 and np.isfinite(size) else None
             return pd.Series(out)
@@ -129,19 +130,12 @@ def fetch(index: VectorIndex, ids: DataFrame) -> DataFrame:
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, same: list[str] | None = None, without_self: bool = True) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` most similar rows in each query's nearest lists by cosine, ties by id.
 
-    ``same`` names payload columns that must be equal on both sides. The join is by list and those columns; which side is
-    broadcast, if any, is Spark's choice by size.
+    ``same`` names payload columns that must be equal on both sides. Queries meet the rows of their lists as in ``ranking.nearest``.
     """
     same = same or []
-    vec = lambda c: F.transform(c, lambda x: x.cast("double"))
-    q = queries.select(F.col(index.id_col).alias("query_id"), vec(index.vec_col).alias("qv"), *same, F.explode(index.nearest_lists(F.col(index.vec_col), probes or index.probes)).alias("list")).withColumn("qn", norm(F.col("qv")))
-    rows = index.rows.where(F.col("list") != NOWHERE).select("list", *same, F.col(index.id_col).alias("id"), vec(index.vec_col).alias("v")).withColumn("n", norm(F.col("v")))
-    pairs = q.join(rows, ["list", *same])
-    if without_self:
-        pairs = pairs.where("id <> query_id")
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("n") * F.col("qn")), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    q = queries.select(F.col(index.id_col).alias("query_id"), F.col(index.vec_col).alias("qv"), *same, F.explode(index.nearest_lists(F.col(index.vec_col), probes or index.probes)).alias("list"))
+    rows = index.rows.where(F.col("list") != NOWHERE).select("list", *same, F.col(index.id_col).alias("id"), F.col(index.vec_col).alias("v"))
+    return top_matches(q, rows, k, ["list"], same, without_self)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -86,3 +86,32 @@ def test_no_vectors(spark, vectors):
     assert index.lists == 0 and X.search(index, vectors, 3).count() == 0
     one = X.build(vectors.where("vec_id = 7"))
     assert one.lists == 1 and X.search(one, vectors.where("vec_id = 8"), 3).first()["id"] == 7
+
+
+def test_exact_neighbours_of_odd_vectors(spark, vectors, monkeypatch):
+    """All pairs in Python, in many parts: copies, ties, missing, zero and shorter vectors, filters; parts meet, not rows."""
+    rows = [r.asDict() for r in vectors.collect()] + [{"vec_id": 3000, "kind": "b", "embedding": [1.0, None] + [0.0] * 10}]
+    table = spark.createDataFrame(rows, "vec_id long, kind string, embedding array<float>").repartition(3)
+    length = lambda v: sum(x * x for x in v) ** 0.5 if v and None not in v else 0.0
+
+    def cosine(a, b):
+        n = length(a) * length(b)
+        if n == 0:
+            return 0.0
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if len(a) == len(b) else None
+
+    for size in (1 << 22, 1 << 10):
+        monkeypatch.setattr(R, "ROWS_PART", size)
+        monkeypatch.setattr(R, "QUERIES_PART", size)
+        for same in (None, ["kind"]):
+            found = R.nearest(table, table.where("vec_id % 20 = 0 OR vec_id >= 2000"), 7, same=same)
+            got = {}
+            for r in found.collect():
+                got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["similarity"]))
+            for q in rows:
+                if q["vec_id"] % 20 and q["vec_id"] < 2000:
+                    continue
+                fit = [(cosine(q["embedding"], r["embedding"]), r["vec_id"]) for r in rows if r["vec_id"] != q["vec_id"] and (not same or q["kind"] == r["kind"] and q["kind"])]
+                fit.sort(key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))
+                assert sorted(got.get(q["vec_id"], [])) == [(i + 1, r, s) for i, (s, r) in enumerate(fit[:7])], (q["vec_id"], same)
+            assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
