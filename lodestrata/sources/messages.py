@@ -130,13 +130,17 @@ def mail_messages(raw: bytes) -> list[tuple]:
     return out
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+#: So many files have a task each; of more, a task reads several, of so many bytes, about, and so many files at most.
+OWN_TASK, TASK_BYTES, TASK_FILES = 64, 4 << 20, 256
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
 
 
 class _Reader(DataSourceReader):
-    """A partition a file under ``path``; hidden files are passed over."""
+    """A partition a file under ``path``, or, where they are many, several small ones; hidden files are passed over."""
 
     def __init__(self, options: dict, parse: Callable[[bytes], list[tuple]]):
         if not options.get("path"):
@@ -148,16 +152,25 @@ class _Reader(DataSourceReader):
 
         system, name = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         found = system.get_file_info(fs.FileSelector(name, recursive=True)) if system.get_file_info(name).type == fs.FileType.Directory else [system.get_file_info(name)]
-        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and x.base_name[:1] not in "._"] or [_File("")]
+        files = [x for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and x.base_name[:1] not in "._"]
+        full = min(TASK_BYTES, sum(x.size for x in files) // OWN_TASK)
+        parts, room = [[]], full
+        for x in files:
+            if parts[-1] and (len(files) <= OWN_TASK or x.size > room or len(parts[-1]) == TASK_FILES):
+                parts.append([])
+                room = full
+            parts[-1].append(x.path)
+            room -= x.size
+        return [_Files(p) for p in parts]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pyarrow import fs
 
-        if partition.value:
-            system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-            with system.open_input_stream(partition.value) as f:
+        system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        for path in partition.value:
+            with system.open_input_stream(path) as f:
                 raw = f.read()
-            yield from ((partition.value, *r) for r in self.parse(raw))
+            yield from ((path, *r) for r in self.parse(raw))
 
 
 class FeedSource(DataSource):

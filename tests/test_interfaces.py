@@ -107,3 +107,19 @@ def test_table_functions(spark):
     assert spark.sql("SELECT * FROM text_windows('', 4, 3)").count() == 0
     got = spark.sql("SELECT t.tag, t.last - t.node AS inside FROM VALUES ('<div><p>a<a href=x>b</a></div>') AS p(html), LATERAL page_elements(html) AS t ORDER BY t.node")
     assert [tuple(r) for r in got.collect()] == [("#page", 3), ("div", 2), ("p", 1), ("a", 0)]
+
+
+def test_many_files_share_tasks(spark, tmp_path):
+    """Hundreds of feeds are read in few tasks, none left out and a broken one counted; messages are written several a file."""
+    from lodestrata.plans.interfaces import _files
+
+    for i in range(300):
+        (tmp_path / f"{i}.xml").write_bytes(b"<rss" if i == 7 else RSS)
+    spark.dataSource.register(M.FeedSource)
+    got = spark.read.format("entity_feeds").load(str(tmp_path))
+    assert M.OWN_TASK <= got.rdd.getNumPartitions() <= 2 * M.OWN_TASK
+    n = len(M.feed_entries(RSS))
+    assert got.where("error IS NULL").count() == 299 * n and got.where("error IS NOT NULL").count() == 1
+    rows = spark.range(1000).coalesce(1).select(F.concat(F.lit("From c@x.org Mon\nMessage-ID: <m"), "id", F.lit(">\n\ntext\n")).alias("value"))
+    read = spark.read.format("binaryFile").load(_files(rows, "mail", each=200))
+    assert read.count() == 5 and M.mail_rows(read).where("error IS NULL").select("message_id").distinct().count() == 1000
