@@ -34,15 +34,23 @@ def candidates(proposals: DataFrame, key: str) -> DataFrame:
 
 
 def grouped(proposals: DataFrame, key: str, review: str, created: str, risk: str) -> DataFrame:
-    """One row a key: reviews, worst risk, first and last seen, number of fields and of candidate values."""
-    return proposals.groupBy(key).agg(
-        F.countDistinct(review).alias("reviews"),
+    """One row a key: reviews, worst risk, first and last seen, number of fields and of candidate values.
+
+    Each kind of thing is counted from its own distinct rows, so no row is repeated for each count; what is joined is a row a key.
+    """
+    key_ = F.col(key).alias("lode_key")  # NULL is a key as any other
+    spans = proposals.groupBy(key_).agg(
         F.when(F.max(F.when(F.col(risk) == "high", 1).otherwise(0)) == 1, "high").otherwise(F.max_by(risk, F.struct(created, review))).alias("risk"),
         F.min(created).alias("first_seen"),
         F.max(created).alias("last_seen"),
-        F.countDistinct("field").alias("fields"),
-        F.countDistinct("field", "new").alias("values"),
     )
+    reviews = proposals.select(key_, F.col(review).alias("lode_review")).distinct().groupBy("lode_key").agg(F.count("lode_review").alias("reviews"))
+    values = proposals.select(key_, "field", "new").distinct().groupBy("lode_key", "field").agg(F.count(F.when(F.col("field").isNotNull(), F.col("new"))).alias("values"))
+    values = values.groupBy("lode_key").agg(F.count("field").alias("fields"), F.sum("values").alias("values"))
+    out, columns = spans, [F.col("lode_key").alias(key), "reviews", "risk", "first_seen", "last_seen", "fields", "values"]
+    for more in (reviews, values):
+        out = out.join(more.withColumnRenamed("lode_key", "lode_other"), F.col("lode_key").eqNullSafe(F.col("lode_other"))).drop("lode_other")
+    return out.select(*columns)
 
 
 def majority(proposals: DataFrame, key: str) -> DataFrame:

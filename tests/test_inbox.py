@@ -105,3 +105,18 @@ def test_export_is_marked_ordered_and_read_back(spark, tmp_path):
     assert lines == [f"{k};Fırma ö {k}" if k % 3 else f"{k};" for k in range(39, 9, -1)]
     back = formats.sheet(spark, path, "Nr;Firma\n1;a", required="nr")
     assert back.columns == ["nr", "firma"] and back.count() == 30
+
+
+def test_groups_are_counted_without_repeating_rows(spark):
+    """Distinct things a key, NULLs too, row by row; no row is copied for each count."""
+    from lodestrata.operators import reviews
+
+    rows = [(i % 3 or None, [1, 2, None, 2][i % 4], i % 7, ["low", "mid", "high"][i % (2 if i % 3 else 3)], ["a", "b", None][i % 3 - i % 2], ["x", "y", None][i % 5 % 3]) for i in range(60)]
+    found = reviews.grouped(spark.createDataFrame(rows, "k int, review int, at int, risk string, field string, new string"), "k", "review", "at", "risk")
+    got = {r["k"]: (r["reviews"], r["fields"], r["values"], r["first_seen"], r["last_seen"]) for r in found.collect()}
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        seen = [r[2] for r in own]
+        want = (len({r[1] for r in own} - {None}), len({r[4] for r in own} - {None}), len({r[4:] for r in own if None not in r[4:]}), min(seen), max(seen))
+        assert got[k] == want
+    assert len(got) == 3 and "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
