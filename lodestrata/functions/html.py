@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,19 +116,24 @@ def parse(html: str | None) -> _Page:
     return p
 
 
+#: Pages whose texts a task holds at once.
+PAGES = 256
+
+
 def page_texts(pages: DataFrame, id_col: str = "page_id", html: str = "html", least_alts: int = 12) -> DataFrame:
     """(id, text): lines of text outside scripts and navigation; image texts after them if there are many."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for source in batch[html]:
-                p = parse(source)
-                text = "\n".join(p.lines)
-                out.append(text + ("\n\nNames shown as images:\n" + "\n".join(p.alts) if len(p.alts) >= least_alts else ""))
-            yield pd.DataFrame({id_col: batch[id_col], "text": out})
-
-    return pages.select(id_col, html).mapInPandas(run, f"{id_col} long, text string")
+            for at in range(0, batch.num_rows, PAGES):
+                part, out = batch.slice(at, PAGES), []
+                for source in part.column(1):
+                    p = parse(source.as_py())
+                    text = "\n".join(p.lines)
+                    out.append(text + ("\n\nNames shown as images:\n" + "\n".join(p.alts) if len(p.alts) >= least_alts else ""))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=[id_col, "text"])
+
+    return pages.select(F.col(id_col).cast("long").alias(id_col), html).mapInArrow(run, f"{id_col} long, text string")
 
 
 def page_strategies(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:

@@ -100,3 +100,27 @@ def test_words_in_capitals_beyond_ascii(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.relevance(F.col("t"), {"geo": ["der", "für"]}, ["die"]).alias("r")).orderBy("i").collect()
     assert [r["r"]["score"] for r in got] == [1, 1, 0, 0, 0, 1, None] and not got[0]["r"]["foreign_only"]
     assert [duckdb.execute("SELECT regexp_matches(?, ?)", [t, _RX["geo"]]).fetchone()[0] for t in texts[:5]] == [True, True, False, False, False]
+
+
+def test_page_texts_are_made_a_few_pages_at_a_time(spark, sf_dir):
+    """However many pages a batch has, a task holds the texts of some; all come out, in order."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in H.page_texts(pages).collect()}
+    table = pages.select("page_id", "html").toArrow().combine_chunks()
+
+    class Held:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+        mapInPandas = mapInArrow  # noqa: N815
+
+    import pyarrow as pa
+
+    (batch,) = pa.concat_tables([table] * 12).combine_chunks().to_batches()
+    parts = list(H.page_texts(Held())(iter([batch])))
+    assert len(parts) > 1 and max(p.num_rows for p in parts) <= H.PAGES
+    assert [found[i] for p in parts for i in p.column(0).to_pylist()] == [t for p in parts for t in p.column(1).to_pylist()]
+    assert sum(p.num_rows for p in parts) == 12 * len(found)
