@@ -108,18 +108,21 @@ def batch_index(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w.orderBy("turn")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-def _in_batches(spark, df, order, name, n=4):
-    """The rows as a stream of ``n`` batches in their order: a folder with a file for each."""
+def _in_batches(spark, df, order, name, n=4, rows=1_000_000):
+    """The rows as a stream of ``n`` batches in their order: a folder with as many files for each, of ``rows`` or more where
+    there are more than one."""
     folder = _folder(spark, name)
     ranked = written(df, "rows")
     cuts = ranked.select(F.percentile_approx(order, [k / n for k in range(1, n)], 100)).first()[0] or []
-    low = None
-    for high in [*cuts, None]:
-        part = ranked if low is None else ranked.where(F.col(order) > low)
-        part = part if high is None else part.where(F.col(order) <= high)
-        part.coalesce(1).write.mode("append").parquet(folder)
-        low = high
-    return jobs.stream_of(spark, folder, ranked.schema)
+    at = F.col(order)
+    ends = list(zip([None, *cuts], [*cuts, None], strict=True))
+    parts = [(F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high) for low, high in ends]
+    # a file too few would mix batches, so it is the smallest batch that says how many each has
+    files = max(1, min(ranked.select(*map(F.count_if, parts)).first()) // rows)
+    for part in parts:
+        batch = ranked.where(part)
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(folder)
+    return jobs.stream_of(spark, folder, ranked.schema, files)
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")

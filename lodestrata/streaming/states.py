@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from operator import attrgetter
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 
 #: Rounds of two shortfalls flag a profile; a probe is good for so many days.
@@ -116,45 +120,64 @@ class Profile:
 _EVENT = {"seq": "long", "kind": "string", "expected": "long", "extracted": "long", "recovered": "boolean", "step": "int", "version": "int", "strategy": "string", "forced": "boolean"}
 _STATE = "status string, shortfalls int, step int, probed_at long, version int, strategy string, source string, recall double, reason string"
 _FIELDS = [x.split()[0] for x in _STATE.split(", ")]
+_NEW, _shown = Profile(), attrgetter(*_FIELDS)
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
 
 
 class _Profiles(StatefulProcessor):
-    names = ("at", *_EVENT)
+    """Keys share groups, as a call to the state store or a timer for each event or key would cost far more than the event.
+
+    What waits of a group is one Arrow table a batch, its profiles are one more, and it has a timer for the earliest event of each.
+    """
+
+    def __init__(self, events: pa.Schema):
+        self.events = events
+        fields = [("status", pa.string()), ("shortfalls", pa.int64()), ("step", pa.int64()), ("probed_at", pa.int64()), ("version", pa.int64()), ("strategy", pa.string()), ("source", pa.string()), ("recall", pa.float64()), ("reason", pa.string())]
+        self.known = pa.schema([events.field("key"), *fields])
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, " + ", ".join(f"{k} {v}" for k, v in _EVENT.items()))
-        self.profile = handle.getValueState("profile", _STATE)
-        self.until = handle.getValueState("until", "ms long")
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.profiles = handle.getValueState("profiles", "profiles binary, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for batch in rows:
-            batch = batch[list(self.names)].astype(object)
-            new += batch.where(batch.notna(), None).itertuples(index=False, name=None)
-        self.waiting.appendList([(int(r[0]), *(None if x is None else bool(x) if k in ("recovered", "forced") else str(x) if k in ("kind", "strategy") else int(x) for k, x in zip(_EVENT, r[1:], strict=True))) for r in new])
-        for ms in {-(-int(r[0]) // 1000) for r in new}:
-            self.handle.registerTimer(ms)
+        self.wait(pa.concat_tables([pa.Table.from_pandas(r[self.events.names], self.events, preserve_index=False) for r in rows]), self.waiting.appendList)
         return iter(())
 
+    def wait(self, events: pa.Table, put) -> None:
+        """The events are called for when the watermark has passed the first of them. That may happen twice."""
+        put([(_packed(events),)])
+        self.handle.registerTimer(-(-pa.compute.min(events["at"]).as_py() // 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # what the watermark has passed is whole: no earlier event can come any more
-        now, done = timerValues.getCurrentWatermarkInMs(), self.until.get()[0] if self.until.exists() else -1
-        if expiredTimerInfo.getExpiryTimeInMs() <= done:
+        now, known = timerValues.getCurrentWatermarkInMs(), self.profiles.get()
+        if known is not None and expiredTimerInfo.getExpiryTimeInMs() <= known[1]:
             return
-        events = [dict(zip(self.names, r, strict=True)) for r in self.waiting.get()]
-        due = sorted((e for e in events if e["at"] <= now * 1000), key=lambda e: (e["at"], e["seq"]))
-        rest = [tuple(e[c] for c in self.names) for e in events if e["at"] > now * 1000]
-        if rest:
-            self.waiting.put(rest)
+        events = pa.concat_tables([_unpacked(raw) for (raw,) in self.waiting.get()])
+        ready = pa.compute.less_equal(events["at"], now * 1000)
+        due, rest = events.filter(ready).sort_by([("at", "ascending"), ("seq", "ascending")]), events.filter(pa.compute.invert(ready))
+        if rest.num_rows:
+            self.wait(rest, self.waiting.put)
         else:
             self.waiting.clear()
-        p, out = Profile(*self.profile.get()) if self.profile.exists() else Profile(), []
-        for e in due:
-            p = p.after(e)
-            out.append((key[0], e["at"], e["seq"], e["kind"], *(getattr(p, f) for f in _FIELDS)))
-        self.profile.update(tuple(getattr(p, f) for f in _FIELDS))
-        self.until.update((now,))
+        lives = {} if known is None else {k: Profile(*x) for k, *x in zip(*_unpacked(known[0]).to_pydict().values(), strict=True)}
+        out, names = [], due.column_names
+        for e in zip(*due.to_pydict().values(), strict=True):
+            p = lives[e[0]] = lives.get(e[0], _NEW).after(dict(zip(names, e, strict=True)))
+            out.append((*e[:4], *_shown(p)))
+        columns = list(zip(*[(k, *_shown(p)) for k, p in lives.items()], strict=True)) or [()] * len(self.known)
+        self.profiles.update((_packed(pa.table([pa.array(c, f.type) for c, f in zip(columns, self.known, strict=True)], schema=self.known)), now))
         if out:
             frame = pd.DataFrame(out, columns=["key", "at", "seq", "kind", *_FIELDS])
             yield frame.astype({"probed_at": "Int64"})
@@ -163,13 +186,14 @@ class _Profiles(StatefulProcessor):
         pass
 
 
-def profile_states(df: DataFrame, key: str, at: str, late: str = "10 minutes") -> DataFrame:
+def profile_states(df: DataFrame, key: str, at: str, late: str = "10 minutes", groups: int = 512) -> DataFrame:
     """Each event with its profile's state after it, in the order of event time, then ``seq``.
 
     ``df`` has the key, a timestamp and kind (probe, guess, recall, retry, pin, unpin, stale), seq, expected, extracted, recovered, step, version,
     strategy, forced; those that a kind doesn't need may be NULL. Events wait until the watermark (the latest time less
     ``late``) has passed them, so batches may bring them in any order; what comes later than that is dropped. The last
-    ``late`` of a stream waits for more.
+    ``late`` of a stream waits for more. Keys are dealt into ``groups``; a group's waiting events and profiles are held by a task
+    at once, so very many keys want more groups. A query that goes on from its checkpoint must keep their number.
     """
     use_rocksdb(df.sparkSession)
     defaults = {"expected": 0, "extracted": 0, "recovered": False, "step": 0, "version": 0, "forced": False}
@@ -177,7 +201,11 @@ def profile_states(df: DataFrame, key: str, at: str, late: str = "10 minutes") -
     values = [F.coalesce(g, F.lit(defaults[c])).alias(c) if c in defaults else g.alias(c) for g, c in zip(given, _EVENT, strict=True)]
     rows = df.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("lode_time"), *values).withWatermark("lode_time", late).withColumn("at", F.unix_micros("lode_time"))
     kind = dict(rows.dtypes)["key"]
-    out = rows.groupBy("key").transformWithStateInPandas(_Profiles(), f"key {kind}, at long, seq long, kind string, {_STATE}", "append", "EventTime")
+    # pandas would make floats of numbers beside a NULL, so keys go as texts
+    text = F.col("key") if kind in ("string", "binary") else F.col("key").cast("string")
+    rows = rows.withColumn("lode_group", F.pmod(F.xxhash64("key"), F.lit(groups))).withColumn("key", text)
+    events = to_arrow_schema(rows.select("key", "at", *_EVENT).schema)
+    out = rows.groupBy("lode_group").transformWithStateInPandas(_Profiles(events), f"key {dict(rows.dtypes)['key']}, at long, seq long, kind string, {_STATE}", "append", "EventTime")
     time = lambda c: F.timestamp_micros(c).alias(c)
-    return out.select("key", time("at"), "seq", "kind", *[time(c) if c == "probed_at" else F.col(c) for c in _FIELDS])
+    return out.select(F.col("key").cast(kind).alias("key"), time("at"), "seq", "kind", *[time(c) if c == "probed_at" else F.col(c) for c in _FIELDS])
 
