@@ -207,6 +207,30 @@ def shingles(c: Column, n: int = 3) -> Column:
     return F.when(F.size(w) >= n, F.array_distinct(F.filter(runs, lambda r: r.isNotNull())))
 
 
+def shingle_rows(df: DataFrame, key: str, size: str, n: int = 3, only: set[str] | None = None, text: str = "text") -> DataFrame:
+    """(key, ``size``, s): a row for each of ``shingles`` (or of those in ``only``) of a text, and how many it has in all."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    asked = None if only is None else df.sparkSession.sparkContext.broadcast(frozenset(only))
+    word = re.compile("[a-z0-9]+")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, sizes, found = [], [], []
+            for i, body in enumerate(batch.column(1)):
+                w = word.findall((body.as_py() or "").lower())
+                own = set(map(" ".join, zip(*(w[k:] for k in range(n)))))
+                some = own if asked is None else own & asked.value
+                rows += [i] * len(some)
+                sizes += [len(own)] * len(some)
+                found += some
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], names=[key, size, "s"])
+
+    return df.select(key, F.col(text).cast("string")).mapInArrow(run, StructType([df.schema[key], StructField(size, LongType()), StructField("s", StringType())]))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))).cast("double")
 

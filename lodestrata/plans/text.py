@@ -97,12 +97,11 @@ FROM d JOIN b ON d.s = b.s JOIN dc ON dc.id = d.id JOIN bc ON bc.id = b.id GROUP
 def shingle_overlap_benchmark(spark, sf_dir):
     """Documents and benchmark items with at least three shingles in common: an equi-join on shingles, pre-filtered to
     those that the items have, and not a comparison of all pairs."""
-    side = lambda name, key, n: table(spark, sf_dir, name).select(key, T.shingles(F.col("text")).alias("sh")).filter("sh IS NOT NULL").select(key, F.size("sh").alias(n), F.explode("sh").alias("s"))
     common = F.count(F.lit(1))
-    items, docs = side("benchmark", "item_id", "m"), side("documents", "doc_id", "n")
-    asked = items.select("s").distinct()
-    if asked.count() <= 200_000:  # then broadcast, to leave out other shingles before the shuffle
-        docs = docs.join(F.broadcast(asked), "s", "left_semi")
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.shingles(F.col("text")).alias("sh")).filter("sh IS NOT NULL").select("item_id", F.size("sh").alias("m"), F.explode("sh").alias("s"))
+    asked = [r["s"] for r in items.select("s").distinct().limit(200_001).collect()]
+    # if they are few, others are left out where the texts are read
+    docs = T.shingle_rows(table(spark, sf_dir, "documents"), "doc_id", "n", only=set(asked) if len(asked) <= 200_000 else None)
     pairs = docs.join(items, "s").groupBy("doc_id", "item_id", "n", "m").agg(common.alias("common"))
     return pairs.filter("common >= 3").select("doc_id", "item_id", "common", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 4).alias("jaccard"))
 
