@@ -98,14 +98,51 @@ class Memo:
         return out
 
 
-def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+class WordTable:
+    """Ids of words, found by Arrow without a Python object for each. Of more than ``most`` words those used last stay."""
+
+    def __init__(self, make, most: int = 2 * MEMO):
+        self.make, self.most, self.turn = make, most, 0
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def get(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of the (distinct) words the place of its first and how many it has."""
+        self.turn += 1
+        at = pa.compute.index_in(words, value_set=self.words)
+        lost = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if lost.any():
+            new = words.filter(pa.array(lost))
+            made = self.make(new.to_pylist())
+            at[lost] = np.arange(len(new)) + len(self.words)
+            self.words = pa.concat_arrays([self.words, new])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), np.uint32)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, made), np.int64, len(made)) // 4])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.used[at] = self.turn
+        flat, starts, sizes = self.flat, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        if len(self.words) > self.most:
+            self.keep(np.argsort(self.used, kind="stable")[-(self.most // 2) :])
+        elif lost.any() and pa.compute.max(pa.compute.binary_length(new)).as_py() > 100:
+            self.keep(np.arange(len(self.words)))
+        return flat, starts, sizes
+
+    def keep(self, at: np.ndarray) -> None:
+        at = at[pa.compute.binary_length(self.words).to_numpy()[at] <= 100]  # long words would make it large
+        n, starts = self.sizes[at], (np.cumsum(self.sizes) - self.sizes)[at]
+        self.flat = self.flat[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        self.words, self.sizes, self.used = self.words.take(pa.array(at)), n, self.used[at]
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Texts cut before every blank: distinct words; for each word which it is, its row, and if it is its text's first."""
     parts = pa.compute.split_pattern(texts, " ")
     rows = pa.compute.list_parent_indices(parts).to_numpy(zero_copy_only=False)
     coded = parts.flatten().dictionary_encode()
     first = np.ones(len(rows), bool)
     first[1:] = rows[1:] != rows[:-1]
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), rows, first
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), rows, first
 
 
 class SentencePieceCounter:
@@ -160,7 +197,7 @@ class SentencePieceCounter:
             out[i] = sum(self.memo.get(self._CUT.split(texts[int(i)].as_py())))
         if len(at := np.flatnonzero(~odd)):
             words, which, rows, _ = _words(texts.take(pa.array(at)))
-            out[at] = np.bincount(rows, np.array(self.memo.get(words), np.int64)[which], len(at))
+            out[at] = np.bincount(rows, np.array(self.memo.get(words.to_pylist()), np.int64)[which], len(at))
         return out
 
 
@@ -200,7 +237,7 @@ class TokenizersEncoder:
         # an added token may hold blanks: of such, any word of theirs counts
         self.odd = "|".join([" [" + "".join(_SPACES) + "]", " $", *(re.sub(r"([^\w ])", r"\\\1", w) for a in added for w in a.split(" ") if w)])
         self.letters, self.model = _byte_letters(), self.tokenizer.model
-        self.memo, self.marks = Memo(self.words), Memo(lambda xs: [self.plain(x) for x in xs])
+        self.table, self.marks = WordTable(self.words), Memo(lambda xs: [self.plain(x) for x in xs])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -235,20 +272,23 @@ class TokenizersEncoder:
         whole = pa.compute.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) | (not self.safe)
         keep = ~whole[rows]
         which, rows, first = which[keep], rows[keep], first[keep]
-        used, place = np.unique(which[~first], return_inverse=True)
-        starters = self.whole([words[i] for i in which[first]])
+        met = np.zeros(len(words), bool)
+        met[which[~first]] = True
+        used, place = np.flatnonzero(met), np.cumsum(met) - 1
+        known, known_starts, known_sizes = self.table.get(words.take(pa.array(used)))
         own = np.flatnonzero(whole)
-        pieces = [*starters, *self.memo.get([words[i] for i in used]), *self.whole([texts[int(i)].as_py() for i in own])]
+        pieces = self.whole(words.take(pa.array(which[first])).to_pylist() + texts.take(pa.array(own)).to_pylist())
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        starts = np.cumsum(sizes) - sizes
+        starts = np.concatenate([known_starts, np.cumsum(sizes) - sizes + len(known)])
+        sizes, at = np.concatenate([known_sizes, sizes]), len(used)
         # the pieces of the texts in order: a first word (or the whole text), then the other words
         row = np.concatenate([rows[first], rows[~first], own]).astype(np.int64)
-        piece = np.concatenate([np.arange(len(starters)), place + len(starters), np.arange(len(own)) + len(starters) + len(used)]).astype(np.int64)
+        piece = np.concatenate([np.arange(first.sum()) + at, place[which[~first]], np.arange(len(own)) + at + first.sum()]).astype(np.int64)
         order = np.argsort(row, kind="stable")
         row, piece = row[order], piece[order]
         n = sizes[piece]
         take = np.repeat(starts[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        flat = np.frombuffer(b"".join(pieces), np.uint32)[take]
+        flat = np.concatenate([known, np.frombuffer(b"".join(pieces), np.uint32)])[take]
         return flat, np.bincount(row, n, len(texts)).astype(np.int64)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
