@@ -19,6 +19,7 @@ from .. import config as C
 from ..functions import text as T
 from ..functions.identity import normalize_name
 from ..functions.policy import implausible_name, string_list
+from ..scratch import written
 
 #: What a record has, and as what it is read.
 FIELDS: dict[str, str] = {
@@ -156,6 +157,8 @@ def article_records(
     if published:
         found = found.withColumn("published_date", F.coalesce("published_date", F.col(published).cast("string")))
     plain = [f for f, kind in FIELDS.items() if kind != "list"]
+    # the merge reads them once for the fields and once for each list, so they are extracted before it
+    found = written(found.select(*by, "chunk_start", "pos", *FIELDS), "records")
     return merge_by_name(found, by, "name", ["chunk_start", "pos"], plain, [f for f, kind in FIELDS.items() if kind == "list"])
 
 
