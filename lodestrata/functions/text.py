@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ _EDGE = r"[^\p{L}\p{N}_]"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (``trim`` takes blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    # found from both ends, so that long runs of white space inside aren't tried from each of their characters
+    return F.regexp_extract(c, r"(?s)^\s*+(.*\S)?", 1)
 
 
 def squeeze(c: Column) -> Column:
@@ -28,6 +31,25 @@ def word_regex(body: str) -> str:
     return rf"(?iu)(^|{_EDGE})(?:{body})($|{_EDGE})"
 
 
+def _literals(body: str) -> list[str]:
+    """What a text must have one of to match alternatives that are plain words, their last letter optional or not; none if
+    they are anything else."""
+    letter = "[0-9A-Za-zÀ-ÖØ-Þà-öø-ÿ]"
+    found = [re.fullmatch(rf"({letter}+?)(?:{letter}\?)?", term) for term in body.split("|")]
+    return [m[1].lower() for m in found if m] if all(found) else []
+
+
+def has_word(c: Column, body: str) -> Column:
+    """Whether a text matches ``word_regex(body)``. Plain words are first looked for as bytes, which few texts pass for rare ones."""
+    literals = _literals(body)
+    if not literals:
+        return c.rlike(word_regex(body))
+    low = F.lower(c)
+    for other, letter in (("ſ", "s"), ("ı", "i"), ("i\u0307", "i")):  # what lower case leaves of the letters in any case
+        low = F.replace(low, F.lit(other), F.lit(letter))
+    return reduce(or_, (low.contains(x) for x in literals)) & F.concat(F.lit(" "), c, F.lit(" ")).rlike(rf"(?iu){_EDGE}(?:{body}){_EDGE}")
+
+
 def usable(patterns: Iterable[str]) -> str | None:
     """An alternation of the patterns, or None if there is none or it doesn't compile."""
     body = "|".join(str(p) for p in patterns)
@@ -42,51 +64,62 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def has_words(c: Column, n: int) -> Column:
+    """Whether a text has ``n`` words; it is read no further than that."""
+    return c.rlike(rf"^\s*+(?:\S++\s++){{{n - 1}}}+\S") if n > 0 else F.length(c) >= 0
+
+
 def _last(window: Column, sep: str) -> Column:
     """How many characters of ``window`` end with its last ``sep``; NULL if it has none."""
-    p = F.instr(F.reverse(window), sep[::-1])
-    return F.when(p > 0, F.length(window) - p + 1)
+    return F.nullif(F.length(window) - F.length(F.substring_index(window, sep, -1)), F.lit(0))
 
 
-def sliding_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, least: int = C.CHUNK_MIN) -> DataFrame:
-    """``df`` with a row per chunk: chunk_start and chunk.
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
-    Chunks begin every ``size - overlap`` characters and end at the last paragraph, line or sentence end within the
-    part that the next chunk repeats; chunks under ``least`` characters are left out. Starts don't depend on where
-    chunks end, so they are exploded, not folded.
-    """
-    step = max(1, size - overlap)
-    rows = df.withColumn("lode_body", strip(F.col(text))).filter(F.length("lode_body") > 0)
-    # a text is walked once, for its pieces; all else looks at a chunk's own characters
-    rows = rows.select(*df.columns, F.length("lode_body").alias("lode_full"), F.regexp_extract_all("lode_body", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("lode_pieces"))
-    more = range(1, -(-overlap // step) + 1)
-    spans = F.transform("lode_pieces", lambda p, i: F.substring(F.concat(p, *[F.coalesce(F.get("lode_pieces", i + k), F.lit("")) for k in more]), 1, size))
-    rows = rows.select(*df.columns, "lode_full", F.posexplode(spans).alias("lode_i", "lode_span"))
-    start, span, end = F.col("lode_i") * step, F.col("lode_span"), F.length("lode_span")
-    back = F.greatest(F.lit(step), end - 300)
-    window = F.substring(span, back + 1, end - back)
-    snapped = F.when(start + end < F.col("lode_full"), back + F.coalesce(*[_last(window, s) for s in ("\n\n", "\n", ". ")]))
-    rows = rows.select(*df.columns, start.alias("chunk_start"), strip(F.substring(span, F.lit(1), F.coalesce(snapped, end))).alias("chunk"))
-    return rows.filter(F.length("chunk") >= least)
 
+def _pieces(body: Column, step: int) -> Column:
+    """A text walked once and cut every ``step`` characters; all else looks at a chunk's own characters."""
+    return F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
 
-def sliding_parts(body: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, least: int = C.CHUNK_MIN) -> Column:
-    """The chunks of ``sliding_chunks`` of one (stripped) text, as an array."""
+
+def _chunks(pieces: Column, full: Column, size: int, overlap: int) -> Column:
+    """The chunk that begins with each piece of a text of ``full`` characters, short ones too."""
     step = max(1, size - overlap)
     more = range(1, -(-overlap // step) + 1)
 
-    def chunk(pieces: Column, full: Column, p: Column, i: Column) -> Column:
+    def chunk(p: Column, i: Column) -> Column:
         span = F.substring(F.concat(p, *[F.coalesce(F.get(pieces, i + k), F.lit("")) for k in more]), 1, size)
-        return F.transform(F.array(span), lambda s: cut(s, i * step + F.length(s) < full))[0]
+        return _named(span, lambda s: cut(s, i * step + F.length(s) < full))
 
     def cut(span: Column, goes_on: Column) -> Column:
         end = F.length(span)
         back = F.greatest(F.lit(step), end - 300)
-        window = F.substring(span, back + 1, end - back)
-        return strip(F.substring(span, F.lit(1), F.coalesce(F.when(goes_on, back + F.coalesce(*[_last(window, s) for s in ("\n\n", "\n", ". ")])), end)))
+        snapped = _named(F.substring(span, back + 1, end - back), lambda w: F.coalesce(*[_last(w, s) for s in ("\n\n", "\n", ". ")]))
+        return strip(F.substring(span, F.lit(1), F.coalesce(F.when(goes_on, back + snapped), end)))
+
+    return F.transform(pieces, chunk)
+
+
+def sliding_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, least: int = C.CHUNK_MIN) -> DataFrame:
+    """``df`` with a row per chunk: chunk_start and chunk.
+
+    Chunks begin every ``size - overlap`` characters and end at the last paragraph, line or sentence end within the
+    part that the next chunk repeats; chunks under ``least`` characters are left out. Starts don't depend on where
+    chunks end, so chunks are exploded, not folded, and whole: a filter on a later column would compute it twice.
+    """
+    step = max(1, size - overlap)
+    rows = df.withColumn("lode_body", strip(F.col(text)))
+    rows = rows.select(*df.columns, F.length("lode_body").alias("lode_full"), _pieces(F.col("lode_body"), step).alias("lode_pieces"))
+    rows = rows.select(*df.columns, F.posexplode(_chunks(F.col("lode_pieces"), F.col("lode_full"), size, overlap)).alias("lode_i", "chunk"))
+    return rows.filter(F.length("chunk") >= least).select(*df.columns, (F.col("lode_i") * step).alias("chunk_start"), "chunk")
 
-    pieces = F.array(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
-    return F.filter(F.transform(pieces, lambda ps: F.transform(ps, lambda p, i: chunk(ps, F.length(body), p, i)))[0], lambda c: F.length(c) >= least)
+
+def sliding_parts(body: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, least: int = C.CHUNK_MIN) -> Column:
+    """The chunks of ``sliding_chunks`` of one (stripped) text, as an array."""
+    parts = _named(_pieces(body, max(1, size - overlap)), lambda p: _chunks(p, F.length(body), size, overlap))
+    return F.filter(parts, lambda c: F.length(c) >= least)
 
 
 def blurbs(text: Column, least: int = C.BLURB_MIN, most: int = C.BLURB_MAX) -> Column:
@@ -125,7 +158,7 @@ def name_batches(df: DataFrame, keys: list[str], position: str, name: str, n: in
 
 def group_hits(c: Column, groups: Mapping[str, Iterable[str]]) -> dict[str, Column]:
     """For each group of patterns whether any occurs as a word; groups whose patterns don't compile are left out."""
-    return {g: c.rlike(word_regex(body)) for g, terms in groups.items() if (body := usable(terms))}
+    return {g: has_word(c, body) for g, terms in groups.items() if (body := usable(terms))}
 
 
 def relevance(c: Column, groups: Mapping[str, Iterable[str]], foreign: Iterable[str] = (), geo_group: str = "geo", priority: Iterable[str] = (), boost: int = 1, min_words: int = C.RELEVANCE_MIN_WORDS, min_score: int = C.RELEVANCE_MIN_SCORE) -> Column:
@@ -133,11 +166,10 @@ def relevance(c: Column, groups: Mapping[str, Iterable[str]], foreign: Iterable[
     hits = group_hits(c, groups)
     score = sum((h.cast("int") for h in hits.values()), F.lit(0))
     if body := usable(re.escape(p) for p in priority):
-        score = score + F.when(c.rlike(word_regex(body)), boost).otherwise(0)
+        score = score + F.when(has_word(c, body), boost).otherwise(0)
     body = usable(foreign)
-    outside = c.rlike(word_regex(body)) & ~hits.get(geo_group, F.lit(False)) if body else F.lit(False)
-    n = F.size(words(c))
-    return F.struct(n.alias("words"), score.alias("score"), outside.alias("foreign_only"), ((n >= min_words) & ~outside & (score >= min_score)).alias("relevant"))
+    outside = has_word(c, body) & ~hits.get(geo_group, F.lit(False)) if body else F.lit(False)
+    return F.struct(F.size(words(c)).alias("words"), score.alias("score"), outside.alias("foreign_only"), (has_words(c, min_words) & ~outside & (score >= min_score)).alias("relevant"))
 
 
 def language(c: Column, de: Iterable[str] = C.STOPWORDS_DE, en: Iterable[str] = C.STOPWORDS_EN) -> Column:

@@ -1,6 +1,7 @@
 """Order-dependent folds and page parsing against restatements."""
 
 import random
+import time
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
@@ -133,3 +134,41 @@ def test_rows_of_shingles_are_those_of_the_column(spark):
     want = sorted(tuple(r) for r in df.select("id", T.shingles(F.col("text")).alias("x")).select("id", F.size("x").alias("n"), F.explode("x").alias("s")).collect())
     assert want and sorted(map(tuple, T.shingle_rows(df, "id", "n").collect())) == want
     assert sorted(map(tuple, T.shingle_rows(df, "id", "n", only={"b c d", "none such here"}).collect())) == [r for r in want if r[2] == "b c d"]
+
+
+def test_a_chunk_is_computed_once(spark, sf_dir):
+    """White space is taken from each text once and from each chunk once: no filter repeats what it looks at."""
+    from lodestrata.plans.text import GROUPS
+    from lodestrata.streaming import jobs
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = jobs.chunk_yield(docs, GROUPS, ["source"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(.*\\S)?") == 2 and plan.count("substring_index(") <= 6
+
+
+def test_white_space_goes_from_the_ends_alone(spark):
+    """As in the SQL; a long run inside is walked once, not from each of its characters."""
+    import duckdb
+
+    texts = ["  a b \n", "", " \t\n", "a \u2028", "a \x85", "\n a\n\nb\r\n", "𝐀 ", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.strip(F.col("t"))).collect()]
+    assert got == [duckdb.execute(r"SELECT regexp_replace(?, '^\s+|\s+$', '', 'g')", [t]).fetchone()[0] for t in texts]
+    long = "a" + " " * 400_000 + "b"
+    start = time.perf_counter()
+    assert spark.createDataFrame([(f" {long} ",)], "t string").select(F.md5(T.strip(F.col("t"))) == F.md5(F.lit(long))).first()[0]
+    assert time.perf_counter() - start < 10
+
+
+def test_plain_words_are_found_as_their_pattern_finds_them(spark):
+    texts = ["The", "other", "bathe, the", "LICENSED", "licenſed", "lıcense", "lİcense.", "toKen", "to\u212aen", "a token_", "𝐀the", "the𝐀", "the\u2028", "FÜR", "für-", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for body in ("the|and", "token|licensed?", "für", "FÜR|the", "^the", "the$", r"t\w+", "(?:the)", "the|", "to ken", "a?"):
+        by_pattern = F.col("t").rlike(T.word_regex(body))
+        assert df.filter(~T.has_word(F.col("t"), body).eqNullSafe(by_pattern)).collect() == [], body
+
+
+def test_at_least_so_many_words(spark):
+    df = spark.createDataFrame([(t,) for t in ("", "  ", "a", " a\tb\n", "a b c", "a  b", None)], "t string")
+    for n in (-1, 0, 1, 2, 3):
+        assert df.filter(~T.has_words(F.col("t"), n).eqNullSafe(F.size(T.words(F.col("t"))) >= n)).collect() == [], n
+    assert spark.createDataFrame([("w " * 50_000,)], "t string").select(T.has_words(F.col("t"), 50_000), T.has_words(F.col("t"), 50_001)).first() == (True, False)
