@@ -115,3 +115,9 @@ def test_exact_neighbours_of_odd_vectors(spark, vectors, monkeypatch):
                 fit.sort(key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))
                 assert sorted(got.get(q["vec_id"], [])) == [(i + 1, r, s) for i, (s, r) in enumerate(fit[:7])], (q["vec_id"], same)
             assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_of_every_vector_are_compared(spark, sf_dir):
+    ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+    got = {r["query_id"]: r["neighbours"] for r in plans.QUERIES["compare_neighbours"](spark, sf_dir).collect()}
+    assert got == dict.fromkeys(ids, 10)
