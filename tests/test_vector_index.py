@@ -121,3 +121,9 @@ def test_neighbours_of_every_vector_are_compared(spark, sf_dir):
     ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
     got = {r["query_id"]: r["neighbours"] for r in plans.QUERIES["compare_neighbours"](spark, sf_dir).collect()}
     assert got == dict.fromkeys(ids, 10)
+
+
+def test_every_vector_is_matched(spark, sf_dir):
+    ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+    got = plans.QUERIES["reverse_match"](spark, sf_dir).groupBy("record").count().collect()
+    assert dict(map(tuple, got)) == dict.fromkeys(ids, 5)
