@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from lodestrata import plans
 from lodestrata.operators import ranking as R
@@ -127,3 +129,31 @@ def test_every_vector_is_matched(spark, sf_dir):
     ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
     got = plans.QUERIES["reverse_match"](spark, sf_dir).groupBy("record").count().collect()
     assert dict(map(tuple, got)) == dict.fromkeys(ids, 5)
+
+
+def test_products_in_single_precision_lose_no_neighbour(monkeypatch):
+    """Small tiles; neighbours that single precision can't tell apart, many copies, NaN, other lengths, no direction."""
+    rnd = np.random.default_rng(3)
+    around = rnd.standard_normal(16)
+    rows = [list(around + 10.0 ** -rnd.integers(1, 8) * rnd.standard_normal(16)) for _ in range(500)] + [[1.0] * 16] * 120
+    rows += [[float("nan")] + [1.0] * 15, [float("inf")] * 16, [0.0] * 16, [1.0] * 9, [float("nan")] * 9, None, [1.0, None]]
+    ids = [int(i) for i in rnd.permutation(len(rows))]
+    table = lambda i, v: pa.table({i: pa.array(ids, pa.int64()), v: pa.array(rows, pa.list_(pa.float64()))})
+
+    def cosine(a, b):
+        a, b = ([] if x is None or None in x else x for x in (a, b))
+        with np.errstate(invalid="ignore"):
+            if not any(a) or not any(b):
+                return 0.0
+            return float(np.dot(a, b) / np.sqrt(np.dot(a, a)) / np.sqrt(np.dot(b, b))) if len(a) == len(b) else None
+
+    order = lambda s: -2e6 if s is None else np.inf if s != s else np.floor(s * 1e6 + 0.5)
+    for tile, close, k in (((7, 48), 20, 3), ((256, 4096), 512, 10)):
+        monkeypatch.setattr(R, "TILE", tile)
+        monkeypatch.setattr(R, "CLOSE", close)
+        got = {}
+        for r in R._best(k, [], True)(table("query_id", "qv"), table("id", "v")).to_pylist():
+            got.setdefault(r["query_id"], []).append((-order(r["similarity"]), r["id"]))
+        for q, a in zip(ids, rows, strict=True):
+            want = sorted((-order(cosine(a, b)), i) for i, b in zip(ids, rows, strict=True) if i != q)[:k]
+            assert sorted(got[q]) == want, (q, tile)
